@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitewise.plans import p2
+from sitewise.plans import p2, p4
 
-QUERIES = {**p2.QUERIES}
-SQL = {**p2.SQL}
+QUERIES = {**p2.QUERIES, **p4.QUERIES}
+SQL = {**p2.SQL, **p4.SQL}
 
 
 def entry(spark: SparkSession, folder: str) -> DataFrame:
