@@ -26,7 +26,7 @@ MAX_LABELS = 50_000
 COMMON = (
     "a about after again all almost also although an and another any are as at be because been before but by can could did do does down each ever every few for from had has have he her here him his how "
     "i if in into is it its just like may me more most much must my neither no nobody nor not of off on once one only or other our out over own said same she should since so some still such than that the "
-    "their them then there these they this those through to too two under unless until up us very was we were what when where which while who whom why will with would yet you your "
+    "their them then there these they this those through to too under unless until up us very was we were what when where which while who whom why will with would yet you your "
     "aber alle als am an auch auf aus bei bis da dann das dass dem den der des die dies diese diesem dieses doch ein eine einem einen einer eines er erst es für hat hatte hier ich ihr im in ist ja jede kein keine "
     "man mehr mit nach nicht noch nur ob oder ohne sehr sich sie sind so über um und uns vom von vor war wenn werden wie wir wird wo zu zum zur zwischen "
     "au aux avec avons ce ces cette comme dans de des deux du elle elles en est et été être il ils je la le les leur lui mais même moins ne nous on ou où par pas peu plus pour près que qui sa sans se ses si "
@@ -40,44 +40,49 @@ SENTENCE = r"(?<=[.!?;:])\s+|[\r\n]+"
 MIN_COMMON, MIN_COMMON_SHARE = 2, 0.2
 
 
+def _bare(word: Column) -> Column:
+    """A word in lower case without the signs around it."""
+    return F.lower(F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+
+def _is_prose(part: Column) -> Column:
+    """Does a part of a line read as a running sentence: common words enough, not enumerated, few signs and digits?"""
+    words = _words(part)
+    n, common = F.size(words), F.size(F.filter(words, lambda w: _bare(w).isin(COMMON)))
+    ends = F.size(F.filter(words, lambda w: F.rlike(w, F.lit(r"[,;|]$"))))
+    signs = F.length(F.regexp_replace(part, r"[\p{L}\s.,;:!?'’-]+", ""))
+    return (common >= MIN_COMMON) & (common >= MIN_COMMON_SHARE * n) & (ends <= 0.3 * n) & (signs <= 0.2 * F.length(part))
+
+
 def statistics(documents: DataFrame) -> DataFrame:
     """(doc_id, n_characters, n_words, n_lines, FEATURES...): one row for each document."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    n_of = lambda p: F.length(text) - F.length(F.regexp_replace(text, p, ""))
-    common = F.array(*(F.lit(w) for w in sorted(set(COMMON))))
-    word_of = lambda s: F.regexp_extract_all(F.lower(s), F.lit(r"([\p{L}\p{M}'’]+)"), 1)
-    base = documents.select("doc_id", text.alias("t"))
-    t = F.col("t")
-    lists = base.select("doc_id", "t", F.filter(F.split(t, r"\s+"), lambda w: w != "").alias("words"), F.filter(F.split(t, r"[\r\n]+"), lambda s: F.btrim(s) != "").alias("lines"), F.filter(F.split(t, SENTENCE), lambda s: F.btrim(s) != "").alias("parts"))
-    del text, n_of
+    base = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("t"))
+    filled = lambda a: F.filter(a, lambda s: F.btrim(s) != "")
+    lists = base.select("doc_id", "t", _words(F.col("t")).alias("words"), filled(F.split("t", r"[\r\n]+")).alias("lines"), filled(F.split("t", SENTENCE)).alias("parts"))
+    lists = lists.withColumn("bare", F.transform("words", _bare))
     n = lambda p: F.length("t") - F.length(F.regexp_replace("t", p, ""))
-
-    def is_prose(part: Column) -> Column:
-        words = word_of(part)
-        hits = F.size(F.filter(words, lambda w: F.array_contains(common, w)))
-        tokens = F.size(F.split(F.btrim(part), r"\s+"))
-        return F.when(F.rlike(part, F.lit(r"[\p{L}]")), (hits >= MIN_COMMON) & (hits >= MIN_COMMON_SHARE * F.greatest(F.size(words), tokens))).otherwise(F.lit(False))
-
     chars = lambda a: F.aggregate(a, F.lit(0), lambda acc, s: acc + F.length(s))
-    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    nw, nl = F.size("words"), F.size("lines")
-    lower = F.transform("words", lambda w: F.lower(F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")))
-    length = F.length(F.btrim("t"))
+    ratio = lambda a, b: F.when(b > 0, a.cast("double") / b).otherwise(F.lit(0.0))
+    nw, nl, length = F.size("words"), F.size("lines"), F.length(F.btrim("t"))
     return lists.select(
         "doc_id",
         F.length("t").cast("long").alias("n_characters"),
         nw.cast("long").alias("n_words"),
         nl.cast("long").alias("n_lines"),
-        ratio(chars(F.filter("parts", is_prose)).cast("double"), chars(F.col("parts"))).alias("prose_share"),
-        ratio(F.size(F.filter(lower, lambda w: F.array_contains(common, w))).cast("double"), nw).alias("common_share"),
-        ratio(chars(F.col("words")).cast("double"), nw).alias("mean_word_length"),
-        ratio(n(r"[^\p{L}\p{N}\s.,;:!?'’\-()]").cast("double"), length).alias("symbol_ratio"),
-        ratio(n(r"\p{N}").cast("double"), length).alias("digit_ratio"),
-        ratio(F.size(F.filter("lines", lambda s: F.rlike(s, F.lit(r"[.!?;:…]['\"”»)]?\s*$")))).cast("double"), nl).alias("punctuated_lines"),
-        ratio(F.size(F.filter("words", lambda w: F.rlike(w, F.lit(r"^[^\p{N}]*\p{L}[^\p{N}]*$")))).cast("double"), nw).alias("alpha_words"),
-        ratio(F.size(F.array_distinct(lower)).cast("double"), nw).alias("distinct_share"),
-        ratio(n(r"\p{L}").cast("double"), length).alias("letter_ratio"),
-        ratio(nw.cast("double"), nl).alias("mean_line_words"),
+        ratio(chars(F.filter("parts", _is_prose)), chars(F.col("parts"))).alias("prose_share"),
+        ratio(F.size(F.filter("bare", lambda w: w.isin(COMMON))), nw).alias("common_share"),
+        ratio(chars(F.col("words")), nw).alias("mean_word_length"),
+        ratio(n(r"[^\p{L}\p{N}\s.,;:!?'’\-()]+"), length).alias("symbol_ratio"),
+        ratio(n(r"\p{N}+"), length).alias("digit_ratio"),
+        ratio(F.size(F.filter("lines", lambda s: F.rlike(s, F.lit(r"[.!?;:…]['\"”»)]?\s*$")))), nl).alias("punctuated_lines"),
+        ratio(F.size(F.filter("bare", lambda w: F.rlike(w, F.lit(r"^[\p{L}'’-]+$")))), nw).alias("alpha_words"),
+        ratio(F.size(F.array_distinct("bare")), nw).alias("distinct_share"),
+        ratio(n(r"\p{L}+"), length).alias("letter_ratio"),
+        ratio(nw, nl).alias("mean_line_words"),
     )
 
 
