@@ -1,0 +1,85 @@
+"""Deterministic sampling: every draw comes from SHA-256 of names, so it depends on no order and no outcome."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from sitewise.functions.hashing import rank_hex, seed64
+
+
+def n_test(n: int, share: float = 0.4) -> int:
+    """Rounded half up, at least 1 and at most half of n."""
+    return 0 if n < 2 else min(n // 2, max(1, math.floor(share * n + 0.5)))
+
+
+def grouped_partitions(systems: DataFrame, seed: int, repeats: int = 10, share: float = 0.4) -> DataFrame:
+    """(repeat, system, side): per repeat the systems of lowest hash rank are the test side, apportioned over strata.
+
+    systems: system, stratum; distinct. The test count of each stratum is settled by largest remainders on the
+    driver, from one count for each stratum.
+    """
+    sizes = {r["stratum"]: r["n"] for r in systems.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).limit(1000).collect()}
+    whole = sum(sizes.values())
+    want = n_test(whole, share)
+    exact = {s: want * n / whole for s, n in sizes.items()} if whole else {}
+    take = {s: math.floor(x) for s, x in exact.items()}
+    for s in sorted(exact, key=lambda s: (take[s] - exact[s], s))[: want - sum(take.values())]:
+        take[s] += 1
+    spark = systems.sparkSession
+    counts = F.broadcast(spark.createDataFrame(list(take.items()), "stratum string, take int"))
+    rows = systems.join(counts, "stratum").withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    rank = rank_hex("partition", F.lit(seed).cast("string"), F.col("repeat").cast("string"), F.col("system"))
+    place = F.row_number().over(Window.partitionBy("repeat", "stratum").orderBy(rank, "system"))
+    return rows.select("repeat", "system", F.when(place <= F.col("take"), "test").otherwise("train").alias("side"))
+
+
+def one_per_group(items: DataFrame, group: str, item: str, seed: int) -> DataFrame:
+    """(group, item): of each group the item with the lowest hash rank; aggregated before the shuffle."""
+    rank = rank_hex("draw", F.lit(seed).cast("string"), F.col(item))
+    return items.where(F.col(item).isNotNull()).groupBy(group).agg(F.min(F.struct(rank.alias("r"), F.col(item).alias("i"))).alias("m")).select(group, F.col("m.i").alias(item))
+
+
+def lowest_by_hash(items: DataFrame, item: str, n: int) -> DataFrame:
+    """The n items of lowest hash rank, whatever the order of the input."""
+    return items.select(item).distinct().orderBy(rank_hex("pilot", F.col(item)), item).limit(n)
+
+
+def without_replacement(items: DataFrame, group: list[str], item: str, k: int, draws: int, seed: int) -> DataFrame:
+    """(group, draw, item): per draw the k items of the group with the smallest 64-bit keys."""
+    rows = items.select(*group, item).distinct().withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    key = seed64("budget", F.lit(seed).cast("string"), F.col("draw").cast("string"), *(F.col(g) for g in group), F.col(item))
+    place = F.row_number().over(Window.partitionBy(*group, "draw").orderBy(key, item))
+    return rows.withColumn("_p", place).where(F.col("_p") <= k).drop("_p")
+
+
+def bootstrap_slopes(stats: DataFrame, unit: list[str], cluster: str, draws: int, seed: int) -> DataFrame:
+    """(unit, draw, slope): clusters drawn with replacement, as many as there are; slope = sum sxy / sum sxx.
+
+    Draw d's i-th pick is the hash of (unit, d, i) modulo the number of clusters; the same picks hold for every model.
+    stats: unit columns, cluster, sxy, sxx, one row each.
+    """
+    w = Window.partitionBy(*unit)
+    numbered = stats.withColumn("pos", F.row_number().over(w.orderBy(cluster)) - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    sizes = numbered.groupBy(*unit).agg(F.max("n").alias("n"))
+    picks = sizes.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    pos = F.pmod(F.conv(F.substring(rank_hex("bootstrap", F.lit(seed).cast("string"), *(F.col(u) for u in unit), F.col("draw"), F.col("i")), 1, 15), 16, 10).cast("long"), F.col("n"))
+    drawn = picks.withColumn("pos", pos.cast("int")).select(*unit, "draw", "pos").join(numbered.drop("n"), [*unit, "pos"])
+    sums = drawn.groupBy(*unit, "draw").agg(F.sum("sxy").alias("sxy"), F.sum("sxx").alias("sxx"))
+    return sums.select(*unit, "draw", F.when(F.col("sxx") > 0, F.col("sxy") / F.col("sxx")).alias("slope"))
+
+
+def first_of_each(rows: DataFrame, group: list[str], order: list[str], cap: int) -> DataFrame:
+    """At most cap rows of each group, first by order."""
+    return rows.withColumn("_p", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_p") <= cap).drop("_p")
+
+
+def representative(rows: DataFrame, group: list[str], value: str, n: int) -> DataFrame:
+    """Per group up to n evenly spaced order statistics, the places rounded half to even."""
+    w = Window.partitionBy(*group)
+    ranked = rows.where(F.col(value).isNotNull()).select(*group, value, (F.row_number().over(w.orderBy(value)) - 1).alias("_i"), F.count(F.lit(1)).over(w).alias("_n"))
+    k = F.least(F.lit(n), F.col("_n"))
+    places = F.transform(F.sequence(F.lit(0).cast("long"), k.cast("long") - 1), lambda j: F.when(k > 1, F.bround(j * (F.col("_n") - 1) / (k - 1))).otherwise(0).cast("long"))
+    return ranked.where(F.array_contains(places, F.col("_i").cast("long"))).select(*group, F.col("_i").cast("long").alias("place"), value)

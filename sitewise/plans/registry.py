@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitewise.plans import p2, p4
+from sitewise.plans import estimation, p2, p4, scalars, selection
 
-QUERIES = {**p2.QUERIES, **p4.QUERIES}
-SQL = {**p2.SQL, **p4.SQL}
+QUERIES = {**p2.QUERIES, **p4.QUERIES, **scalars.QUERIES, **estimation.QUERIES, **selection.QUERIES}
+SQL = {**p2.SQL, **p4.SQL, **scalars.SQL, **estimation.SQL, **selection.SQL}
 
 
 def entry(spark: SparkSession, folder: str) -> DataFrame:
