@@ -118,15 +118,15 @@ def risk_curve(units: DataFrame, group: list[str], score: str, error: str, order
 
     `order` places the units of a tie; it doesn't change the curve.
     """
-    keyed = units.withColumn("_s", F.col(score))
-    per = prefix_by_value(keyed, group, "_s", {"n": F.lit(1), "e": F.col(error)})
-    rows = join_value(keyed, per, group, "_s", ["n", "e", "n_upto", "e_upto"])
-    rows = rows.withColumn("_j", F.row_number().over(Window.partitionBy(*group, "_s").orderBy(order)))
-    k = F.col("n_upto") - F.col("n") + F.col("_j")
-    total = units.groupBy(*group).agg(F.count(F.lit(1)).alias("n_all"))
+    keyed = units.select(*group, F.col(score).alias("_s"), F.col(error).alias("_err"), F.col(order).alias("_o"))
+    per = prefix_by_value(keyed, group, "_s", {"_n": F.lit(1), "_e": F.col("_err")})
+    rows = join_value(keyed, per, group, "_s", ["_n", "_e", "_n_upto", "_e_upto"])
+    rows = rows.withColumn("_j", F.row_number().over(Window.partitionBy(*group, "_s").orderBy("_o")))
+    k = F.col("_n_upto") - F.col("_n") + F.col("_j")
+    total = units.groupBy(*group).agg(F.count(F.lit(1)).alias("_all"))
     rows = rows.join(total, group) if group else rows.crossJoin(F.broadcast(total))
-    risk = (F.col("e_upto") - F.col("e") + F.col("_j") * (F.col("e") / F.col("n"))) / k
-    return rows.select(*group, k.alias("k"), (k / F.col("n_all")).alias("coverage"), risk.alias("risk"))
+    risk = (F.col("_e_upto") - F.col("_e") + F.col("_j") * (F.col("_e") / F.col("_n"))) / k
+    return rows.select(*group, k.alias("k"), (k / F.col("_all")).alias("coverage"), risk.alias("risk"))
 
 
 def risk_summary(units: DataFrame, group: list[str], score: str, error: str, order: str, target: float = 0.8) -> DataFrame:

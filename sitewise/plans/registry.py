@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitewise.plans import estimation, p2, p4, scalars, selection
+from sitewise.plans import audit, estimation, p2, p4, scalars, selection, storage
 
-QUERIES = {**p2.QUERIES, **p4.QUERIES, **scalars.QUERIES, **estimation.QUERIES, **selection.QUERIES}
-SQL = {**p2.SQL, **p4.SQL, **scalars.SQL, **estimation.SQL, **selection.SQL}
+QUERIES = {**p2.QUERIES, **p4.QUERIES, **scalars.QUERIES, **estimation.QUERIES, **selection.QUERIES, **audit.QUERIES, **storage.QUERIES}
+SQL = {**p2.SQL, **p4.SQL, **scalars.SQL, **estimation.SQL, **selection.SQL, **audit.SQL, **storage.SQL}
 
 
 def entry(spark: SparkSession, folder: str) -> DataFrame:
-    return p2.p2_found(spark, folder)
+    """The flagship query: slopes of predicted on reference forces by material, with their support."""
+    return estimation.agg_estimates_by_material(spark, folder)
