@@ -32,7 +32,7 @@ from sitewise.shared import ship, written
 TOLERANCE, SHARE = 0.05, 0.78
 #: Of two sizes in a pair at most: 2 min / (min + max) > SHARE.
 RATIO = (2 - SHARE) / SHARE
-GRIDS, BINS, PER_SEGMENT, FEW = 12, 48, 2.5, 6
+GRIDS, BINS, PER_SEGMENT, FEW = 24, 20, 3.5, 6
 LENGTH_STEP = 2.0
 
 
