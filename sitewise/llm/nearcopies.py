@@ -7,7 +7,8 @@ tokens agree in some whole segment: records of one size band that agree in a seg
 candidates are tested exactly.
 
 An atom that moved by less than the tolerance can still cross a bin's edge. So there are several grids with shifted
-edges, each with sketches of its own, and a segment that is equal in any of them gives a candidate. Sizes differ by
+edges, each with sketches of its own, and segments that are equal in any of them count; HITS of them make a
+candidate, as frames of one material that vibrate about the same sites agree in single segments by chance. Sizes differ by
 a factor of up to RATIO within a pair; records are sketched in the two size bands that cover this, so any pair that
 can reach the share shares a band. Frames are further keyed by the lengths of their lattice vectors, with a second
 key where a length is so near an edge that a cell within the tolerance may fall beyond it.
@@ -32,7 +33,9 @@ from sitewise.shared import ship, written
 TOLERANCE, SHARE = 0.05, 0.78
 #: Of two sizes in a pair at most: 2 min / (min + max) > SHARE.
 RATIO = (2 - SHARE) / SHARE
-GRIDS, BINS, PER_SEGMENT, FEW = 24, 20, 3.5, 6
+GRIDS, BINS, PER_SEGMENT, FEW = 32, 20, 3.5, 6
+#: In so many segments, over all grids, a pair must agree to be tested; pairs that hold agree in many, chance pairs in one.
+HITS = 2
 LENGTH_STEP = 2.0
 
 
@@ -92,7 +95,8 @@ def class_pairs(rows: DataFrame, reps: DataFrame) -> DataFrame:
     """(cls_a, cls_b, ab, ba): pairs of classes that share enough atoms."""
     keys = reps.select("rep", "numbers", "xyz", "box").mapInArrow(_sketch, "rep long, keys array<long>").select("rep", F.explode("keys").alias("key"))
     keys = written(keys)
-    pairs = keys.select("key", F.col("rep").alias("a")).join(keys.select("key", F.col("rep").alias("b")), "key").where("a < b").select("a", "b").distinct()
+    pairs = keys.select("key", F.col("rep").alias("a")).join(keys.select("key", F.col("rep").alias("b")), "key").where("a < b")
+    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= HITS).select("a", "b")
     return verified(pairs, reps, TOLERANCE, SHARE)
 
 
