@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewise.functions.hashing import rank_hex, seed64
+from sitewise.shared import ship
 
 
 def n_test(n: int, share: float = 0.4) -> int:
@@ -71,6 +75,31 @@ def bootstrap_slopes(stats: DataFrame, unit: list[str], cluster: str, draws: int
     return sums.select(*unit, "draw", F.when(F.col("sxx") > 0, F.col("sxy") / F.col("sxx")).alias("slope"))
 
 
+def generator_draws(units: DataFrame, unit: str, seed: str, n: str, resamples: int) -> DataFrame:
+    """(unit, draw, picks): bootstrap picks of n clusters from one 64-bit permuted congruential stream for each unit.
+
+    A raw number picks number modulo n; numbers at or above the largest multiple of n are rejected, so picks are
+    uniform. A unit's stream is never split over tasks, and draws don't depend on how many are made at once.
+    """
+    ship(units.sparkSession)
+    kind = dict(units.dtypes)[unit]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for u, s, k in zip(pdf[unit], pdf[seed], pdf[n], strict=True):
+                stream, k, rows = np.random.PCG64DXSM(int(s)), int(k), []
+                limit = (2**64 // k) * k if k else 0
+                for d in range(1, resamples + 1 if k else 1):
+                    picks: list[int] = []
+                    while len(picks) < k:
+                        raw = stream.random_raw(k - len(picks))
+                        picks += [int(x) % k for x in np.atleast_1d(raw) if int(x) < limit]
+                    rows.append((u, d, picks))
+                yield pd.DataFrame(rows, columns=[unit, "draw", "picks"])
+
+    return units.select(unit, seed, n).mapInPandas(run, f"{unit} {kind}, draw int, picks array<int>")
+
+
 def first_of_each(rows: DataFrame, group: list[str], order: list[str], cap: int) -> DataFrame:
     """At most cap rows of each group, first by order."""
     return rows.withColumn("_p", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_p") <= cap).drop("_p")

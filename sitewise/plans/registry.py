@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitewise.plans import audit, estimation, p2, p4, scalars, selection, storage
+from sitewise.plans import audit, estimation, further, p2, p4, scalars, selection, storage
 
-QUERIES = {**p2.QUERIES, **p4.QUERIES, **scalars.QUERIES, **estimation.QUERIES, **selection.QUERIES, **audit.QUERIES, **storage.QUERIES}
-SQL = {**p2.SQL, **p4.SQL, **scalars.SQL, **estimation.SQL, **selection.SQL, **audit.SQL, **storage.SQL}
+QUERIES = {**p2.QUERIES, **p4.QUERIES, **scalars.QUERIES, **estimation.QUERIES, **selection.QUERIES, **audit.QUERIES, **storage.QUERIES, **further.QUERIES}
+SQL = {**p2.SQL, **p4.SQL, **scalars.SQL, **estimation.SQL, **selection.SQL, **audit.SQL, **storage.SQL, **further.SQL}
 
 
 def entry(spark: SparkSession, folder: str) -> DataFrame:
