@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -14,6 +16,13 @@ _own: dict[str, str] = {}
 _shipped: set[str] = set()
 
 
+def _own_dir() -> str:
+    """A temporary folder of the driver, removed when it ends."""
+    made = tempfile.mkdtemp(prefix="sitewise-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return made
+
+
 def ship(spark: SparkSession) -> None:
     """Let the executors' Python workers import this package, wherever the driver found it; once for a context."""
     sc = spark.sparkContext
@@ -21,7 +30,7 @@ def ship(spark: SparkSession) -> None:
         return
     home = Path(__file__).resolve().parent
     if home.is_dir():  # else the package was itself read from a zip, which the workers have
-        target = Path(tempfile.mkdtemp(prefix="sitewise-")) / f"{home.name}.zip"
+        target = Path(_own_dir()) / f"{home.name}.zip"
         with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
             for f in sorted(home.rglob("*.py")):
                 z.write(f, Path(home.name) / f.relative_to(home))
@@ -33,7 +42,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; only where that is unset (local tests), an own one."""
     named = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     app = spark.sparkContext.applicationId
-    return named or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="sitewise-"))
+    if not named and app not in _own:
+        _own[app] = "file://" + _own_dir()
+    return named or _own[app]
 
 
 def written(df: DataFrame) -> DataFrame:
