@@ -117,41 +117,55 @@ def same_cell(la: np.ndarray, lb: np.ndarray) -> bool:
     return bool((np.abs(la - lb) <= CELL_TOLERANCE + SLACK).all())
 
 
+def _counts(z: list, x: list, box: list, first: int, tolerance: float) -> np.ndarray:
+    """How many atoms pair, for frames stacked by size: z, x, box of both sides; lattice vectors of side `first`."""
+    a, b = first, 1 - first
+    inv = np.linalg.inv(box[a])
+    d = x[b][:, None] - x[a][:, :, None]
+    f = np.einsum("pijk,pkl->pijl", d, inv)
+    base = np.einsum("pijk,pkl->pijl", f - np.round(f), box[a])
+    ok = ((base**2).sum(-1) <= (tolerance + SLACK) ** 2) & (z[a][:, :, None] == z[b][:, None])
+    thin = (np.abs(inv).sum(1) * tolerance >= 0.5).any(1)
+    out = ok.sum((1, 2))
+    for i in np.nonzero(thin | (ok.sum(1).max(1) > 1) | (ok.sum(2).max(1) > 1))[0]:  # more than one candidate for an atom
+        out[i] = paired(near(z[a][i], x[a][i], box[a][i], z[b][i], x[b][i], tolerance))
+    return out
+
+
 def verify(tolerance: float, share: float | None):  # noqa: ANN201
-    """mapInArrow function over candidate pairs (rep a < rep b with both geometries): the pairs that hold.
+    """mapInArrow function over candidate pairs with both geometries: the pairs that hold.
 
-    share None asks that all atoms pair; else that 2m over the atoms of both is more than share. Pairs come with
-    `slack_only` false; lattice vectors are those of the frame with the smaller key, so both orders are told where
-    members of a class may stand on either side: columns ab and ba.
+    share None asks that all atoms pair; else that 2m over the atoms of both is more than share. Lattice vectors are
+    those of the frame with the smaller key, and members of a class may stand on either side, so both are told: `ab`
+    with the lattice of a, `ba` with that of b. Pairs of equal sizes are tested together.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            za, zao = _ragged(t.column("numbers_a"))
-            zb, zbo = _ragged(t.column("numbers_b"))
-            xa, xao = _ragged(t.column("xyz_a"))
-            xb, xbo = _ragged(t.column("xyz_b"))
-            ca, cao = _ragged(t.column("box_a"))
-            cb, cbo = _ragged(t.column("box_b"))
-            both = []
-            for i in range(t.num_rows):
-                la, lb = ca[cao[i] : cao[i + 1]].reshape(3, 3), cb[cbo[i] : cbo[i + 1]].reshape(3, 3)
-                if not same_cell(la, lb):
-                    both.append((False, False))
-                    continue
-                za_, zb_ = za[zao[i] : zao[i + 1]], zb[zbo[i] : zbo[i + 1]]
-                xa_, xb_ = xa[xao[i] : xao[i + 1]].reshape(-1, 3), xb[xbo[i] : xbo[i + 1]].reshape(-1, 3)
-                holds = []
-                for z1, x1, l1, z2, x2 in ((za_, xa_, la, zb_, xb_), (zb_, xb_, lb, za_, xa_)):
-                    if l1 is lb and (la == lb).all():
-                        holds.append(holds[0])
-                        continue
-                    m, total = paired(near(z1, x1, l1, z2, x2, tolerance)), len(z1) + len(z2)
-                    holds.append(2 * m == total if share is None else 2 * m > share * total + SLACK)
-                both.append(tuple(holds))
-            ab, ba = pa.array([x[0] for x in both], pa.bool_()), pa.array([x[1] for x in both], pa.bool_())
-            out = pa.RecordBatch.from_arrays([t.column("cls_a"), t.column("cls_b"), ab, ba], names=["cls_a", "cls_b", "ab", "ba"])
-            yield out.filter(pa.array([x[0] or x[1] for x in both], pa.bool_()))
+            side = []
+            for s in "ab":
+                cols = [_ragged(t.column(f"{c}_{s}")) for c in ("numbers", "xyz", "box")]
+                side.append((cols, np.diff(cols[0][1])))
+            holds = np.zeros((2, t.num_rows), bool)
+            box = [np.stack([c[o[i] : o[i] + 9] for i in range(t.num_rows)]).reshape(-1, 3, 3) if t.num_rows else np.zeros((0, 3, 3)) for (_, _, (c, o)), _ in side]
+            close = (np.abs(box[0] - box[1]) <= CELL_TOLERANCE + SLACK).all((1, 2))
+            sizes = np.stack([n for _, n in side], 1)
+            for na, nb in np.unique(sizes[close], axis=0) if close.any() else []:
+                every = np.nonzero(close & (sizes == (na, nb)).all(1))[0]
+                step = max(1, 2_000_000 // max(1, int(na) * int(nb)))
+                for rows in (every[i : i + step] for i in range(0, len(every), step)):
+                    z = [np.stack([v[o[i] : o[i] + n] for i in rows]) for ((v, o), _, _), n in zip((c for c, _ in side), (na, nb), strict=True)]
+                    x = [np.stack([v[o[i] : o[i] + 3 * n] for i in rows]).reshape(len(rows), n, 3) for (_, (v, o), _), n in zip((c for c, _ in side), (na, nb), strict=True)]
+                    cells = [c[rows] for c in box]
+                    for first in (0, 1):
+                        other = (cells[0] != cells[1]).any((1, 2)) if first else np.ones(len(rows), bool)
+                        held = holds[0, rows].copy()
+                        if other.any():
+                            m = _counts([v[other] for v in z], [v[other] for v in x], [v[other] for v in cells], first, tolerance)
+                            held[other] = 2 * m == na + nb if share is None else 2 * m > share * (na + nb) + SLACK
+                        holds[first, rows] = held
+            out = pa.RecordBatch.from_arrays([t.column("cls_a"), t.column("cls_b"), pa.array(holds[0]), pa.array(holds[1])], names=["cls_a", "cls_b", "ab", "ba"])
+            yield out.filter(pa.array(holds.any(0)))
 
     return run
 
