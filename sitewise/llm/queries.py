@@ -86,6 +86,11 @@ def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(table(spark, folder, "documents"), table(spark, folder, "doc_label"))
 
 
+def p10_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The plain counts of the statistics."""
+    return quality.statistics(table(spark, folder, "documents")).select("doc_id", "n_characters", "n_words", "n_lines", F.round("mean_word_length", 8).alias("mean_word_length"), F.round("mean_line_words", 8).alias("mean_line_words"), F.round("distinct_share", 8).alias("distinct_share"))
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return p10_statistics(spark, folder).where("not natural_prose").select("doc_id")
 
@@ -93,6 +98,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "p10_found": p10_found,
     "p10_statistics": p10_statistics,
+    "p10_counts": p10_counts,
 
     "p7_found": p7_found,
     "p7_frames_by_material": _frames_by_material,
@@ -106,6 +112,12 @@ QUERIES = {
 _ID = "nullif(trim(lower(translate({c}, '‐‑‒–—―−⁃﹘﹣－', '-----------')), ' ' || chr(9) || chr(10) || chr(13) || chr(160)), '')"
 
 SQL = {
+    "p10_counts": r"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+w as (select doc_id, t, list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '') as words, list_filter(regexp_split_to_array(t, '[\r\n]+'), lambda x: trim(x) <> '') as lines from d),
+n as (select *, len(words) as nw, len(lines) as nl, list_transform(words, lambda x: lower(regexp_replace(x, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g'))) as bare from w)
+select doc_id, length(t) as n_characters, nw as n_words, nl as n_lines, round(case when nw > 0 then list_sum(list_transform(words, lambda x: length(x)))::double / nw else 0 end, 8) as mean_word_length,
+  round(case when nl > 0 then nw::double / nl else 0 end, 8) as mean_line_words, round(case when nw > 0 then len(list_distinct(bare))::double / nw else 0 end, 8) as distinct_share from n""",
     "p7_found": f"""
 select 'frame_index' as record_table, {_ID.format(c='material_id')} as key_id from frame_index group by 2 having key_id is not null and count(*) >= 0.02 * (select count(*) from frame_index)
 union all
