@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewise.functions.ids import plain_id
+from sitewise.shared import forget, written
 
 BUCKETS = 1024
 #: A key is split where it alone holds more than this part of a task's fair share.
@@ -52,12 +53,13 @@ def plan(df: DataFrame, key: str, tasks: int | None = None) -> Plan:
     """Count loads, split the heavy keys and pack everything to tasks. df[key] must be normalised already."""
     spark = df.sparkSession
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    loads = df.groupBy(key).agg(F.count(F.lit(1)).alias("load"))
+    loads = written(df.groupBy(key).agg(F.count(F.lit(1)).alias("load")))  # one scan; what follows reads a row for each key
     bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS))
     by_bucket = loads.groupBy(bucket.alias("bucket")).agg(F.sum("load").alias("load"), F.sum(F.when(F.col(key).isNull(), F.col("load")).otherwise(0)).alias("nulls")).collect()  # BUCKETS rows at most
     total = sum(r["load"] for r in by_bucket)
     limit = max(1, int(FRACTION * total / tasks))
     heavy = {r[key]: r["load"] for r in loads.where(F.col(key).isNotNull() & (F.col("load") > limit)).collect()}  # fewer than tasks / FRACTION rows
+    forget(loads)
     of_bucket = {r["bucket"]: r["load"] - r["nulls"] for r in by_bucket}
     hb = {}
     if heavy:
