@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewise.operators.prefix import average_ranks, join_value
+from sitewise.shared import ship
 
 MAX_REFERENCE = 5_000
 
@@ -42,32 +46,50 @@ def gated(distances: DataFrame, threshold: float) -> DataFrame:
     return distances.withColumn("supported", reason.isNull()).withColumn("reason", reason)
 
 
+def _sums(beta: np.ndarray, mean: np.ndarray, sd: np.ndarray):  # noqa: ANN202
+    """mapInArrow function: the gradient and the Hessian's upper triangle over a partition, as (place, value) rows."""
+    d = len(beta)
+    upper = np.triu_indices(d)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(d + len(upper[0]))
+        for b in batches:
+            x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d - 1)
+            z = np.hstack([np.ones((len(x), 1)), (x - mean) / sd])
+            p = 1 / (1 + np.exp(-np.clip(z @ beta, -35, 35)))
+            total[:d] += z.T @ (b.column("t").to_numpy() - p)
+            total[d:] += ((z * (p * (1 - p))[:, None]).T @ z)[upper]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], names=["place", "value"])
+
+    return run
+
+
 def fit_domain(rows: DataFrame, dims: int, ridge: float = 1.0, rounds: int = 100, tol: float = 1e-10) -> dict:
     """Ridge logistic regression of side 'q' against 'p' by reweighted least squares; the intercept isn't penalised.
 
-    Each round is one aggregation of the gradient and the Hessian's upper triangle; the (dims + 1)-sized system is
-    solved on the driver. Features are z-scored over both sides. Raises if it doesn't converge.
+    Each round adds up the gradient and the Hessian in Arrow batches, one set of sums for each partition; the system of
+    dims + 1 unknowns is solved on the driver. Features are z-scored over both sides; rows with a null feature are
+    left out. Raises if a side is empty or the rounds don't converge.
     """
-    n = rows.groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()
-    count = {r["side"]: r["n"] for r in n}
+    ship(rows.sparkSession)
+    rows = rows.where((F.size("x") == dims) & ~F.exists("x", lambda v: v.isNull()))
+    count = {r["side"]: r["n"] for r in rows.groupBy("side").agg(F.count(F.lit(1)).alias("n")).where("side in ('p', 'q')").collect()}
     if not count.get("p") or not count.get("q"):
         raise ValueError("both sides need rows")
     m = rows.agg(*(F.avg(F.col("x")[i]) for i in range(dims)), *(F.stddev_pop(F.col("x")[i]) for i in range(dims))).first()
     mean, sd = np.array(m[:dims], float), np.array([v if v else 1.0 for v in m[dims:]], float)
-    z = [F.lit(1.0), *((F.col("x")[i] - F.lit(float(mean[i]))) / F.lit(float(sd[i])) for i in range(dims))]
-    data = rows.select(*(c.alias(f"z{i}") for i, c in enumerate(z)), (F.col("side") == "q").cast("double").alias("t"))
-    beta = np.zeros(dims + 1)
+    data = rows.where("side in ('p', 'q')").select("x", (F.col("side") == "q").cast("double").alias("t"))
     d = dims + 1
+    beta, penalty = np.zeros(d), np.diag([0.0, *([ridge] * dims)])
     for _ in range(rounds):
-        eta = sum((F.col(f"z{i}") * F.lit(float(beta[i])) for i in range(d)), F.lit(0.0))
-        p = 1 / (1 + F.exp(-F.least(F.greatest(eta, F.lit(-35.0)), F.lit(35.0))))
-        w = data.withColumn("p", p).withColumn("w", F.col("p") * (1 - F.col("p")))
-        got = w.agg(*(F.sum(F.col(f"z{i}") * (F.col("t") - F.col("p"))) for i in range(d)), *(F.sum(F.col(f"z{i}") * F.col(f"z{j}") * F.col("w")) for i in range(d) for j in range(i, d))).first()
-        grad, hess = np.array(got[:d], float), np.zeros((d, d))
-        hess[np.triu_indices(d)] = got[d:]
+        got = data.mapInArrow(_sums(beta, mean, sd), "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()  # d + d (d + 1) / 2 rows
+        flat = np.zeros(d + d * (d + 1) // 2)
+        for r in got:
+            flat[r["place"]] = r["value"]
+        hess = np.zeros((d, d))
+        hess[np.triu_indices(d)] = flat[d:]
         hess = hess + hess.T - np.diag(np.diag(hess))
-        penalty = np.diag([0.0, *([ridge] * dims)])
-        step = np.linalg.solve(hess + penalty, grad - penalty @ beta)
+        step = np.linalg.solve(hess + penalty, flat[:d] - penalty @ beta)
         beta = beta + step
         if np.abs(step).max() < tol:
             return {"beta": beta.tolist(), "mean": mean.tolist(), "sd": sd.tolist(), "n_p": count["p"], "n_q": count["q"]}

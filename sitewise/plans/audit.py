@@ -177,23 +177,27 @@ def jon_classified(spark: SparkSession, folder: str) -> DataFrame:
     return M.classified(f.where("split <> 'train'").select(F.col("frame_key").alias("id")), found)
 
 
+#: Of the embeddings; the rows labelled below 5 are the development side.
+DIMS = 64
+
+
 def _vectors(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("group"), F.slice(F.transform("embedding", lambda v: v.cast("double")), 1, 8).alias("x"))
+    return table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("group"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
 
 
 def sta_support(spark: SparkSession, folder: str) -> DataFrame:
-    z = SU.standardised(_vectors(spark, folder), 8)
-    return SU.support_distances(z, z.where("id % 5 = 0"), 5).select("id", F.round("distance", 6).alias("distance"))
+    z = SU.standardised(_vectors(spark, folder), DIMS)
+    return SU.support_distances(z, z.where("group < 5"), 5).select("id", F.round("distance", 6).alias("distance"))
 
 
 def sta_gate(spark: SparkSession, folder: str) -> DataFrame:
-    z = SU.standardised(_vectors(spark, folder), 8)
-    return SU.gated(SU.support_distances(z, z.where("id % 5 = 0"), 5).select("id", F.round("distance", 6).alias("distance")), 3.0)
+    z = SU.standardised(_vectors(spark, folder), DIMS)
+    return SU.gated(SU.support_distances(z, z.where("group < 5"), 5).select("id", F.round("distance", 6).alias("distance")), 10.0)
 
 
 def sta_shift_weights(spark: SparkSession, folder: str) -> DataFrame:
     v = _vectors(spark, folder).select("id", "x", F.when(F.col("group") < 5, "p").otherwise("q").alias("side"))
-    model = SU.fit_domain(v, 8)
+    model = SU.fit_domain(v, DIMS)
     return v.select("id", "side", SU.shift_weight(F.col("x"), model, 20.0).alias("weight"), SU.q_probability(F.col("x"), model).alias("q_probability"))
 
 
@@ -213,9 +217,9 @@ QUERIES = {f.__name__: f for f in (src_column_summary, src_nested_profile, agg_s
 _M = f"{sql_id('material_id')} as material"
 _STEPS = f"steps as (select {sql_id('edge_id')} as edge, count(distinct step) as n_steps, max(step) as last_step, min(step) = 0 and max(step) = count(distinct step) - 1 as contiguous from hop_member where kind = 'band_optim_step' and step is not null group by 1 having edge is not null)"
 _MEM = f"{_M} from"
-_VEC = """v as (select vec_id as id, label as g, list_transform(embedding[1:8], lambda x: x::double) as x from embeddings), u as (select id, g, unnest(x) as x, unnest(range(1, 9)) as k from v),
+_VEC = """v as (select vec_id as id, label as g, list_transform(embedding, lambda x: x::double) as x from embeddings), u as (select id, g, unnest(x) as x, unnest(range(1, 65)) as k from v),
 st as (select k, avg(x) as m, stddev_pop(x) as s from u group by 1), z as (select u.id, u.g, u.k, (u.x - st.m) / case when st.s > 0 then st.s else 1 end as x from u join st using (k)),
-d as (select a.id, b.id as r, sqrt(sum((a.x - b.x) * (a.x - b.x))) as d from z a join z b on a.k = b.k and a.g <> b.g and b.id % 5 = 0 group by 1, 2),
+d as (select a.id, b.id as r, sqrt(sum((a.x - b.x) * (a.x - b.x))) as d from z a join z b on a.k = b.k and a.g <> b.g and b.g < 5 group by 1, 2),
 dist as (select id, round(case when count(*) = 5 then avg(d) end, 6) as distance from (select * from d qualify row_number() over (partition by id order by d, r) <= 5) group by 1)"""
 _all_of = lambda c, fn: " union all ".join(f"select '{t}' as t, {sql_id('material_id')} as material from {t}" for t in c)
 
@@ -252,7 +256,7 @@ t as (select row_id, concat_ws(';', case when m is null then 'no_material' end,
     "srt_largest_components": f"with {FRAMES}, c as (select frame_key, unnest(flatten(forces)) as v, unnest(range(0, len(flatten(forces)))) as i from frames where forces is not null) select frame_key, i::int as component, abs(v) as magnitude from c qualify row_number() over (partition by frame_key order by abs(v) desc, i) <= 3",
     "srt_model_selection": "with r as (select model_name, count(*) filter (where status = 'success') as n_success, count(*) filter (where status <> 'success') as n_failed from inference_record group by 1) select * from r where n_success >= (select max(n_success) * 0.5 from r) order by n_failed, model_name limit 1",
     "sta_support": f"with {_VEC} select v.id, distance from v left join dist using (id)",
-    "sta_gate": f"with {_VEC}, j as (select v.id, distance from v left join dist using (id)), g as (select *, case when distance is null then 'missing_feature' when distance > 3 then 'outside_support' end as reason from j) select id, distance, reason is null as supported, reason from g",
+    "sta_gate": f"with {_VEC}, j as (select v.id, distance from v left join dist using (id)), g as (select *, case when distance is null then 'missing_feature' when distance > 10 then 'outside_support' end as reason from j) select id, distance, reason is null as supported, reason from g",
     "agg_auc": """with v as (select round(embedding[1]::double, 2) as s, label >= 5 as q from embeddings), r as (select q, rank() over (order by s) + (count(*) over (partition by s) - 1) / 2 as r from v)
 select round((sum(r) filter (where q) - count(*) filter (where q) * (count(*) filter (where q) + 1) / 2) / (count(*) filter (where q) * count(*) filter (where not q)), 8) as auc from r""",
     "agg_weight_diagnostics": f"with {HOPS}, w as (select em_dft + 0.1::double as w from hops) select round(sum(w) * sum(w) / sum(w * w), 6) as effective_size, round(max(w), 6) as most, round(quantile_cont(w, 0.05), 6) as q05, round(quantile_cont(w, 0.5), 6) as q50, round(quantile_cont(w, 0.95), 6) as q95 from w",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitewise.functions.ids import plain_id
@@ -78,10 +78,8 @@ def agg_cube(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def srt_ordered(spark: SparkSession, folder: str) -> DataFrame:
-    """The place of each source's first frames in ascending order of their ids as text: 10 stands before 2."""
-    f = table(spark, folder, "frame_geometry").where("frame_index < 30")
-    from pyspark.sql import Window
-
+    """The place of each source's frames in ascending order of their ids as text: 10 stands before 2."""
+    f = table(spark, folder, "frame_geometry")
     return f.select("frame_key", F.row_number().over(Window.partitionBy("source_file").orderBy("frame_id")).alias("place"))
 
 
@@ -109,6 +107,6 @@ union all select 'pool', 'record', 0, (select count(*) from a join inference_rec
     "str_json_leaves": "select leaf, count(*) as n from (select unnest(json_keys(props)) as leaf from events) group by 1",
     "str_rounded": f"with {HOPS} select row_id, printf('%.4f', round(em_dft, 4)) as shown, '[' || printf('%.4f', round(least(em_dft, em_bvse), 4)) || ', ' || printf('%.4f', round(greatest(em_dft, em_bvse), 4)) || ']' as interval from hops",
     "agg_cube": "select model_name, published_split, count(*) as n, count(*) filter (where status = 'success') as n_success, max(attempt_number) as last_attempt from inference_record group by cube (model_name, published_split)",
-    "srt_ordered": "select frame_key, row_number() over (partition by source_file order by frame_id)::int as place from frame_geometry where frame_index < 30",
+    "srt_ordered": "select frame_key, row_number() over (partition by source_file order by frame_id)::int as place from frame_geometry",
     "srt_shards": "select (frame_key - 1) // 512 as shard, count(*) as n, min(frame_key) as first_key, max(frame_key) as last_key, sum(n_atoms)::bigint as n_atoms from frame_geometry group by 1",
 }
