@@ -59,8 +59,9 @@ def first_rows(keys: list[str], n: int):  # noqa: ANN201
     return run
 
 
-def top_n(df: DataFrame, group: list[str], score: str, tie: str, n: int, salts: int = 32) -> DataFrame:
-    """The n rows of each group with the highest score, ties by `tie` ascending."""
+def top_n(df: DataFrame, group: list[str], score: str, tie: str, n: int, salts: int | None = None) -> DataFrame:
+    """The n rows of each group with the highest score, ties by `tie` ascending; salts is as many as shuffle partitions, 32 at least."""
+    salts = max(32, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if salts is None else salts
     if n < 1 or salts < 1:
         raise ValueError("n and salts must be at least 1")
     ship(df.sparkSession)
