@@ -62,7 +62,7 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.join(parents, "node", "left").select("node", F.coalesce("parent", "node").alias("component"))
 
 
-def running_total(df: DataFrame, group: list[str], key: str, weight: str, total: str, buckets: int = 256) -> DataFrame:
+def running_total(df: DataFrame, group: list[str], key: str, weight: str, total: str, buckets: int = 4096) -> DataFrame:
     """df with `total`: the sum of weight over the rows of the group up to the row, by key ascending (a hash as LONG).
 
     A distributed prefix sum: the key's range is cut into equal buckets, their sums are added up by a window over at
