@@ -191,17 +191,18 @@ def conversions(table: DataFrame) -> DataFrame:
     return F.broadcast(table.select(F.col("quantity").alias("c_quantity"), F.col("source_unit").alias("c_unit"), F.col("canonical_unit").alias("c_canonical"), F.col("factor").alias("c_factor")).dropDuplicates(["c_quantity", "c_unit"]))
 
 
-def normalise_records(records: DataFrame, conversion: DataFrame) -> DataFrame:
+def normalise_records(records: DataFrame, conversion: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Energies and forces of inference records in their common units.
 
     One row for each record and field (energy, forces) with a non-null value: record_table, row_id, field_name,
     source_unit (null if unknown), common_unit, value (energy) or values (forces) in the common unit; an unknown unit
-    leaves the converted value null and the given value in given / given_values. NaN values stay NaN.
+    leaves the converted value null and the given value in given / given_values. NaN values stay NaN. `keep`: further
+    columns of the records to carry along.
     """
     ship(records.sparkSession)
-    base = records.select("row_id", "energy", "energy_unit", "forces", "force_unit", "remark")
-    e = base.where("energy is not null").select("row_id", F.lit("energy").alias("field_name"), F.lit("energy").alias("quantity"), F.col("energy_unit").alias("said"), "remark", F.col("energy").alias("given"), F.lit(None).cast("array<array<double>>").alias("given_values"))
-    f = base.where("forces is not null").select("row_id", F.lit("forces"), F.lit("force"), "force_unit", "remark", F.lit(None).cast("double"), "forces")
+    base = records.select("row_id", "energy", "energy_unit", "forces", "force_unit", "remark", *keep)
+    e = base.where("energy is not null").select("row_id", F.lit("energy").alias("field_name"), F.lit("energy").alias("quantity"), F.col("energy_unit").alias("said"), "remark", F.col("energy").alias("given"), F.lit(None).cast("array<array<double>>").alias("given_values"), *keep)
+    f = base.where("forces is not null").select("row_id", F.lit("forces"), F.lit("force"), "force_unit", "remark", F.lit(None).cast("double"), "forces", *keep)
     rows = resolve_column(e.union(f), F.col("quantity"), F.col("said"), "named")
     needs = F.col("named").isNull() & F.col("remark").isNotNull()
     text = F.when(F.col("quantity") == "energy", _from_text("energy")(F.when(needs & (F.col("quantity") == "energy"), F.col("remark")))).otherwise(_from_text("force")(F.when(needs & (F.col("quantity") == "force"), F.col("remark"))))
@@ -209,7 +210,7 @@ def normalise_records(records: DataFrame, conversion: DataFrame) -> DataFrame:
     rows = rows.join(conversions(conversion), (F.col("quantity") == F.col("c_quantity")) & (F.col("source_unit") == F.col("c_unit")), "left")
     factor = F.col("c_factor")
     converted = F.when(factor.isNotNull(), F.transform("given_values", lambda r: F.transform(r, lambda x: x * factor)))
-    return rows.select(F.lit("inference_record").alias("record_table"), "row_id", "field_name", "source_unit", F.col("c_canonical").alias("common_unit"), (F.col("given") * factor).alias("value"), converted.alias("values"), "given", "given_values")
+    return rows.select(F.lit("inference_record").alias("record_table"), "row_id", "field_name", "source_unit", F.col("c_canonical").alias("common_unit"), (F.col("given") * factor).alias("value"), converted.alias("values"), "given", "given_values", *keep)
 
 
 def normalise_readings(readings: DataFrame, manifest: DataFrame, conversion: DataFrame) -> DataFrame:

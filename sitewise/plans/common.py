@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewise.functions.ids import plain_chemsys, plain_id, plain_split, source_of_file, split_of_file
+from sitewise.operators.units import normalise_records
 from sitewise.sources.tables import table
 
 
@@ -47,11 +48,17 @@ FRAMES = f"""frames as (select frame_key, frame_id, {sql_id('material_id')} as m
   regexp_replace(trim(source_file), '(?i)_(train|val|test)\\.[A-Za-z0-9.]+$', '') as source, len(numbers)::int as n, energy, numbers, cell, forces from frame_geometry)"""
 
 
-def predictions(spark: SparkSession, folder: str) -> DataFrame:
-    """model, frame_id, forces: of every model and frame the last attempt, where forces are in the common unit by name."""
+def last_forces(spark: SparkSession, folder: str) -> DataFrame:
+    """model, frame_id, forces: of every model and frame the last attempt, if it has forces, in the common unit; null if their unit isn't known."""
     r = table(spark, folder, "inference_record")
-    last = r.groupBy(F.col("model_name").alias("model"), "frame_id").agg(F.max_by(F.struct("forces", "force_unit"), F.struct("attempt_number", "row_id")).alias("l"))
-    return last.where("l.forces is not null and l.force_unit = 'eV/angstrom'").select("model", "frame_id", F.col("l.forces").alias("forces"))
+    last = r.groupBy(F.col("model_name").alias("model"), "frame_id").agg(F.max_by(F.struct("row_id", "forces", "force_unit", "remark"), F.struct("attempt_number", "row_id")).alias("l"))
+    rows = last.select("model", "frame_id", "l.*", F.lit(None).cast("double").alias("energy"), F.lit(None).cast("string").alias("energy_unit"))
+    return normalise_records(rows, table(spark, folder, "unit_conversion"), ("model", "frame_id")).select("model", "frame_id", F.col("values").alias("forces"))
+
+
+def predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """last_forces() of known units; agg_force_units counts the others."""
+    return last_forces(spark, folder).where("forces is not null")
 
 
 PREDICTIONS = """predictions as (select model_name as model, frame_id, forces from (select *, row_number() over (partition by model_name, frame_id order by attempt_number desc, row_id desc) as rn from inference_record)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitewise.operators import sampling as SA
 from sitewise.operators import statistics as S
-from sitewise.plans.common import COMPONENTS, FRAMES, HOPS, frames, hops, predictions
+from sitewise.plans.common import COMPONENTS, FRAMES, HOPS, frames, hops, last_forces, predictions
 from sitewise.sources.tables import table
 
 LEAST = (3, 30, 3)
@@ -98,6 +98,11 @@ def agg_funnel(spark: SparkSession, folder: str) -> DataFrame:
     return r.groupBy("model_name").agg(n.alias("n_attempted"), F.count_if(ok).alias("n_success"), F.count_if(use).alias("n_usable"), F.round(F.count_if(ok) / n, 6).alias("success_rate"), F.round(F.count_if(use) / F.nullif(F.count_if(ok), F.lit(0)), 6).alias("usable_rate"))
 
 
+def agg_force_units(spark: SparkSession, folder: str) -> DataFrame:
+    """Per model: last attempts with forces, those that the statistics use, and those left out as their unit isn't known."""
+    return last_forces(spark, folder).groupBy("model").agg(F.count(F.lit(1)).alias("n_forces"), F.count("forces").alias("n_used"), F.count_if(F.col("forces").isNull()).alias("n_unknown_unit"))
+
+
 def sta_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
     """Percentile intervals of each model's slope over all atoms, 40 draws of whole frames."""
     s = S.combined(_stats(spark, folder), ["model", "frame_id"]).where("component_set = 'all'")
@@ -121,7 +126,7 @@ def srt_median_split(spark: SparkSession, folder: str) -> DataFrame:
     return S.median_split(f.select("frame_key", "material", "energy"), ["material"], "energy", "frame_key").select("frame_key", "half")
 
 
-QUERIES = {f.__name__: f for f in (agg_element_statistics, agg_component_sets, agg_estimates_by_model, agg_estimates_by_material, agg_deciles, agg_metrics, agg_error_reduction, agg_barriers, agg_common_population, agg_quantiles, agg_model_summary, agg_lithium_host_gap, agg_accounting, agg_funnel, sta_bootstrap, srt_label_budget, srt_median_split)}
+QUERIES = {f.__name__: f for f in (agg_element_statistics, agg_component_sets, agg_estimates_by_model, agg_estimates_by_material, agg_deciles, agg_metrics, agg_error_reduction, agg_barriers, agg_common_population, agg_quantiles, agg_model_summary, agg_lithium_host_gap, agg_accounting, agg_funnel, agg_force_units, sta_bootstrap, srt_label_budget, srt_median_split)}
 
 _SETS = "sets as (select model, frame_id, material_id, unnest(['all', case when z = 3 then 'Li' else 'host' end, 'Z' || z]) as component_set, n_atoms, n_informative, sxy, sxx, syy from stats)"
 
