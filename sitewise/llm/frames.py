@@ -152,7 +152,7 @@ def verify(tolerance: float, share: float | None):  # noqa: ANN201
             sizes = np.stack([n for _, n in side], 1)
             for na, nb in np.unique(sizes[close], axis=0) if close.any() else []:
                 every = np.nonzero(close & (sizes == (na, nb)).all(1))[0]
-                step = max(1, 2_000_000 // max(1, int(na) * int(nb)))
+                step = max(1, 250_000 // max(1, int(na) * int(nb)))
                 for rows in (every[i : i + step] for i in range(0, len(every), step)):
                     z = [np.stack([v[o[i] : o[i] + n] for i in rows]) for ((v, o), _, _), n in zip((c for c, _ in side), (na, nb), strict=True)]
                     x = [np.stack([v[o[i] : o[i] + 3 * n] for i in rows]).reshape(len(rows), n, 3) for (_, (v, o), _), n in zip((c for c, _ in side), (na, nb), strict=True)]

@@ -7,8 +7,9 @@ tokens agree in some whole segment: records of one size band that agree in a seg
 candidates are tested exactly.
 
 An atom that moved by less than the tolerance can still cross a bin's edge. So there are several grids with shifted
-edges, each with sketches of its own, and segments that are equal in any of them count; HITS of them make a
-candidate, as frames of one material that vibrate about the same sites agree in single segments by chance. Sizes differ by
+edges, each with sketches of its own, and a segment that is equal in any of them makes a candidate. Frames of one
+material that vibrate about the same sites agree in single segments by chance; such pairs are thinned by an exact bound
+before their atoms are fetched (within_bound). Sizes differ by
 a factor of up to RATIO within a pair; records are sketched in the two size bands that cover this, so any pair that
 can reach the share shares a band. Frames are further keyed by the lengths of their lattice vectors, with a second
 key where a length is so near an edge that a cell within the tolerance may fall beyond it.
@@ -33,10 +34,13 @@ from sitewise.shared import ship, written
 TOLERANCE, SHARE = 0.05, 0.78
 #: Of two sizes in a pair at most: 2 min / (min + max) > SHARE.
 RATIO = (2 - SHARE) / SHARE
-GRIDS, BINS, PER_SEGMENT, FEW = 32, 20, 3.5, 6
-#: In so many segments, over all grids, a pair must agree to be tested; pairs that hold agree in many, chance pairs in one.
-HITS = 2
+PER_SEGMENT, FEW = 3.5, 6
+#: Bins on each axis, by grid: the coarser ones are for cells that changed, which move wrapped atoms by more than the tolerance.
+BINS = np.array([20] * 32 + [12] * 16)
+GRIDS = len(BINS)
 LENGTH_STEP = 2.0
+#: Of the bound's bitmaps: bins on each axis, and 64-bit words.
+COARSE, WORDS = 16, 4
 
 
 def bands(n: int) -> tuple[int, int]:
@@ -59,9 +63,10 @@ def segment_keys(z: np.ndarray, x: np.ndarray, box: np.ndarray, shift: np.ndarra
     n = len(z)
     f = x @ np.linalg.inv(box)
     f -= np.floor(f)
-    bins = np.floor(f[None] * BINS + shift[:, None, :]).astype(np.int64) % BINS  # grid, atom, axis
+    per = BINS[:, None, None]
+    bins = np.floor(f[None] * per + shift[:, None, :]).astype(np.int64) % per  # grid, atom, axis
     with np.errstate(over="ignore"):
-        token = ((bins[..., 0] * BINS + bins[..., 1]) * BINS + bins[..., 2]).astype(np.uint64) * np.uint64(256) + (z & 255).astype(np.uint64)
+        token = ((bins[..., 0] * per[..., 0] + bins[..., 1]) * per[..., 0] + bins[..., 2]).astype(np.uint64) * np.uint64(256) + (z & 255).astype(np.uint64)
         token = mixed(token + (np.arange(GRIDS, dtype=np.uint64)[:, None] << np.uint64(40)) + np.uint64(0x9E3779B97F4A7C15))
         lengths, reach = np.sqrt((box**2).sum(1)), CELL_TOLERANCE * np.sqrt(3) / 2 + 1e-6
         lo, hi = np.floor((lengths - reach) / LENGTH_STEP).astype(int), np.floor((lengths + reach) / LENGTH_STEP).astype(int)
@@ -91,12 +96,54 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(keys, pa.list_(pa.int64()))], names=["rep", "keys"])
 
 
+def bitmaps(z: np.ndarray, x: np.ndarray, box: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the atoms' own bins, and of all bins that an atom within the tolerance of them in the same cell may be in."""
+    inv = np.linalg.inv(box)
+    f, reach = x @ inv, (TOLERANCE + 1e-6) * np.sqrt((inv**2).sum(0)) + 1e-9
+    out = []
+    for r in (np.zeros(3), reach):
+        if (r * COARSE >= 1).any():  # a thin cell: anything may be near
+            out.append(np.full(WORDS, -1, np.int64))
+            continue
+        edge = np.floor(np.stack([f - r, f, f + r]) * COARSE).astype(np.int64) % COARSE
+        bins = (edge[:, None, None, :, 0] * COARSE + edge[None, :, None, :, 1]) * COARSE + edge[None, None, :, :, 2]
+        with np.errstate(over="ignore"):
+            bit = (mixed((bins * 256 + (z & 255)).astype(np.uint64).ravel() + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(64 * WORDS)
+        flags = np.zeros(64 * WORDS, np.uint8)
+        flags[bit.astype(np.int64)] = 1
+        out.append(np.packbits(flags).view(np.int64))
+    return out[0], out[1]
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        z, zo = _ragged(b.column("numbers"))
+        x, xo = _ragged(b.column("xyz"))
+        c, co = _ragged(b.column("box"))
+        words = [np.concatenate(bitmaps(z[zo[i] : zo[i + 1]], x[xo[i] : xo[i + 1]].reshape(-1, 3), c[co[i] : co[i + 1]].reshape(3, 3))) for i in range(b.num_rows)]
+        flat = np.array(words, np.int64).reshape(-1, 2 * WORDS)
+        yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("n"), b.column("cell"), *(pa.array(flat[:, i]) for i in range(2 * WORDS))], names=["rep", "n", "cell", *(f"{w}{i}" for w in "od" for i in range(WORDS))])
+
+
+def within_bound(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """pairs(a, b) without those of one and the same cell that can't reach the share: a bit of one that no atom of the
+    other can set stands for at least one atom without a partner. Pairs of differing cells are kept.
+    """
+    columns = ", ".join(f"{w}{i} long" for w in "od" for i in range(WORDS))
+    marks = written(reps.select("rep", "n", F.xxhash64("box").alias("cell"), "numbers", "xyz", "box").mapInArrow(_bitmaps, f"rep long, n int, cell long, {columns}"))
+    side = lambda s: marks.select(*(F.col(c).alias(s if c == "rep" else f"{c}_{s}") for c in marks.columns))
+    lone = lambda s, t: sum((F.bit_count(F.col(f"o{i}_{s}").bitwiseAND(F.bitwise_not(f"d{i}_{t}"))) for i in range(WORDS)), F.lit(0))
+    reaches = lambda s, t: 2 * (F.col(f"n_{s}") - lone(s, t)) >= F.lit(SHARE) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where((F.col("cell_a") != F.col("cell_b")) | (reaches("a", "b") & reaches("b", "a"))).select("a", "b")
+
+
 def class_pairs(rows: DataFrame, reps: DataFrame) -> DataFrame:
     """(cls_a, cls_b, ab, ba): pairs of classes that share enough atoms."""
     keys = reps.select("rep", "numbers", "xyz", "box").mapInArrow(_sketch, "rep long, keys array<long>").select("rep", F.explode("keys").alias("key"))
     keys = written(keys)
     pairs = keys.select("key", F.col("rep").alias("a")).join(keys.select("key", F.col("rep").alias("b")), "key").where("a < b")
-    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= HITS).select("a", "b")
+    pairs = within_bound(pairs.select("a", "b").distinct(), reps)
     return verified(pairs, reps, TOLERANCE, SHARE)
 
 

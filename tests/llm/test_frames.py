@@ -120,3 +120,36 @@ def test_hops(spark):
     rows = [(1, "mp-1", "mp-1_0_1_0_0_1", "train", "x"), (2, " MP−1", "mp-1_1_0_0_0_-1", "Validation", "x"), (3, "mp-1", "mp-1_0_1_0_0_1", None, "x"), (4, "mp-1", "mp-1_0_1", "val", "x"), (5, None, "mp-1_0_1_0_0_1", "val", "x"), (6, "mp-1", "mp-1_0_1_0_0_1", "test", "x"), (7, "mp-1", None, "test", "x"), (8, "mp-1", "mp-1_0_1_0_0_1", "train", "x")]
     got = {(r.k_t, r.k_o, r.split_o) for r in overlap.hop_overlaps(spark.createDataFrame(rows, schema)).collect()}
     assert got == {(1, 2, "val"), (1, 6, "test"), (8, 2, "val"), (8, 6, "test")}
+
+
+def edge_pairs(count, changed, wrapped, seed=21):
+    """Pairs right at the edge: all atoms moved by the whole 0.05 Å, atoms left out until the share is just reached."""
+    r, rows = np.random.default_rng(seed), []
+    for i in range(count):
+        n = int(r.integers(7, 26))
+        cell = np.diag(r.uniform(5.2, 11.5, 3)) + r.uniform(-0.5, 0.5, (3, 3)) * (1 - np.eye(3))
+        x, z = r.random((n, 3)) @ cell, r.choice([3, 8, 17, 26], n)
+        keep = int(np.floor(nearcopies.SHARE * n / (2 - nearcopies.SHARE) + 1e-9)) + 1
+        v = r.normal(size=(keep, 3))
+        y = x[:keep] + v / np.linalg.norm(v, axis=1)[:, None] * 0.049999
+        y = y + (r.integers(-2, 3, (keep, 3)) @ cell if wrapped else 0)
+        rows += [row(2 * i, "train", x, z.tolist(), cell), row(2 * i + 1, "val", y, z[:keep].tolist(), cell + (r.uniform(-0.05, 0.05, (3, 3)) if changed else 0))]
+    return rows
+
+
+@pytest.mark.parametrize(("changed", "wrapped"), [(False, False), (False, True), (True, False), (True, True)])
+def test_recall_of_changed_and_wrapped_cells(spark, changed, wrapped):
+    rows = edge_pairs(500, changed, wrapped)
+    want = {(2 * i, 2 * i + 1) for i in range(500)}
+    got = {tuple(x) for x in nearcopies.near_pairs(spark.createDataFrame(rows, SCHEMA)).select("a", "b").collect()}
+    assert len(got & want) >= (465 if changed and wrapped else 498)
+
+
+def test_bound_keeps_every_pair_that_holds():
+    """Own bins against reachable bins, in one cell: no atom within the tolerance counts as lone."""
+    for a, b in zip(*(iter(edge_pairs(200, False, True)),) * 2, strict=True):
+        for s, t in ((a, b), (b, a)):
+            own, _ = nearcopies.bitmaps(np.array(s[4]), np.array(s[5]), np.array(s[6]))
+            _, near = nearcopies.bitmaps(np.array(t[4]), np.array(t[5]), np.array(t[6]))
+            lone = sum(int(w).bit_count() for w in (own & ~near).view(np.uint64))
+            assert lone <= len(s[4]) - len(b[4])
