@@ -82,31 +82,28 @@ def weighted_pvalues(units: DataFrame, group: list[str]) -> DataFrame:
     return test.select(*group, "unit_id", "score", "weight", ((F.col("w_upto") + F.col("weight")) / (F.col("w_cal") + F.col("weight"))).alias("p"))
 
 
-MAX_TEST = 2000
-
-
 def weighted_selection(units: DataFrame, group: list[str], q: float) -> DataFrame:
     """Weighted conformalised selection with deterministic pruning: test units with p, size and selected.
 
     For every test unit j the others' auxiliary p-values compare scores strictly and use j's weight; size is the
     largest k with 1 + #{auxiliary p <= q k / m} >= k. A unit passes first if p <= q size / m; r is the largest number
-    with at least r passing units of size <= r, and those are selected. The work is m squared within a group, by the
-    method's definition; groups of more than MAX_TEST test units are refused rather than attempted.
+    with at least r passing units of size <= r, and those are selected.
+
+    Auxiliary p-values rise with the other's score, so their rank is that of the score and only the last unit of each
+    score can settle a size: no pairs are made. What is made is one row for each distinct score and distinct weight of
+    a group's test units.
     """
     test = weighted_pvalues(units, group)
-    m = test.groupBy(*group).agg(F.count(F.lit(1)).alias("m")).withColumn("m", F.when(F.col("m") <= MAX_TEST, F.col("m")).otherwise(F.raise_error(F.lit("too many test units in a group")).cast("long")))
-    cal = F.when(F.col("side") == "calibration", F.col("weight")).otherwise(F.lit(0.0))
-    below = prefix_by_value(units, group, "score", {"w": cal}).withColumn("w_below", F.col("w_upto") - F.col("w"))
-    scored = join_value(test, below, group, "score", ["w_below"])
-    total = units.groupBy(*group).agg(F.sum(cal).alias("w_cal"))
-    scored = (scored.join(total, group).join(m, group) if group else scored.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(m)))
-    j = scored.select(*group, "unit_id", "score", "weight", "p", "m")
-    other = scored.select(*group, F.col("unit_id").alias("l"), F.col("score").alias("l_score"), "w_below", "w_cal")
-    pairs = (j.join(other, group) if group else j.join(other, F.lit(True))).where("l <> unit_id")
-    aux = (F.col("w_below") + F.when(F.col("score") < F.col("l_score"), F.col("weight")).otherwise(0.0)) / (F.col("w_cal") + F.col("weight"))
-    ranked = pairs.select(*group, "unit_id", "m", aux.alias("aux")).withColumn("i", F.row_number().over(Window.partitionBy(*group, "unit_id").orderBy("aux")))
-    size = ranked.groupBy(*group, "unit_id").agg(F.max(F.when(F.col("aux") <= F.lit(q) * (F.col("i") + 1) / F.col("m"), F.col("i") + 1)).alias("size"))
-    first = j.join(size, [*group, "unit_id"], "left").withColumn("size", F.coalesce("size", F.lit(1))).withColumn("passes", F.col("p") <= F.lit(q) * F.col("size") / F.col("m"))
+    cal, one = F.when(F.col("side") == "calibration", F.col("weight")).otherwise(F.lit(0.0)), F.when(F.col("side") == "test", 1).otherwise(0)
+    per = prefix_by_value(units, group, "score", {"w": cal, "n": one}).where("n > 0").select(*group, "score", (F.col("w_upto") - F.col("w")).alias("w_below"), "n_upto")
+    total, weights = units.groupBy(*group).agg(F.sum(cal).alias("w_cal"), F.sum(one).alias("m")), test.select(*group, "weight").distinct()
+    grid = per.join(total, group).join(weights, group) if group else per.crossJoin(F.broadcast(total)).crossJoin(weights)
+    most = lambda aux, k: F.when(aux / (F.col("w_cal") + F.col("weight")) <= F.lit(q) * k / F.col("m"), k)
+    w, n = Window.partitionBy(*group, "weight"), F.col("n_upto")
+    lower = F.max(most(F.col("w_below"), n + 1)).over(w.orderBy("score").rowsBetween(Window.unboundedPreceding, -1))
+    higher = F.max(most(F.col("w_below") + F.col("weight"), n)).over(w)  # rises with the score, so it counts if above n
+    grid = grid.select(*group, "weight", "score", "m", F.greatest(F.lit(1).cast("long"), lower, most(F.col("w_below"), n), F.when(higher > n, higher)).alias("size"))
+    first = test.join(grid, [*group, "weight", "score"]).withColumn("passes", F.col("p") <= F.lit(q) * F.col("size") / F.col("m"))
     placed = first.where("passes").withColumn("i", F.row_number().over(Window.partitionBy(*group).orderBy("size", "unit_id")))
     r = placed.groupBy(*group).agg(F.max(F.when(F.col("size") <= F.col("i"), F.col("i"))).alias("r"))
     out = first.join(r, group, "left") if group else first.join(r, F.lit(True), "left")

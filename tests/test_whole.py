@@ -1,6 +1,10 @@
 """That queries do their whole job: nothing dropped, capped or sampled."""
 
+import random
+
+from sitewise.operators import screening
 from sitewise.plans import common, estimation
+from test_operators import _wcs
 
 RECORD = "row_id long, model_name string, frame_id string, attempt_number int, forces array<array<double>>, force_unit string, remark string"
 
@@ -15,3 +19,31 @@ def test_forces_of_every_known_unit(spark, tmp_path):
     got = {r.frame_id: r.forces[0][0] for r in common.predictions(spark, str(tmp_path)).collect()}
     assert got == {"f0": 5.0, "f2": 2.0, "f3": 0.002, "f4": 0.2, "f5": 100.0, "f7": 0.2}
     assert tuple(estimation.agg_force_units(spark, str(tmp_path)).first()) == ("m", 7, 6, 1)
+
+
+def test_weighted_selection_of_a_large_group(spark):
+    """More than 2,000 test units in one group, most scores tied or distinct, beside a group of one."""
+    r = random.Random(8)
+    cal = [(round(r.random(), 2), r.choice([1.0, 1.5])) for _ in range(900)]
+    test = [(r.random() ** 2 - 0.2 if i % 2 else round(r.random() - 0.3, 1), r.choice([1.0, 1.5])) for i in range(2100)]
+    rows = [("hot", f"c{i}", "calibration", *x) for i, x in enumerate(cal)] + [("hot", f"t{i:04}", "test", *x) for i, x in enumerate(test)] + [("one", "u", "test", 0.5, 1.0)]
+    u = spark.createDataFrame(rows, "g string, unit_id string, side string, score double, weight double")
+    got = {x.unit_id: (x.size, x.selected) for x in screening.weighted_selection(u, ["g"], 0.5).collect()}
+    assert len(got) == 2101 and got["u"][0] == 1
+    wc, m, sized = sum(w for _, w in cal), len(test), sorted((s, sum(w for c, w in cal if c < s)) for s, _ in test)
+    for j in range(0, m, 150):  # sizes from the definition
+        s, w = test[j]
+        rest = list(sized)
+        rest.remove(next(x for x in rest if x[0] == s))
+        aux = sorted((b + (w if s < t else 0)) / (wc + w) for t, b in rest)
+        assert got[f"t{j:04}"][0] == max([1, *(i + 2 for i, a in enumerate(aux) if a <= 0.5 * (i + 2) / m)])
+
+
+def test_weighted_selection_without_group(spark):
+    r = random.Random(5)
+    for _ in range(3):
+        cal, test = ([(round(r.random() + d, 1), r.choice([0.5, 1.0, 2.0])) for _ in range(n)] for n, d in ((30, 0.2), (25, 0)))
+        rows = [(f"c{i}", "calibration", *x) for i, x in enumerate(cal)] + [(f"t{i}", "test", *x) for i, x in enumerate(test)]
+        u = spark.createDataFrame(rows, "unit_id string, side string, score double, weight double")
+        got = {x.unit_id: (x.selected, x.size) for x in screening.weighted_selection(u, [], 0.5).collect()}
+        assert got == {f"t{i}": x for i, x in enumerate(zip(*_wcs(cal, test, 0.5), strict=True))}
