@@ -10,7 +10,7 @@ from sitewise.operators import matching as M
 from sitewise.operators import percolation as PC
 from sitewise.operators import profile as P
 from sitewise.operators import support as SU
-from sitewise.plans.common import FRAMES, HOPS, frames, hops, sql_chemsys, sql_id, sql_split
+from sitewise.plans.common import FRAMES, HOPS, all_hops, frames, hops, sql_chemsys, sql_id, sql_split
 from sitewise.sources.tables import table
 
 
@@ -25,12 +25,12 @@ def src_nested_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def agg_split_summary(spark: SparkSession, folder: str) -> DataFrame:
-    h = hops(spark, folder).where("split is not null")
+    h = all_hops(spark, folder).where("split is not null")
     return P.split_summary(h, "split", "system", "edge")
 
 
 def agg_spans(spark: SparkSession, folder: str) -> DataFrame:
-    return P.spans(hops(spark, folder), "material", "split")
+    return P.spans(all_hops(spark, folder), "material", "split")
 
 
 def agg_archive_steps(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,7 +73,7 @@ def win_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def set_compare(spark: SparkSession, folder: str) -> DataFrame:
-    a = hops(spark, folder).select("material")
+    a = all_hops(spark, folder).select("material")
     b = table(spark, folder, "bvel13k_index").select(plain_id(F.col("material_id")).alias("material"))
     return P.set_comparison(a, b, "material")
 
@@ -86,7 +86,7 @@ def jon_overlaps(spark: SparkSession, folder: str) -> DataFrame:
 def set_tagged_union(spark: SparkSession, folder: str) -> DataFrame:
     """Frames and hops as one table of tagged records; materials whose split differs between the kinds."""
     f = frames(spark, folder).select(F.lit("frame").alias("record_kind"), "material", "split")
-    h = hops(spark, folder).select(F.lit("hop").alias("record_kind"), "material", "split", "system")
+    h = all_hops(spark, folder).select(F.lit("hop").alias("record_kind"), "material", "split", "system")
     u = f.unionByName(h, allowMissingColumns=True)
     return u.where("material is not null and split is not null").groupBy("material").agg(F.count_if(F.col("record_kind") == "frame").alias("n_frames"), F.count_if(F.col("record_kind") == "hop").alias("n_hops"), F.countDistinct("split").alias("n_splits"))
 
@@ -94,7 +94,7 @@ def set_tagged_union(spark: SparkSession, folder: str) -> DataFrame:
 def set_exclusions(spark: SparkSession, folder: str) -> DataFrame:
     """Materials of the pool that no hop and no frame knows."""
     pool = table(spark, folder, "bvel13k_index").select(plain_id(F.col("material_id")).alias("material")).where("material is not null").distinct()
-    used = hops(spark, folder).select("material").union(frames(spark, folder).select("material"))
+    used = all_hops(spark, folder).select("material").union(frames(spark, folder).select("material"))
     return pool.join(used, "material", "left_anti")
 
 
@@ -124,7 +124,7 @@ def flt_consistency(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def flt_conflicting_materials(spark: SparkSession, folder: str) -> DataFrame:
-    h = hops(spark, folder).where("material is not null")
+    h = all_hops(spark, folder).where("material is not null")
     return h.groupBy("material").agg(F.countDistinct("system", "split").alias("n_pairs")).where("n_pairs > 1")
 
 

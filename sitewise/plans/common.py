@@ -27,11 +27,16 @@ def sql_file_split(c: str) -> str:
     return f"nullif(lower(regexp_extract(trim({c}), '(?i)_(train|val|test)\\.[A-Za-z0-9.]+$', 1)), '')"
 
 
-def hops(spark: SparkSession, folder: str) -> DataFrame:
-    """Hops with both barriers: row_id, material, edge, system, split, tm, em_bvse, em_dft (finite)."""
+def all_hops(spark: SparkSession, folder: str) -> DataFrame:
+    """Every hop row, with barriers or not: row_id, material, edge, system, split, tm, em_bvse, em_dft."""
     d = table(spark, folder, "nebdft2k_index")
+    return d.select("row_id", plain_id(F.col("material_id")).alias("material"), plain_id(F.col("edge_id")).alias("edge"), plain_chemsys(F.col("chemsys")).alias("system"), plain_split(F.col("_split")).alias("split"), F.coalesce("has_specific_tm", F.lit(False)).alias("tm"), "em_bvse", "em_dft")
+
+
+def hops(spark: SparkSession, folder: str) -> DataFrame:
+    """all_hops() with both barriers (finite), for what computes with them."""
     fine = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
-    return d.where(fine("em_bvse") & fine("em_dft")).select("row_id", plain_id(F.col("material_id")).alias("material"), plain_id(F.col("edge_id")).alias("edge"), plain_chemsys(F.col("chemsys")).alias("system"), plain_split(F.col("_split")).alias("split"), F.coalesce("has_specific_tm", F.lit(False)).alias("tm"), "em_bvse", "em_dft")
+    return all_hops(spark, folder).where(fine("em_bvse") & fine("em_dft"))
 
 
 HOPS = f"""hops as (select row_id, {sql_id('material_id')} as material, {sql_id('edge_id')} as edge, {sql_chemsys('chemsys')} as system, {sql_split('_split')} as split,

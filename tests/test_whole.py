@@ -3,7 +3,7 @@
 import random
 
 from sitewise.operators import screening
-from sitewise.plans import common, estimation
+from sitewise.plans import audit, common, estimation
 from test_operators import _wcs
 
 RECORD = "row_id long, model_name string, frame_id string, attempt_number int, forces array<array<double>>, force_unit string, remark string"
@@ -47,3 +47,17 @@ def test_weighted_selection_without_group(spark):
         u = spark.createDataFrame(rows, "unit_id string, side string, score double, weight double")
         got = {x.unit_id: (x.selected, x.size) for x in screening.weighted_selection(u, [], 0.5).collect()}
         assert got == {f"t{i}": x for i, x in enumerate(zip(*_wcs(cal, test, 0.5), strict=True))}
+
+
+def test_audits_know_hops_without_barriers(spark, tmp_path):
+    hop = "row_id long, material_id string, edge_id string, chemsys string, _split string, has_specific_tm boolean, em_bvse double, em_dft double"
+    rows = [(1, "mp-1", "mp-1_0_1_0_0_0", "Li-O", "train", True, 0.1, 0.2), (2, "mp-1", "mp-1_0_2_0_0_0", "Li-O", "val", True, None, 0.2), (3, "mp-2", "mp-2_0_1_0_0_0", "Li-F", "test", None, 0.1, float("nan"))]
+    spark.createDataFrame(rows, hop).write.parquet(f"{tmp_path}/nebdft2k_index.parquet")
+    spark.createDataFrame([("mp-1",), ("mp-2",), ("mp-3",)], "material_id string").write.parquet(f"{tmp_path}/bvel13k_index.parquet")
+    frame = "frame_key long, frame_id string, material_id string, source_file string, numbers array<int>, energy double, cell array<array<double>>, forces array<array<double>>"
+    spark.createDataFrame([], frame).write.parquet(f"{tmp_path}/frame_geometry.parquet")
+    run = lambda f: sorted(tuple(r) for r in f(spark, str(tmp_path)).collect())
+    assert run(audit.set_exclusions) == [("mp-3",)] and run(audit.agg_spans) == [("mp-1", 2)]
+    assert run(audit.flt_conflicting_materials) == [("mp-1", 2)] and run(audit.set_compare)[0][:3] == (2, 0, 1)
+    assert run(audit.set_tagged_union) == [("mp-1", 0, 2, 2), ("mp-2", 0, 1, 1)] and sorted(r[1] for r in run(audit.agg_split_summary)) == [1, 1, 1]
+    assert common.hops(spark, str(tmp_path)).count() == 1
