@@ -12,11 +12,8 @@ from pyspark.sql import functions as F
 from sitewise.operators.prefix import average_ranks, join_value
 from sitewise.shared import ship
 
-MAX_REFERENCE = 5_000
-
-
-def _distance(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0).cast("double"), lambda s, v: s + v))
+#: Rows of a block, of the reference and of the rows compared with it; and numbers held at once while they are compared.
+BLOCK, AT_ONCE = 1_000, 2_000_000
 
 
 def standardised(rows: DataFrame, dims: int) -> DataFrame:
@@ -26,16 +23,46 @@ def standardised(rows: DataFrame, dims: int) -> DataFrame:
     return rows.crossJoin(F.broadcast(m)).select("id", "group", F.array(*((F.col("x")[i] - F.col(f"m{i}")) / scale(i) for i in range(dims))).alias("x"))
 
 
+def _nearest(k: int):  # noqa: ANN202
+    """applyInArrow function over one block of rows and one of the reference: each row's k nearest of other groups."""
+
+    def run(rows: pa.Table, reference: pa.Table) -> pa.Table:
+        matrix = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+        ids, out = rows.column("id").to_pylist(), ([], [], [])
+        if rows.num_rows and reference.num_rows:
+            reference = reference.sort_by("rid")  # so a stable sort settles ties
+            x, y, rid = matrix(rows, "x"), matrix(reference, "rx"), reference.column("rid").to_pylist()
+            g, h = np.array(rows.column("group").to_pylist(), object), np.array(reference.column("rg").to_pylist(), object)
+            step = max(1, AT_ONCE // y.size)
+            for i in range(0, len(x), step):
+                d = np.sqrt(((x[i : i + step, None] - y[None]) ** 2).sum(2))
+                d[g[i : i + step, None] == h[None]] = np.inf
+                for r, best in enumerate(np.argsort(d, axis=1, kind="stable")[:, :k]):
+                    for j in best[np.isfinite(d[r, best])]:
+                        for column, value in zip(out, (ids[i + r], float(d[r, j]), rid[j]), strict=True):
+                            column.append(value)
+        return pa.table([pa.array(out[0], rows.schema.field("id").type), pa.array(out[1], pa.float64()), pa.array(out[2], reference.schema.field("rid").type)], names=["id", "d", "rid"])
+
+    return run
+
+
 def support_distances(rows: DataFrame, reference: DataFrame, k: int) -> DataFrame:
-    """(id, distance): mean distance to the k nearest reference rows of other groups; null features give null.
+    """(id, distance): mean distance to the k nearest complete reference rows of other groups; null features give null.
 
-    The reference is the fitted model: its size is checked against MAX_REFERENCE, and it is broadcast.
+    Rows and reference are cut into blocks of about BLOCK rows, every block of the one meets every block of the other,
+    and the k nearest of each meeting are merged: exact for a reference of any size, with bounded memory.
     """
-    if reference.limit(MAX_REFERENCE + 1).count() > MAX_REFERENCE:
-        raise ValueError("the reference is too large to broadcast; fit it on a smaller sample")
-    usable = rows.where(~F.exists("x", lambda v: v.isNull()))
-    ref = reference.select(F.col("group").alias("rg"), F.col("x").alias("rx"), F.col("id").alias("rid"))
-    near = usable.join(F.broadcast(ref), F.col("group") != F.col("rg")).select("id", _distance(F.col("x"), F.col("rx")).alias("d"), "rid")
+    ship(rows.sparkSession)
+    whole = "group is not null and x is not null and not exists(x, v -> v is null)"
+    left, ref = rows.where(whole), reference.where(whole).select(F.col("id").alias("rid"), F.col("group").alias("rg"), F.col("x").alias("rx"))
+    blocks = lambda df: max(1, -(-df.count() // BLOCK))
+    n_left, n_ref = blocks(left), blocks(ref)
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    a = left.select("id", "group", "x", part("id", n_left).alias("i"), every(n_ref).alias("j"))
+    b = ref.select("rid", "rg", "rx", part("rid", n_ref).alias("rj"), every(n_left).alias("ri"))
+    kind = dict(rows.dtypes)["id"]
+    near = a.groupBy("i", "j").cogroup(b.groupBy("ri", "rj")).applyInArrow(_nearest(k), f"id {kind}, d double, rid {dict(ref.dtypes)['rid']}")
     ranked = near.withColumn("p", F.row_number().over(Window.partitionBy("id").orderBy("d", "rid"))).where(F.col("p") <= k)
     mean = ranked.groupBy("id").agg(F.avg("d").alias("distance"), F.count(F.lit(1)).alias("n"))
     return rows.select("id").join(mean, "id", "left").select("id", F.when(F.col("n") == k, F.col("distance")).alias("distance"))

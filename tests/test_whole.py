@@ -2,7 +2,8 @@
 
 import random
 
-from sitewise.operators import screening
+import numpy as np
+from sitewise.operators import screening, support
 from sitewise.plans import audit, common, estimation
 from test_operators import _wcs
 
@@ -61,3 +62,15 @@ def test_audits_know_hops_without_barriers(spark, tmp_path):
     assert run(audit.flt_conflicting_materials) == [("mp-1", 2)] and run(audit.set_compare)[0][:3] == (2, 0, 1)
     assert run(audit.set_tagged_union) == [("mp-1", 0, 2, 2), ("mp-2", 0, 1, 1)] and sorted(r[1] for r in run(audit.agg_split_summary)) == [1, 1, 1]
     assert common.hops(spark, str(tmp_path)).count() == 1
+
+
+def test_support_with_a_large_reference(spark):
+    """A reference of several blocks, beyond the former cap of 5,000 rows."""
+    r = np.random.default_rng(3)
+    x, g = r.normal(size=(5300, 3)).round(1), r.integers(0, 7, 5300)
+    ref = spark.createDataFrame([(i, int(g[i]), x[i].tolist()) for i in range(5300)], "id long, group int, x array<double>")
+    rows = ref.where("id < 40").unionByName(spark.createDataFrame([(9000, 1, [0.0, None, 1.0])], ref.schema))
+    got = {t.id: t.distance for t in support.support_distances(rows, ref, 5).collect()}
+    assert got.pop(9000) is None and len(got) == 40
+    for i, d in got.items():
+        assert abs(d - np.sort(np.sqrt(((x[i] - x[g != g[i]]) ** 2).sum(1)))[:5].mean()) < 1e-9
