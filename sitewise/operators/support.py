@@ -16,13 +16,27 @@ from sitewise.shared import ship
 BLOCK, AT_ONCE = 1_000, 2_000_000
 
 
-def standardised(rows: DataFrame, dims: int) -> DataFrame:
-    """rows(id, group, x) with x scaled to mean 0 and deviation 1 (ddof 0; a constant feature is only centred)."""
-    m = rows.agg(*(F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(dims)), *(F.stddev_pop(F.col("x")[i]).alias(f"s{i}") for i in range(dims)))
+COMPLETE = "x is not null and not exists(x, v -> v is null)"
+
+
+def standardised(rows: DataFrame, dims: int, reference: DataFrame, unscaled: tuple[int, ...] = ()) -> DataFrame:
+    """rows(id, group, x), x scaled by mean and deviation of the complete reference rows.
+
+    ddof is 0; a constant feature is only centred, `unscaled` ones are left as they are.
+    """
+    fit = lambda name, f, i, plain: (F.lit(plain) if i in unscaled else f(F.col("x")[i])).alias(f"{name}{i}")
+    m = reference.where(COMPLETE).agg(F.count(F.lit(1)).alias("n"), *(fit("m", F.avg, i, 0.0) for i in range(dims)), *(fit("s", F.stddev_pop, i, 1.0) for i in range(dims)))
     scale = lambda i: F.when(F.col(f"s{i}") > 0, F.col(f"s{i}")).otherwise(1.0)
     return rows.crossJoin(F.broadcast(m)).select("id", "group", F.array(*((F.col("x")[i] - F.col(f"m{i}")) / scale(i) for i in range(dims))).alias("x"))
 
 
+def support_threshold(distances: DataFrame, reference: DataFrame, level: float) -> DataFrame:
+    """One row, tau_d: the linear quantile of the complete reference rows' own distances, which leave their group out."""
+    own = distances.join(reference.where(COMPLETE).select("id"), "id", "left_semi")
+    few = F.raise_error(F.lit("fewer than k reference rows outside some group")).cast("double")
+    return own.agg(F.when(F.count_if(F.col("distance").isNull()) > 0, few).otherwise(F.percentile("distance", F.lit(level))).alias("tau_d"))
+
+
 def _nearest(k: int):  # noqa: ANN202
     """applyInArrow function over one block of rows and one of the reference: each row's k nearest of other groups."""
 
@@ -53,7 +67,7 @@ def support_distances(rows: DataFrame, reference: DataFrame, k: int) -> DataFram
     and the k nearest of each meeting are merged: exact for a reference of any size, with bounded memory.
     """
     ship(rows.sparkSession)
-    whole = "group is not null and x is not null and not exists(x, v -> v is null)"
+    whole = f"group is not null and {COMPLETE}"
     left, ref = rows.where(whole), reference.where(whole).select(F.col("id").alias("rid"), F.col("group").alias("rg"), F.col("x").alias("rx"))
     blocks = lambda df: max(1, -(-df.count() // BLOCK))
     n_left, n_ref = blocks(left), blocks(ref)
@@ -68,7 +82,7 @@ def support_distances(rows: DataFrame, reference: DataFrame, k: int) -> DataFram
     return rows.select("id").join(mean, "id", "left").select("id", F.when(F.col("n") == k, F.col("distance")).alias("distance"))
 
 
-def gated(distances: DataFrame, threshold: float) -> DataFrame:
+def gated(distances: DataFrame, threshold: Column | float) -> DataFrame:
     reason = F.when(F.col("distance").isNull(), "missing_feature").when(F.col("distance") > threshold, "outside_support")
     return distances.withColumn("supported", reason.isNull()).withColumn("reason", reason)
 

@@ -11,6 +11,7 @@ from sitewise.operators import percolation as PC
 from sitewise.operators import profile as P
 from sitewise.operators import support as SU
 from sitewise.plans.common import FRAMES, HOPS, all_hops, frames, hops, sql_chemsys, sql_id, sql_split
+from sitewise.shared import written
 from sitewise.sources.tables import table
 
 
@@ -185,14 +186,26 @@ def _vectors(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("group"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
 
 
+#: Neighbours, and the quantile of the development side's own distances that bounds the support.
+NEIGHBOURS, LEVEL = 5, 0.95
+
+
+def _distances(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Distances of all rows, and the development side, both by the development side's mean and deviation."""
+    v = _vectors(spark, folder)
+    z = SU.standardised(v, DIMS, v.where("group < 5"))
+    return SU.support_distances(z, z.where("group < 5"), NEIGHBOURS), z.where("group < 5")
+
+
 def sta_support(spark: SparkSession, folder: str) -> DataFrame:
-    z = SU.standardised(_vectors(spark, folder), DIMS)
-    return SU.support_distances(z, z.where("group < 5"), 5).select("id", F.round("distance", 6).alias("distance"))
+    return _distances(spark, folder)[0].select("id", F.round("distance", 6).alias("distance"))
 
 
 def sta_gate(spark: SparkSession, folder: str) -> DataFrame:
-    z = SU.standardised(_vectors(spark, folder), DIMS)
-    return SU.gated(SU.support_distances(z, z.where("group < 5"), 5).select("id", F.round("distance", 6).alias("distance")), 10.0)
+    d, development = _distances(spark, folder)
+    d = written(d)
+    tau = SU.support_threshold(d, development, LEVEL)
+    return SU.gated(d.crossJoin(F.broadcast(tau)), F.col("tau_d")).select("id", F.round("distance", 6).alias("distance"), "supported", "reason")
 
 
 def sta_shift_weights(spark: SparkSession, folder: str) -> DataFrame:

@@ -74,3 +74,18 @@ def test_support_with_a_large_reference(spark):
     assert got.pop(9000) is None and len(got) == 40
     for i, d in got.items():
         assert abs(d - np.sort(np.sqrt(((x[i] - x[g != g[i]]) ** 2).sum(1)))[:5].mean()) < 1e-9
+
+
+def test_support_is_fitted_on_the_development_side(spark, tmp_path):
+    """Mean, deviation and threshold come from rows labelled below 5, whatever the others are."""
+    r = np.random.default_rng(6)
+    x, g = r.normal(size=(80, 64)), np.arange(80) % 8
+    x[g >= 5] *= 50
+    spark.createDataFrame([(i, int(g[i]), x[i].tolist()) for i in range(80)], "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    dev = g < 5
+    z = (x - x[dev].mean(0)) / x[dev].std(0)
+    d = np.array([np.sort(np.sqrt(((z[i] - z[dev & (g != g[i])]) ** 2).sum(1)))[:5].mean() for i in range(80)])
+    tau = np.quantile(d[dev], 0.95)
+    got = {t.id: t for t in audit.sta_gate(spark, str(tmp_path)).collect()}
+    assert all(abs(got[i].distance - d[i]) < 1e-5 and got[i].supported == (d[i] <= tau) for i in range(80))
+    assert sum(t.supported for t in got.values()) == 47
