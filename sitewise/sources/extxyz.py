@@ -5,7 +5,8 @@ so ranges need no index and no planning pass. A frame begins at a line that is o
 of key=value fields. Paths are mounted files or folders that every executor sees.
 
 mode 'failfast' (default) raises on a malformed frame; 'permissive' gives a row with `error` and null values and goes
-on at the next frame. With labels 'false' the label columns (forces, energy) are never converted.
+on at the next frame. Where a frame must begin (at byte 0 and after every frame) a line that begins none is malformed;
+the range that has the frame before it answers for it, so this depends on no range's edge. With labels 'false' the label columns (forces, energy) are never converted.
 """
 
 from __future__ import annotations
@@ -113,7 +114,8 @@ class ExtxyzReader(DataSourceReader):
                 f.readline()  # the rest of the line that the range before has
             at = f.tell()
             line = f.readline()
-            while line and at < part.end:
+            due = part.start == 0  # a frame must begin here
+            while line and (at < part.end or due):
                 text = line.decode().strip()
                 if not text:
                     at, line = f.tell(), f.readline()
@@ -121,21 +123,27 @@ class ExtxyzReader(DataSourceReader):
                 after = f.tell()
                 head = f.readline() if text.isdigit() else b""
                 if b"=" not in head:  # inside a frame that began before this range, or not a frame
-                    if at > part.start and self.mode == "failfast" and part.start == 0:
+                    if due and self.mode == "failfast":
                         raise ValueError(f"{part.path}: no frame at byte {at}")
+                    if due:
+                        row = {"source_file": os.path.basename(part.path), "byte_offset": at, "byte_length": after - at, "error": "no frame begins here"}
+                        yield tuple(row.get(k) for k in names)
+                    due = False
                     at = after
                     f.seek(after)
                     line = f.readline()
                     continue
+                if at >= part.end:  # the next range has it
+                    break
                 body = [f.readline() for _ in range(int(text))]
                 end = f.tell()
-                row = {"source_file": os.path.basename(part.path), "byte_offset": at, "byte_length": end - at}
+                row, due = {"source_file": os.path.basename(part.path), "byte_offset": at, "byte_length": end - at}, True
                 try:
                     row |= parse_frame([text, head.decode(), *(x.decode() for x in body if x.strip())], labels=self.labels)
                 except ValueError as why:
                     if self.mode == "failfast":
                         raise ValueError(f"{part.path}: frame at byte {at}: {why}") from why
-                    row["error"] = str(why)
+                    row["error"], due = str(why), False
                     f.seek(after)  # go on at the next frame, wherever it begins
                     f.readline()
                 yield tuple(row.get(k) for k in names)

@@ -3,8 +3,10 @@
 import random
 
 import numpy as np
+import pytest
 from sitewise.operators import screening, support
 from sitewise.plans import audit, common, estimation
+from sitewise.sources import extxyz
 from test_operators import _wcs
 
 RECORD = "row_id long, model_name string, frame_id string, attempt_number int, forces array<array<double>>, force_unit string, remark string"
@@ -89,3 +91,18 @@ def test_support_is_fitted_on_the_development_side(spark, tmp_path):
     got = {t.id: t for t in audit.sta_gate(spark, str(tmp_path)).collect()}
     assert all(abs(got[i].distance - d[i]) < 1e-5 and got[i].supported == (d[i] <= tau) for i in range(80))
     assert sum(t.supported for t in got.values()) == 47
+
+
+@pytest.mark.parametrize("broken", [0, 4, 9])
+def test_broken_frame_start_in_any_range(tmp_path, broken):
+    """The count line of one of ten frames is damaged: the same result for every cut into ranges."""
+    frame = 'COUNT\nLattice="9 0 0 0 9 0 0 0 9" Properties=species:S:1:pos:R:3:forces:R:3 energy=1.0\nLi 0 0 0 0 0 0\nO 1 1 1 0 0 0\n'
+    path = tmp_path / "a.xyz"
+    path.write_text("".join(frame.replace("COUNT", "2x" if i == broken else "2") for i in range(10)))
+    size = len(frame) - 4
+    for chunk in (1 << 20, size, 2 * size, 50, 333):
+        of = lambda mode: extxyz.ExtxyzReader({"path": str(path), "mode": mode, "chunk": str(chunk)})  # noqa: E731, B023
+        rows = [r for p in of("permissive").partitions() for r in of("permissive").read(p)]
+        assert sum(r[-1] is None for r in rows) == 9 and sum(r[-1] is not None for r in rows) == 1
+        with pytest.raises(ValueError, match="no frame at byte"):
+            [r for p in of("failfast").partitions() for r in of("failfast").read(p)]
