@@ -34,22 +34,27 @@ def _hash64(data: bytes) -> int:
 
 def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        z, zo = _ragged(b.column("numbers"))
-        x, xo = _ragged(b.column("xyz"))
-        c, co = _ragged(b.column("box"))
-        n, comp, cls, keep = [], [], [], []
-        for i in range(b.num_rows):
-            zi, xi, ci = z[zo[i] : zo[i + 1]], x[xo[i] : xo[i + 1]], c[co[i] : co[i + 1]]
-            ok = len(ci) == 9 and len(xi) == 3 * len(zi) and len(zi) > 0 and np.isfinite(xi).all() and np.isfinite(ci).all() and abs(np.linalg.det(ci.reshape(3, 3))) > 1e-8
-            keep.append(bool(ok))
-            xi = xi.reshape(-1, 3) if ok else np.zeros((0, 3))
-            zi = zi if ok else zi[:0]
-            order = np.lexsort((xi[:, 2], xi[:, 1], xi[:, 0], zi))
-            n.append(len(zi))
-            comp.append(_hash64(np.sort(zi).astype("<i4").tobytes()))
-            cls.append(hashlib.blake2b(zi[order].astype("<i4").tobytes() + (xi[order] + 0.0).astype("<f8").tobytes() + (ci + 0.0).astype("<f8").tobytes(), digest_size=16).digest())
-        out = pa.RecordBatch.from_arrays([b.column("frame_key"), b.column("split"), b.column("source"), pa.array(n, pa.int32()), pa.array(comp, pa.int64()), pa.array(cls, pa.binary()), b.column("numbers"), b.column("xyz"), b.column("box")], names=["frame_key", "split", "source", "n", "comp", "cls", "numbers", "xyz", "box"])
-        yield out.filter(pa.array(keep, pa.bool_()))
+        (z, zo), (x, xo), (c, co) = (_ragged(b.column(k)) for k in ("numbers", "xyz", "box"))
+        n, nine = np.diff(zo), np.diff(co) == 9
+        bad = np.concatenate([[0], np.cumsum(~np.isfinite(x[xo[0] : xo[-1]]))])  # running counts, so that empty frames count nothing
+        ok = nine & (n > 0) & (np.diff(xo) == 3 * n) & (np.diff(bad[xo - xo[0]]) == 0)
+        box = np.zeros((b.num_rows, 3, 3))
+        if nine.any():
+            box[nine] = c[np.concatenate([np.arange(i, i + 9) for i in co[:-1][nine]])].reshape(-1, 3, 3)
+        ok &= np.isfinite(box).all((1, 2))
+        ok[ok] = np.abs(np.linalg.det(box[ok])) > 1e-8
+        rows = np.nonzero(ok)[0]
+        n = n[rows]
+        of, start = np.repeat(np.arange(len(rows)), n), np.concatenate([[0], np.cumsum(n)])
+        atom = np.repeat(zo[:-1][rows] - start[:-1], n) + np.arange(start[-1])
+        zs = z[atom].astype("<i4")
+        xs = x[np.repeat(xo[:-1][rows] - 3 * start[:-1], 3 * n) + np.arange(3 * start[-1])].reshape(-1, 3) + 0.0
+        order = np.lexsort((xs[:, 2], xs[:, 1], xs[:, 0], zs, of))
+        zs, xs, cells = zs[order], np.ascontiguousarray(xs[order]), box[rows] + 0.0
+        comp = [_hash64(zs[i:j].tobytes()) for i, j in zip(start[:-1], start[1:], strict=True)]
+        cls = [hashlib.blake2b(zs[i:j].tobytes() + xs[i:j].tobytes() + k.tobytes(), digest_size=16).digest() for i, j, k in zip(start[:-1], start[1:], cells, strict=True)]
+        kept = b.filter(pa.array(ok))
+        yield pa.RecordBatch.from_arrays([kept.column("frame_key"), kept.column("split"), kept.column("source"), pa.array(n, pa.int32()), pa.array(comp, pa.int64()), pa.array(cls, pa.binary()), kept.column("numbers"), kept.column("xyz"), kept.column("box")], names=["frame_key", "split", "source", "n", "comp", "cls", "numbers", "xyz", "box"])
 
 
 def readable(frames: DataFrame) -> DataFrame:

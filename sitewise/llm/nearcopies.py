@@ -1,18 +1,29 @@
 """Near-duplicate records with small edits: a parity-sketch join.
 
-An atom is a token: its number and its bin in a grid over the cell, periodic in every direction. Token hashes are
-XOR-ed into bit sketches; the Hamming distance of two sketches is never more than the symmetric difference of the
-token sets. A sketch is made of segments, a token going to one of them by its hash, so records that differ in few
-tokens agree in some whole segment: records of one size band that agree in a segment are candidates (pigeonhole), and
-candidates are tested exactly.
-
-An atom that moved by less than the tolerance can still cross a bin's edge. So there are several grids with shifted
-edges, each with sketches of its own, and a segment that is equal in any of them makes a candidate. Frames of one
-material that vibrate about the same sites agree in single segments by chance; such pairs are thinned by an exact bound
-before their atoms are fetched (within_bound). Sizes differ by
-a factor of up to RATIO within a pair; records are sketched in the two size bands that cover this, so any pair that
-can reach the share shares a band. Frames are further keyed by the lengths of their lattice vectors, with a second
-key where a length is so near an edge that a cell within the tolerance may fall beyond it.
+An atom is a token: its number and its bin in a grid. Every token flips bits of a sketch by XOR, so tokens that both
+records have cancel out and the Hamming distance of two sketches is never more than the symmetric difference of the
+token sets. The join goes in three steps.
+
+1. Pigeonhole. The sketch of a grid is cut into segments, as many as the size band needs for few tokens in each, and
+   records of one band that agree in a segment are candidates: a pair with few edits leaves some segments untouched.
+   A segment is compared at the width of whole token hashes (their XOR, a 64-bit digest of its bits), so differing
+   segments practically never look equal. A token's segment is set by the coarse bin around its bin, so an atom that
+   crosses a bin's edge changes one segment and not two.
+2. Distance. A second sketch has one bit for each token (coarse bins of the cell, 64 * WORDS bits). Bits that differ
+   and that no move within the tolerance explains stand for an atom without a partner, so their count is a proven
+   lower bound of the edits; pairs beyond what the share allows are dropped. Pairs of differing cells are kept.
+3. Test. The rest is tested exactly.
+
+Moved atoms cross edges, so there are several grids with shifted edges and one equal segment in any of them makes a
+candidate; how many pairs at the very edge of tolerance and share that finds is measured (README, tests). Coordinates
+are taken in angstrom after reduction by the record's own cell, so a cell within the tolerance moves no atom that was
+not wrapped.
+
+Frames of one material that vibrate about the same sites agree in short segments by chance, more of them the more
+frames there are. So the width of segments follows the load: frames are counted by the cell they have (to 1 Å in each
+component, with a second bin where a component is so near an edge that a cell within the tolerance may fall beyond),
+and LEVELS says how fine the grids, how long the segments and how many the grids are for a load. A frame makes keys
+for the levels of all its bins, so both frames of any pair have a level in common.
 
 Defined cases: frames that readable() leaves out are in no pair. Exact copies are one class and cost no candidates.
 """
@@ -20,6 +31,7 @@ Defined cases: frames that readable() leaves out are in no pair. Exact copies ar
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,117 +46,199 @@ from sitewise.shared import ship, written
 TOLERANCE, SHARE = 0.05, 0.78
 #: Of two sizes in a pair at most: 2 min / (min + max) > SHARE.
 RATIO = (2 - SHARE) / SHARE
-PER_SEGMENT, FEW = 3.5, 6
-#: Bins on each axis, by grid: the coarser ones are for cells that changed, which move wrapped atoms by more than the tolerance.
-BINS = np.array([20] * 32 + [12] * 16)
-GRIDS = len(BINS)
-LENGTH_STEP = 2.0
-#: Of the bound's bitmaps: bins on each axis, and 64-bit words.
+
+
+class Level(NamedTuple):
+    """Sketches of frames whose cell occurs at most `load` times: the grids' width in angstrom, coarse bins of 2 **
+    coarse bins, tokens in a segment on average, the fewest that make a key, and how many segments all grids of a band
+    have together."""
+
+    load: float
+    width: float
+    coarse: int
+    per_segment: float
+    least: int
+    segments: int
+
+
+LEVELS = (Level(2_000, 0.45, 2, 2.5, 2, 72), Level(24_000, 0.35, 2, 3.5, 3, 288), Level(500_000, 0.25, 3, 4.0, 3, 1_000), Level(float("inf"), 0.25, 3, 5.0, 4, 3_000))
+FEWEST_GRIDS = 10
+CELL_STEP, SALTS = 1.0, 16
+#: Of the distance sketch: bins on each axis, and 64-bit words.
 COARSE, WORDS = 16, 4
+CHUNK = 40_000
 
 
-def bands(n: int) -> tuple[int, int]:
+def bands(n: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
     """The two bands that n atoms belong to; sizes within RATIO of each other share one."""
-    b = int(np.floor(np.log(n) / np.log(RATIO) + 1e-12))
+    b = np.floor(np.log(n) / np.log(RATIO) + 1e-12).astype(np.int64)
     return b, b + 1
 
 
-def segments_of(band: int) -> int:
-    """Segments of a band's sketches: about PER_SEGMENT tokens each."""
-    return max(2, round(RATIO**band / PER_SEGMENT))
+def segments_of(band: int, level: Level) -> tuple[int, int]:
+    """Segments of a band's sketch, about per_segment tokens each, and how many grids the band has."""
+    k = max(2, round(RATIO**band / level.per_segment))
+    return k, max(FEWEST_GRIDS, -(-level.segments // k))
 
 
-def shifts(seed: int = 11) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(seed)).random((GRIDS, 3))
+def _mix(bins: np.ndarray, seed: np.ndarray | int) -> np.ndarray:
+    """A hash of rows of three bins."""
+    odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)  # any odd numbers
+    with np.errstate(over="ignore"):
+        return mixed((bins.astype(np.uint64) * odd).sum(1, dtype=np.uint64) + mixed(np.asarray(seed, np.uint64)))
 
 
-def segment_keys(z: np.ndarray, x: np.ndarray, box: np.ndarray, shift: np.ndarray) -> np.ndarray:
-    """Keys of all segments of all grids in both bands and for all neighbouring length cells."""
-    n = len(z)
-    f = x @ np.linalg.inv(box)
-    f -= np.floor(f)
-    per = BINS[:, None, None]
-    bins = np.floor(f[None] * per + shift[:, None, :]).astype(np.int64) % per  # grid, atom, axis
-    with np.errstate(over="ignore"):
-        token = ((bins[..., 0] * per[..., 0] + bins[..., 1]) * per[..., 0] + bins[..., 2]).astype(np.uint64) * np.uint64(256) + (z & 255).astype(np.uint64)
-        token = mixed(token + (np.arange(GRIDS, dtype=np.uint64)[:, None] << np.uint64(40)) + np.uint64(0x9E3779B97F4A7C15))
-        lengths, reach = np.sqrt((box**2).sum(1)), CELL_TOLERANCE * np.sqrt(3) / 2 + 1e-6
-        lo, hi = np.floor((lengths - reach) / LENGTH_STEP).astype(int), np.floor((lengths + reach) / LENGTH_STEP).astype(int)
-        cells = {(a, b, c) for a in (lo[0], hi[0]) for b in (lo[1], hi[1]) for c in (lo[2], hi[2])}
-        at = [np.uint64((a * 1000 + b) * 1000 + c) for a, b, c in cells]
-        out = []
-        for band in bands(n):
-            k = segments_of(band)
-            seg = ((token >> np.uint64(33)) % np.uint64(k)).astype(np.int64)
-            flat = (np.arange(GRIDS)[:, None] * k + seg).ravel()
-            sketch = np.zeros(GRIDS * k, np.uint64)
-            np.bitwise_xor.at(sketch, flat, token.ravel())
-            count = np.bincount(flat, minlength=GRIDS * k)
-            full = np.nonzero(count >= (1 if n <= FEW or RATIO**band <= FEW else 2))[0].astype(np.uint64)
-            value = mixed(sketch[full.astype(np.int64)] + full * np.uint64(0xD6E8FEB86659FD93) + np.uint64(band))
-            out += [mixed(value + c) for c in at]
-    return np.unique(np.concatenate(out)).view(np.int64)
+class Frames:
+    """The atoms of a batch, flat: z, x, the frame each belongs to; box and n by frame."""
+
+    def __init__(self, z: np.ndarray, x: np.ndarray, box: np.ndarray, n: np.ndarray) -> None:
+        self.z, self.x, self.box, self.n = z, x.reshape(-1, 3), box.reshape(-1, 3, 3), n
+        self.of = np.repeat(np.arange(len(n)), n)
+        self.start = np.concatenate([[0], np.cumsum(n)])
+        self.inverse = np.linalg.inv(self.box) if len(n) else self.box
+        self.fraction = np.einsum("ai,aij->aj", self.x, self.inverse[self.of])
+
+    @classmethod
+    def of_batch(cls, b: pa.RecordBatch) -> Frames:
+        (z, zo), (x, xo), (c, co) = (_ragged(b.column(k)) for k in ("numbers", "xyz", "box"))
+        return cls(z[zo[0] : zo[-1]], x[xo[0] : xo[-1]], c[co[0] : co[-1]], np.diff(zo))
+
+    def subset(self, pick: np.ndarray) -> Frames:
+        """The frames at the places of pick, ascending."""
+        chosen = np.zeros(len(self.n), bool)
+        chosen[pick] = True
+        atoms = chosen[self.of]
+        return Frames(self.z[atoms], self.x[atoms], self.box[pick], self.n[pick])
+
+
+def segment_keys(f: Frames, level_no: int) -> tuple[np.ndarray, np.ndarray]:
+    """(frame, key) of all segments with tokens enough, of all grids of a level and in both bands."""
+    level, low, out = LEVELS[level_no], bands(f.n)[0], []
+    for band in np.unique(low):
+        pick = np.nonzero(low == band)[0]
+        part = f if len(pick) == len(f.n) else f.subset(pick)
+        sizes = [(b, *segments_of(b, level), 1 if RATIO**b <= 2 * level.least else level.least) for b in (int(band), int(band) + 1)]
+        for grid in range(max(x[2] for x in sizes)):
+            draw = np.random.Generator(np.random.PCG64([level_no, grid]))
+            at, shift = draw.random(3), draw.random(3) * level.width * 2**level.coarse
+            inside = part.x - np.einsum("ai,aij->aj", np.floor(part.fraction + at), part.box[part.of])
+            bins = np.floor((inside + shift) / level.width).astype(np.int64)
+            token = _mix(bins, part.z.astype(np.uint64) + (np.uint64(grid + 1) << np.uint64(32)))
+            region = _mix(bins >> level.coarse, grid + 1) >> np.uint64(33)
+            for b, k, grids, least in sizes:  # bands of few atoms have fewer segments in a grid, and more grids
+                if grid >= grids:
+                    continue
+                slot = part.of * k + (region % np.uint64(k)).astype(np.int64)
+                sketch = np.zeros(len(pick) * k, np.uint64)
+                np.bitwise_xor.at(sketch, slot, token)
+                full = np.nonzero(np.bincount(slot, minlength=len(sketch)) >= least)[0]
+                with np.errstate(over="ignore"):
+                    place = ((full % k).astype(np.uint64) << np.uint64(32)) + np.uint64((grid << 16) + (b << 4) + level_no)
+                    out.append((pick[full // k], mixed(sketch[full] + mixed(place))))
+    of, key = (np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in (0, 1))
+    return of, key.view(np.int64)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shift = shifts()
     for b in batches:
-        z, zo = _ragged(b.column("numbers"))
-        x, xo = _ragged(b.column("xyz"))
+        rep, flags = b.column("rep").to_numpy(), b.column("levels").to_numpy()
+        whole = Frames.of_batch(b)
+        steps = np.minimum(np.searchsorted(whole.start, np.arange(0, whole.start[-1] + CHUNK, CHUNK)), b.num_rows)
+        for lo, hi in zip(steps[:-1], steps[1:], strict=True):
+            for no in range(len(LEVELS)):
+                pick = np.nonzero(flags[lo:hi] >> no & 1)[0] + lo
+                of, key = segment_keys(whole.subset(pick), no) if len(pick) else (pick, pick)
+                for s in range(0, len(key), 1 << 20):
+                    yield pa.RecordBatch.from_arrays([pa.array(key[s : s + (1 << 20)]), pa.array(rep[pick[of[s : s + (1 << 20)]]])], names=["key", "rep"])
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, cell): every bin of the cell's nine components that a cell within the tolerance may share."""
+    for b in batches:
         c, co = _ragged(b.column("box"))
-        keys = [segment_keys(z[zo[i] : zo[i + 1]], x[xo[i] : xo[i + 1]].reshape(-1, 3), c[co[i] : co[i + 1]].reshape(3, 3), shift) for i in range(b.num_rows)]
-        yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(keys, pa.list_(pa.int64()))], names=["rep", "keys"])
+        box = c[co[0] : co[-1]].reshape(-1, 9) / CELL_STEP + 0.37  # shifted, as components are often whole or zero
+        reach = (CELL_TOLERANCE / 2 + 1e-6) / CELL_STEP  # two cells within the tolerance meet half way
+        lo, hi = np.floor(box - reach).astype(np.int64), np.floor(box + reach).astype(np.int64)
+        of, bins = np.arange(len(box)), lo.copy()
+        for axis in range(9):
+            two = np.nonzero(lo[of, axis] != hi[of, axis])[0]
+            more = bins[two]
+            more[:, axis] = hi[of[two], axis]
+            of, bins = np.concatenate([of, of[two]]), np.concatenate([bins, more])
+        cell = _mix(np.stack([_mix(bins[:, i : i + 3], i) for i in (0, 3, 6)], 1), 9)
+        yield pa.RecordBatch.from_arrays([pa.array(b.column("rep").to_numpy()[of]), pa.array(cell.view(np.int64))], names=["rep", "cell"])
+
+
+def levels(reps: DataFrame) -> DataFrame:
+    """(rep, levels): a bit for each level at which the frame makes keys, from how many frames have its cells.
+
+    Loads above a level's are few and are spread over SALTS rows each, so a cell that a third of all frames have meets
+    in no single task.
+    """
+    rows = written(reps.select("rep", "box").mapInArrow(_cells, "rep long, cell long"))
+    level = F.coalesce(*(F.when(F.col("load") <= x.load, i) for i, x in enumerate(LEVELS)))
+    heavy = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("load")).select("cell", level.alias("level")).where("level > 0")
+    heavy = heavy.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    with_level = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(heavy, ["cell", "salt"], "left")
+    return with_level.groupBy("rep").agg(F.bit_or(F.expr("shiftleft(1, coalesce(level, 0))")).alias("levels"))
 
 
 def bitmaps(z: np.ndarray, x: np.ndarray, box: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bits of the atoms' own bins, and of all bins that an atom within the tolerance of them in the same cell may be in."""
-    inv = np.linalg.inv(box)
-    f, reach = x @ inv, (TOLERANCE + 1e-6) * np.sqrt((inv**2).sum(0)) + 1e-9
-    out = []
-    for r in (np.zeros(3), reach):
-        if (r * COARSE >= 1).any():  # a thin cell: anything may be near
-            out.append(np.full(WORDS, -1, np.int64))
-            continue
-        edge = np.floor(np.stack([f - r, f, f + r]) * COARSE).astype(np.int64) % COARSE
-        bins = (edge[:, None, None, :, 0] * COARSE + edge[None, :, None, :, 1]) * COARSE + edge[None, None, :, :, 2]
-        with np.errstate(over="ignore"):
-            bit = (mixed((bins * 256 + (z & 255)).astype(np.uint64).ravel() + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(64 * WORDS)
-        flags = np.zeros(64 * WORDS, np.uint8)
-        flags[bit.astype(np.int64)] = 1
-        out.append(np.packbits(flags).view(np.int64))
-    return out[0], out[1]
+    """sketches() of one frame."""
+    own, wide = sketches(Frames(z, x, box, np.array([len(z)])))
+    return own[0], wide[0]
+
+
+def sketches(f: Frames) -> tuple[np.ndarray, np.ndarray]:
+    """By frame: the parity sketch of the atoms' own bins, and the bits of all bins that an atom within the tolerance of
+    them in the same cell may be in."""
+    reach = ((TOLERANCE + 1e-6) * np.sqrt((f.inverse**2).sum(1)) + 1e-9)[f.of]
+    edge = [np.floor((f.fraction + r) * COARSE).astype(np.int64) % COARSE for r in (-reach, 0.0, reach)]
+
+    def bit(bins: np.ndarray) -> np.ndarray:
+        return ((_mix(bins, f.z.astype(np.uint64)) >> np.uint64(33)) % np.uint64(64 * WORDS)).astype(np.int64)
+
+    m, size = len(f.n), 64 * WORDS
+    own = (np.bincount(f.of * size + bit(edge[1]), minlength=m * size) & 1).astype(np.uint8).reshape(m, size)
+    wide = np.zeros((m, size), np.uint8)
+    for x in np.ndindex(3, 3, 3):
+        wide[f.of, bit(np.stack([edge[x[i]][:, i] for i in range(3)], 1))] = 1
+    thin = np.zeros(m, bool)
+    np.logical_or.at(thin, f.of, (reach * COARSE >= 1).any(1))
+    own[thin], wide[thin] = 0, 1  # a thin cell: anything may be near
+    return np.packbits(own, axis=1).view(np.int64), np.packbits(wide, axis=1).view(np.int64)
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        z, zo = _ragged(b.column("numbers"))
-        x, xo = _ragged(b.column("xyz"))
-        c, co = _ragged(b.column("box"))
-        words = [np.concatenate(bitmaps(z[zo[i] : zo[i + 1]], x[xo[i] : xo[i + 1]].reshape(-1, 3), c[co[i] : co[i + 1]].reshape(3, 3))) for i in range(b.num_rows)]
-        flat = np.array(words, np.int64).reshape(-1, 2 * WORDS)
-        yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("n"), b.column("cell"), *(pa.array(flat[:, i]) for i in range(2 * WORDS))], names=["rep", "n", "cell", *(f"{w}{i}" for w in "od" for i in range(WORDS))])
+        own, wide = sketches(Frames.of_batch(b))
+        columns = [pa.array(np.ascontiguousarray(w[:, i])) for w in (own, wide) for i in range(WORDS)]
+        yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("n"), b.column("cell"), *columns], names=["rep", "n", "cell", *(f"{w}{i}" for w in "od" for i in range(WORDS))])
 
 
 def within_bound(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """pairs(a, b) without those of one and the same cell that can't reach the share: a bit of one that no atom of the
-    other can set stands for at least one atom without a partner. Pairs of differing cells are kept.
+    """pairs(a, b) without those of one and the same cell that can't reach the share: the Hamming distance of their
+    parity sketches, without the bits that a move within the tolerance explains, stands for atoms without a partner.
     """
     columns = ", ".join(f"{w}{i} long" for w in "od" for i in range(WORDS))
     marks = written(reps.select("rep", "n", F.xxhash64("box").alias("cell"), "numbers", "xyz", "box").mapInArrow(_bitmaps, f"rep long, n int, cell long, {columns}"))
     side = lambda s: marks.select(*(F.col(c).alias(s if c == "rep" else f"{c}_{s}") for c in marks.columns))
-    lone = lambda s, t: sum((F.bit_count(F.col(f"o{i}_{s}").bitwiseAND(F.bitwise_not(f"d{i}_{t}"))) for i in range(WORDS)), F.lit(0))
+    lone = lambda s, t: sum((F.bit_count(F.col(f"o{i}_{s}").bitwiseXOR(F.col(f"o{i}_{t}")).bitwiseAND(F.col(f"o{i}_{s}")).bitwiseAND(F.bitwise_not(f"d{i}_{t}"))) for i in range(WORDS)), F.lit(0))
     reaches = lambda s, t: 2 * (F.col(f"n_{s}") - lone(s, t)) >= F.lit(SHARE) * (F.col("n_a") + F.col("n_b")) - 1e-6
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     return both.where((F.col("cell_a") != F.col("cell_b")) | (reaches("a", "b") & reaches("b", "a"))).select("a", "b")
 
 
+def candidates(reps: DataFrame) -> DataFrame:
+    """(a, b), a < b, each once: representatives that agree in a segment of a sketch."""
+    rows = reps.select("rep", "numbers", "xyz", "box").join(levels(reps), "rep")
+    keys = rows.mapInArrow(_sketch, "key long, rep long")
+    return keys.withColumnRenamed("rep", "a").join(keys.withColumnRenamed("rep", "b"), "key").where("a < b").select("a", "b").distinct()
+
+
 def class_pairs(rows: DataFrame, reps: DataFrame) -> DataFrame:
     """(cls_a, cls_b, ab, ba): pairs of classes that share enough atoms."""
-    keys = reps.select("rep", "numbers", "xyz", "box").mapInArrow(_sketch, "rep long, keys array<long>").select("rep", F.explode("keys").alias("key"))
-    keys = written(keys)
-    pairs = keys.select("key", F.col("rep").alias("a")).join(keys.select("key", F.col("rep").alias("b")), "key").where("a < b")
-    pairs = within_bound(pairs.select("a", "b").distinct(), reps)
-    return verified(pairs, reps, TOLERANCE, SHARE)
+    return verified(within_bound(candidates(reps), reps), reps, TOLERANCE, SHARE)
 
 
 def near_pairs(frames: DataFrame) -> DataFrame:
