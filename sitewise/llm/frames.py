@@ -20,6 +20,7 @@ from sitewise.shared import ship, written
 
 CELL_TOLERANCE = 0.05
 SLACK = 1e-9
+SALTS = 16
 CLASS_SCHEMA = "frame_key long, split string, source string, n int, comp long, cls binary, numbers array<int>, xyz array<double>, box array<double>"
 
 
@@ -32,6 +33,43 @@ def _hash64(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Finaliser of splitmix64 on uint64."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def hash_rows(bins: np.ndarray, seed: np.ndarray | int) -> np.ndarray:
+    """A hash of rows of three bins."""
+    odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)  # any odd numbers
+    with np.errstate(over="ignore"):
+        return mixed((bins.astype(np.uint64) * odd).sum(1, dtype=np.uint64) + mixed(np.asarray(seed, np.uint64)))
+
+
+class Frames:
+    """The atoms of a batch, flat: z, x, the frame each belongs to; box and n by frame."""
+
+    def __init__(self, z: np.ndarray, x: np.ndarray, box: np.ndarray, n: np.ndarray) -> None:
+        self.z, self.x, self.box, self.n = z, x.reshape(-1, 3), box.reshape(-1, 3, 3), n
+        self.of = np.repeat(np.arange(len(n)), n)
+        self.start = np.concatenate([[0], np.cumsum(n)])
+        self.inverse = np.linalg.inv(self.box) if len(n) else self.box
+        self.fraction = np.einsum("ai,aij->aj", self.x, self.inverse[self.of])
+
+    @classmethod
+    def of_batch(cls, b: pa.RecordBatch) -> Frames:
+        (z, zo), (x, xo), (c, co) = (_ragged(b.column(k)) for k in ("numbers", "xyz", "box"))
+        return cls(z[zo[0] : zo[-1]], x[xo[0] : xo[-1]], c[co[0] : co[-1]], np.diff(zo))
+
+    def subset(self, pick: np.ndarray) -> Frames:
+        """The frames at the places of pick, ascending."""
+        chosen = np.zeros(len(self.n), bool)
+        chosen[pick] = True
+        atoms = chosen[self.of]
+        return Frames(self.z[atoms], self.x[atoms], self.box[pick], self.n[pick])
+
+
 def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         (z, zo), (x, xo), (c, co) = (_ragged(b.column(k)) for k in ("numbers", "xyz", "box"))
@@ -75,6 +113,20 @@ def representatives(rows: DataFrame) -> DataFrame:
     return rows.join(first, ["cls", "frame_key"], "left_semi").select(F.col("frame_key").alias("rep"), "cls", "n", "comp", "numbers", "xyz", "box")
 
 
+def by_load(rows: DataFrame, limits: list[float]) -> DataFrame:
+    """(rep, levels) of rows(rep, bucket): a bit for each level that a frame's buckets have. A bucket's level is the
+    first whose limit its number of rows is within.
+
+    Buckets above the first limit are few and their level is spread over SALTS rows, so a bucket that a third of all
+    frames share meets in no single task.
+    """
+    level = F.coalesce(*(F.when(F.col("load") <= x, i) for i, x in enumerate(limits)))
+    heavy = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("load")).select("bucket", level.alias("level")).where("level > 0")
+    heavy = heavy.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    known = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(heavy, ["bucket", "salt"], "left")
+    return known.groupBy("rep").agg(F.bit_or(F.expr("shiftleft(1, coalesce(level, 0))")).alias("levels"))
+
+
 def near(za: np.ndarray, xa: np.ndarray, la: np.ndarray, zb: np.ndarray, xb: np.ndarray, tolerance: float) -> np.ndarray:
     """For each atom of a and of b: same number and at most tolerance apart, up to lattice vectors of a.
 
@@ -152,15 +204,16 @@ def verify(tolerance: float, share: float | None):  # noqa: ANN201
                 cols = [_ragged(t.column(f"{c}_{s}")) for c in ("numbers", "xyz", "box")]
                 side.append((cols, np.diff(cols[0][1])))
             holds = np.zeros((2, t.num_rows), bool)
-            box = [np.stack([c[o[i] : o[i] + 9] for i in range(t.num_rows)]).reshape(-1, 3, 3) if t.num_rows else np.zeros((0, 3, 3)) for (_, _, (c, o)), _ in side]
+            at = lambda c, o, rows, n: c[o[:-1][rows][:, None] + np.arange(n)]
+            box = [at(c, o, np.arange(t.num_rows), 9).reshape(-1, 3, 3) for (_, _, (c, o)), _ in side]
             close = (np.abs(box[0] - box[1]) <= CELL_TOLERANCE + SLACK).all((1, 2))
             sizes = np.stack([n for _, n in side], 1)
             for na, nb in np.unique(sizes[close], axis=0) if close.any() else []:
                 every = np.nonzero(close & (sizes == (na, nb)).all(1))[0]
                 step = max(1, 250_000 // max(1, int(na) * int(nb)))
                 for rows in (every[i : i + step] for i in range(0, len(every), step)):
-                    z = [np.stack([v[o[i] : o[i] + n] for i in rows]) for ((v, o), _, _), n in zip((c for c, _ in side), (na, nb), strict=True)]
-                    x = [np.stack([v[o[i] : o[i] + 3 * n] for i in rows]).reshape(len(rows), n, 3) for (_, (v, o), _), n in zip((c for c, _ in side), (na, nb), strict=True)]
+                    z = [at(v, o, rows, n) for ((v, o), _, _), n in zip((c for c, _ in side), (na, nb), strict=True)]
+                    x = [at(v, o, rows, 3 * n).reshape(len(rows), n, 3) for (_, (v, o), _), n in zip((c for c, _ in side), (na, nb), strict=True)]
                     cells = [c[rows] for c in box]
                     for first in (0, 1):
                         other = (cells[0] != cells[1]).any((1, 2)) if first else np.ones(len(rows), bool)

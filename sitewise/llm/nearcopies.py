@@ -39,8 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitewise.llm.components import components
-from sitewise.llm.frames import CELL_TOLERANCE, _ragged, expand, readable, representatives, verified
-from sitewise.llm.overlap import mixed
+from sitewise.llm.frames import CELL_TOLERANCE, Frames, _ragged, by_load, expand, hash_rows, mixed, readable, representatives, verified
 from sitewise.shared import ship, written
 
 TOLERANCE, SHARE = 0.05, 0.78
@@ -63,9 +62,9 @@ class Level(NamedTuple):
 
 LEVELS = (Level(2_000, 0.45, 2, 2.5, 2, 72), Level(24_000, 0.35, 2, 3.5, 3, 288), Level(500_000, 0.25, 3, 4.0, 3, 1_000), Level(float("inf"), 0.25, 3, 5.0, 4, 3_000))
 FEWEST_GRIDS = 10
-CELL_STEP, SALTS = 1.0, 16
+CELL_STEP = 1.0
 #: Of the distance sketch: bins on each axis, and 64-bit words.
-COARSE, WORDS = 16, 4
+COARSE, WORDS = 24, 4
 CHUNK = 40_000
 
 
@@ -81,36 +80,6 @@ def segments_of(band: int, level: Level) -> tuple[int, int]:
     return k, max(FEWEST_GRIDS, -(-level.segments // k))
 
 
-def _mix(bins: np.ndarray, seed: np.ndarray | int) -> np.ndarray:
-    """A hash of rows of three bins."""
-    odd = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)  # any odd numbers
-    with np.errstate(over="ignore"):
-        return mixed((bins.astype(np.uint64) * odd).sum(1, dtype=np.uint64) + mixed(np.asarray(seed, np.uint64)))
-
-
-class Frames:
-    """The atoms of a batch, flat: z, x, the frame each belongs to; box and n by frame."""
-
-    def __init__(self, z: np.ndarray, x: np.ndarray, box: np.ndarray, n: np.ndarray) -> None:
-        self.z, self.x, self.box, self.n = z, x.reshape(-1, 3), box.reshape(-1, 3, 3), n
-        self.of = np.repeat(np.arange(len(n)), n)
-        self.start = np.concatenate([[0], np.cumsum(n)])
-        self.inverse = np.linalg.inv(self.box) if len(n) else self.box
-        self.fraction = np.einsum("ai,aij->aj", self.x, self.inverse[self.of])
-
-    @classmethod
-    def of_batch(cls, b: pa.RecordBatch) -> Frames:
-        (z, zo), (x, xo), (c, co) = (_ragged(b.column(k)) for k in ("numbers", "xyz", "box"))
-        return cls(z[zo[0] : zo[-1]], x[xo[0] : xo[-1]], c[co[0] : co[-1]], np.diff(zo))
-
-    def subset(self, pick: np.ndarray) -> Frames:
-        """The frames at the places of pick, ascending."""
-        chosen = np.zeros(len(self.n), bool)
-        chosen[pick] = True
-        atoms = chosen[self.of]
-        return Frames(self.z[atoms], self.x[atoms], self.box[pick], self.n[pick])
-
-
 def segment_keys(f: Frames, level_no: int) -> tuple[np.ndarray, np.ndarray]:
     """(frame, key) of all segments with tokens enough, of all grids of a level and in both bands."""
     level, low, out = LEVELS[level_no], bands(f.n)[0], []
@@ -123,8 +92,8 @@ def segment_keys(f: Frames, level_no: int) -> tuple[np.ndarray, np.ndarray]:
             at, shift = draw.random(3), draw.random(3) * level.width * 2**level.coarse
             inside = part.x - np.einsum("ai,aij->aj", np.floor(part.fraction + at), part.box[part.of])
             bins = np.floor((inside + shift) / level.width).astype(np.int64)
-            token = _mix(bins, part.z.astype(np.uint64) + (np.uint64(grid + 1) << np.uint64(32)))
-            region = _mix(bins >> level.coarse, grid + 1) >> np.uint64(33)
+            token = hash_rows(bins, part.z.astype(np.uint64) + (np.uint64(grid + 1) << np.uint64(32)))
+            region = hash_rows(bins >> level.coarse, grid + 1) >> np.uint64(33)
             for b, k, grids, least in sizes:  # bands of few atoms have fewer segments in a grid, and more grids
                 if grid >= grids:
                     continue
@@ -153,7 +122,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, cell): every bin of the cell's nine components that a cell within the tolerance may share."""
+    """(rep, bucket): every bin of the cell's nine components that a cell within the tolerance may share."""
     for b in batches:
         c, co = _ragged(b.column("box"))
         box = c[co[0] : co[-1]].reshape(-1, 9) / CELL_STEP + 0.37  # shifted, as components are often whole or zero
@@ -165,22 +134,13 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             more = bins[two]
             more[:, axis] = hi[of[two], axis]
             of, bins = np.concatenate([of, of[two]]), np.concatenate([bins, more])
-        cell = _mix(np.stack([_mix(bins[:, i : i + 3], i) for i in (0, 3, 6)], 1), 9)
-        yield pa.RecordBatch.from_arrays([pa.array(b.column("rep").to_numpy()[of]), pa.array(cell.view(np.int64))], names=["rep", "cell"])
+        cell = hash_rows(np.stack([hash_rows(bins[:, i : i + 3], i) for i in (0, 3, 6)], 1), 9)
+        yield pa.RecordBatch.from_arrays([pa.array(b.column("rep").to_numpy()[of]), pa.array(cell.view(np.int64))], names=["rep", "bucket"])
 
 
 def levels(reps: DataFrame) -> DataFrame:
-    """(rep, levels): a bit for each level at which the frame makes keys, from how many frames have its cells.
-
-    Loads above a level's are few and are spread over SALTS rows each, so a cell that a third of all frames have meets
-    in no single task.
-    """
-    rows = written(reps.select("rep", "box").mapInArrow(_cells, "rep long, cell long"))
-    level = F.coalesce(*(F.when(F.col("load") <= x.load, i) for i, x in enumerate(LEVELS)))
-    heavy = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("load")).select("cell", level.alias("level")).where("level > 0")
-    heavy = heavy.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    with_level = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(heavy, ["cell", "salt"], "left")
-    return with_level.groupBy("rep").agg(F.bit_or(F.expr("shiftleft(1, coalesce(level, 0))")).alias("levels"))
+    """(rep, levels): a bit for each level at which the frame makes keys, from how many frames have its cells."""
+    return by_load(written(reps.select("rep", "box").mapInArrow(_cells, "rep long, bucket long")), [x.load for x in LEVELS])
 
 
 def bitmaps(z: np.ndarray, x: np.ndarray, box: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +156,7 @@ def sketches(f: Frames) -> tuple[np.ndarray, np.ndarray]:
     edge = [np.floor((f.fraction + r) * COARSE).astype(np.int64) % COARSE for r in (-reach, 0.0, reach)]
 
     def bit(bins: np.ndarray) -> np.ndarray:
-        return ((_mix(bins, f.z.astype(np.uint64)) >> np.uint64(33)) % np.uint64(64 * WORDS)).astype(np.int64)
+        return ((hash_rows(bins, f.z.astype(np.uint64)) >> np.uint64(33)) % np.uint64(64 * WORDS)).astype(np.int64)
 
     m, size = len(f.n), 64 * WORDS
     own = (np.bincount(f.of * size + bit(edge[1]), minlength=m * size) & 1).astype(np.uint8).reshape(m, size)

@@ -3,10 +3,16 @@
 Frames get a similarity-hash fingerprint: each bit is the sign of a sum over the atoms of a periodic random wave of
 the fractional coordinates, with a phase for each atomic number, so neither the order of atoms nor lattice vectors
 matter and small moves flip few bits. The fingerprint is cut into segments; records of different splits with the same
-composition that agree in a segment's code block are joined, those within the Hamming radius are tested exactly. The
-evaluation side, the smaller one, also probes each segment with its three least certain bits flipped.
+composition that agree in a segment's code block are candidates, those within the Hamming radius are tested exactly.
+The evaluation side, the smaller one, also probes each segment with its least certain bits flipped.
 
-Hops go the same way with radius 0: their fingerprint is the hash of the direction-free hop, one segment.
+Frames of one composition meet in a block by chance once in 2 ** block pairs, so blocks are wider, and more, for
+compositions that many frames have (LEVELS); candidates then grow with the frames and not with their pairs.
+
+Hops go the same way: a hop's fingerprint is the hash of its material and its direction-free sites and offset, a
+single block with radius 0, compared once for each distinct hop of a side and tested on the text.
+
+Only (key, id) is joined; fingerprints are fetched for the distinct candidates.
 
 Defined cases: frames that readable() leaves out, and records without a split or with another one than train, val or
 test, are in no pair. Repeated rows each count; exact copies are compared once and joined as members.
@@ -15,92 +21,99 @@ test, are in no pair. Repeated rows each count; exact copies are compared once a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitewise.functions.ids import canonical_hop, edge_parts, plain_id, plain_split
-from sitewise.llm.frames import _ragged, expand, readable, representatives, verified
+from sitewise.llm.frames import Frames, by_load, mixed, readable, representatives, verified
 from sitewise.shared import ship, written
 
-SEGMENTS, BLOCK = 20, 16
-BITS = SEGMENTS * BLOCK
-WEAK = 3
-RADIUS = 96
 TOLERANCE = 0.02
-WORDS = BITS // 64
+
+
+class Level(NamedTuple):
+    """Fingerprints of frames whose composition occurs at most `load` times: bits of a block, number of blocks, and how
+    many of a block's least certain bits are probed."""
+
+    load: float
+    block: int
+    segments: int
+    weak: int
+
+
+LEVELS = (Level(50_000, 16, 20, 3), Level(5_000_000, 24, 32, 4), Level(float("inf"), 32, 48, 5))
+#: Of all bits, how many may differ.
+RADIUS = 0.3
 WAVE = 10
+CHUNK = 8_000
 
 
-def waves(seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """The integer wave vectors (3 x BITS) and the phases by atomic number (256 x BITS)."""
+def waves(bits: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """The integer wave vectors (3 x bits) and the phases by atomic number (256 x bits)."""
     r = np.random.Generator(np.random.PCG64(seed))
-    return r.integers(-WAVE, WAVE + 1, (3, BITS)).astype(float), r.uniform(0, 2 * np.pi, (256, BITS))
+    return r.integers(-WAVE, WAVE + 1, (3, bits)).astype(float), r.uniform(0, 2 * np.pi, (256, bits))
 
 
-def sums(z: np.ndarray, x: np.ndarray, box: np.ndarray, k: np.ndarray, phase: np.ndarray) -> np.ndarray:
-    f = x @ np.linalg.inv(box)
-    return np.cos(2 * np.pi * ((f - np.floor(f)) @ k) + phase[z & 255]).sum(0)
+def sums(f: Frames, k: np.ndarray, phase: np.ndarray) -> np.ndarray:
+    """The sum of every wave over the atoms of every frame; its sign is the fingerprint's bit, its size how certain that is."""
+    wave = (f.fraction - np.floor(f.fraction)) @ k
+    return np.add.reduceat(np.cos(2 * np.pi * wave + phase[f.z & 255]), f.start[:-1], axis=0) if len(f.n) else np.zeros((0, k.shape[1]))
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    """Finaliser of splitmix64 on uint64."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+def words_of(s: np.ndarray) -> np.ndarray:
+    """The fingerprints' bits in 64-bit words."""
+    return np.packbits(s > 0, axis=1, bitorder="little").view("<i8")
 
 
-def blocks(s: np.ndarray, comp: int, probes: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The fingerprint's words, and the keys of its code blocks (with probes: 2 ** WEAK for each segment)."""
-    bits = (s > 0).reshape(SEGMENTS, BLOCK)
-    code = (bits << np.arange(BLOCK)).sum(1).astype(np.uint64)
-    codes = [code]
+def blocks(s: np.ndarray, comp: np.ndarray, level: Level, probes: bool) -> np.ndarray:
+    """The keys of the code blocks of every frame; with probes, every block also with its least certain bits flipped."""
+    size = s.reshape(len(s), level.segments, level.block)
+    bit = np.uint64(1) << np.arange(level.block, dtype=np.uint64)
+    codes = [np.where(size > 0, bit, np.uint64(0)).sum(2, dtype=np.uint64)]
     if probes:
-        weak = np.argsort(np.abs(s).reshape(SEGMENTS, BLOCK), axis=1, kind="stable")[:, :WEAK].astype(np.uint64)
-        for i in range(WEAK):
-            codes += [c ^ (np.uint64(1) << weak[:, i]) for c in codes]
-    base = np.uint64(comp & (2**64 - 1))
-    at = np.arange(SEGMENTS, dtype=np.uint64) << np.uint64(BLOCK)
+        least = np.argsort(np.abs(size), axis=2, kind="stable")[:, :, : level.weak].astype(np.uint64)
+        for i in range(level.weak):
+            codes += [c ^ (np.uint64(1) << least[:, :, i]) for c in codes]
     with np.errstate(over="ignore"):
-        keys = np.concatenate([mixed(mixed(np.full(SEGMENTS, base)) + (at | c)) for c in codes])
-    words = np.packbits(bits.ravel(), bitorder="little").view("<i8")
-    return words, keys.view(np.int64)
+        place = mixed(comp.astype(np.uint64))[:, None] + (np.arange(level.segments, dtype=np.uint64) << np.uint64(8)) + np.uint64(level.block)
+        return np.concatenate([mixed(mixed(place) + c) for c in codes], 1).view(np.int64)
 
 
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    k, phase = waves()
+    """One row for each frame and level: its words, the keys of its blocks, and if it is in an evaluation split its probes."""
+    known = [waves(x.block * x.segments) for x in LEVELS]
+    names = ["rep", "level", "words", "in_train", "keys", "probes"]
     for b in batches:
-        z, zo = _ragged(b.column("numbers"))
-        x, xo = _ragged(b.column("xyz"))
-        c, co = _ragged(b.column("box"))
-        probes = b.column("probes").to_pylist()
-        comp = b.column("comp").to_pylist()
-        words, keys = [], []
-        for i in range(b.num_rows):
-            s = sums(z[zo[i] : zo[i + 1]], x[xo[i] : xo[i + 1]].reshape(-1, 3), c[co[i] : co[i + 1]].reshape(3, 3), k, phase)
-            w, q = blocks(s, comp[i], probes[i])
-            words.append(w)
-            keys.append(q)
-        yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(words, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], names=["rep", "words", "keys"])
-
-
-def _hamming(a: str, b: str, n: int) -> Column:
-    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(n)])
-
-
-def block_pairs(train: DataFrame, other: DataFrame, words: int, radius: int) -> DataFrame:
-    """(train_id, other_id), each once, of two tables (id, key, w0..): equal in a block key, within the Hamming radius."""
-    t = train.select(F.col("id").alias("train_id"), "key", *(F.col(f"w{i}").alias(f"t{i}") for i in range(words)))
-    o = other.select(F.col("id").alias("other_id"), "key", *(F.col(f"w{i}").alias(f"o{i}") for i in range(words)))
-    return t.join(o, "key").where(_hamming("t", "o", words) <= radius).select("train_id", "other_id").distinct()
-
-
-def _fingerprints(reps: DataFrame, probes: bool) -> DataFrame:
-    got = reps.select("rep", "comp", "numbers", "xyz", "box", F.lit(probes).alias("probes")).mapInArrow(_fingerprint, "rep long, words array<long>, keys array<long>")
-    return got.select(F.col("rep").alias("id"), *(F.col("words")[i].alias(f"w{i}") for i in range(WORDS)), F.explode("keys").alias("key"))
+        rep, comp, flags = (b.column(c).to_numpy() for c in ("rep", "comp", "levels"))
+        in_train, in_other = (b.column(c).to_numpy(zero_copy_only=False) for c in ("in_train", "in_other"))
+        whole = Frames.of_batch(b)
+        steps = np.minimum(np.searchsorted(whole.start, np.arange(0, whole.start[-1] + CHUNK, CHUNK)), b.num_rows)
+        for lo, hi in zip(steps[:-1], steps[1:], strict=True):
+            for no, level in enumerate(LEVELS):
+                pick = np.nonzero(flags[lo:hi] >> no & 1)[0] + lo
+                if not len(pick):
+                    continue
+                s = sums(whole.subset(pick), *known[no])
+                keys, probed = blocks(s, comp[pick], level, False), np.nonzero(in_other[pick])[0]
+                probes: list = [None] * len(pick)
+                for i, row in zip(probed, blocks(s[probed], comp[pick[probed]], level, True), strict=True):
+                    probes[i] = row
+                columns = [pa.array(rep[pick]), pa.array(np.full(len(pick), no, np.int32)), pa.array(list(words_of(s)), pa.list_(pa.int64())), pa.array(in_train[pick]), pa.array(list(keys), pa.list_(pa.int64())), pa.array(probes, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def block_pairs(train: DataFrame, other: DataFrame, words: DataFrame, radius: float) -> DataFrame:
+    """(train_id, other_id), each once, of two tables (id, key) that are equal in a key and within the Hamming radius, a
+    share of the bits of words(id, level, words)."""
+    met = train.select(F.col("id").alias("train_id"), "key").join(other.select(F.col("id").alias("other_id"), "key"), "key").select("train_id", "other_id").distinct()
+    side = lambda s: words.select(F.col("id").alias(f"{s}_id"), F.col("level").alias(f"{s}_level"), F.col("words").alias(f"{s}_words"))
+    both = met.join(side("train"), "train_id").join(side("other"), "other_id").where("train_level = other_level")
+    distance = F.aggregate(F.zip_with("train_words", "other_words", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
+    return both.where(distance <= F.lit(radius) * 64 * F.size("train_words")).select("train_id", "other_id").distinct()
 
 
 def frame_overlaps(frames: DataFrame) -> DataFrame:
@@ -108,8 +121,10 @@ def frame_overlaps(frames: DataFrame) -> DataFrame:
     rows = readable(frames).where("split is not null")
     reps = written(representatives(rows))
     sides = rows.groupBy("cls").agg(F.max(F.col("split") == "train").alias("in_train"), F.max(F.col("split") != "train").alias("in_other"))
-    with_sides = reps.join(sides, "cls")
-    pairs = block_pairs(_fingerprints(with_sides.where("in_train"), False), _fingerprints(with_sides.where("in_other"), True), WORDS, RADIUS)
+    loads = by_load(reps.select("rep", F.col("comp").alias("bucket")), [x.load for x in LEVELS])
+    prints = reps.join(sides, "cls").join(loads, "rep").select("rep", "comp", "levels", "in_train", "in_other", "numbers", "xyz", "box").mapInArrow(_fingerprint, "rep long, level int, words array<long>, in_train boolean, keys array<long>, probes array<long>")
+    prints = written(prints).withColumnRenamed("rep", "id")
+    pairs = block_pairs(prints.where("in_train").select("id", F.explode("keys").alias("key")), prints.select("id", F.explode("probes").alias("key")), prints.select("id", "level", "words"), RADIUS)
     pairs = pairs.where("train_id <> other_id").select(F.least("train_id", "other_id").alias("a"), F.greatest("train_id", "other_id").alias("b")).distinct()
     held = verified(pairs, reps, TOLERANCE, None)
     return expand_across(held, rows)
@@ -131,12 +146,14 @@ def hop_overlaps(hops: DataFrame) -> DataFrame:
     e = edge_parts(plain_id(F.col("edge_id")))
     rows = hops.select("row_id", plain_id(F.col("material_id")).alias("m"), plain_split(F.col("_split")).alias("split"), e.alias("e"))
     rows = rows.select("row_id", "split", F.concat_ws("|", "m", canonical_hop(*(F.col(f"e.{c}") for c in ("source", "target", "ox", "oy", "oz")))).alias("text"), (F.col("m").isNotNull() & F.col("e.oz").isNotNull()).alias("whole"))
-    rows = written(rows.where("whole and split in ('train', 'val', 'test')").select("row_id", "split", "text", F.xxhash64("text").alias("key")))
-    code = rows.select(F.col("row_id").alias("id"), "key", F.col("key").alias("w0"), "split")
-    pairs = block_pairs(code.where("split = 'train'"), code.where("split <> 'train'"), 1, 0)
-    text = lambda s: rows.select(F.col("row_id").alias(f"{s}_id"), F.col("text").alias(f"{s}_text"), F.col("split").alias(f"split_{s[0]}"))
-    both = pairs.join(text("train"), "train_id").join(text("other"), "other_id").where("train_text = other_text")
-    return both.select(F.col("train_id").alias("k_t"), F.col("other_id").alias("k_o"), "split_t", "split_o", F.lit("nebdft2k").alias("source_t"), F.lit("nebdft2k").alias("source_o"))
+    rows = written(rows.where("whole and split in ('train', 'val', 'test')").select("row_id", "split", "text"))
+    hop = rows.groupBy("text").agg(F.bool_or(F.col("split") == "train").alias("in_train"), F.bool_or(F.col("split") != "train").alias("in_other"))
+    hop = hop.select(F.col("text").alias("id"), F.xxhash64("text").alias("key"), "in_train", "in_other")
+    met = block_pairs(hop.where("in_train"), hop.where("in_other"), hop.select("id", F.lit(0).alias("level"), F.array("key").alias("words")), 0.0)
+    same = met.where("train_id = other_id").select(F.col("train_id").alias("text"))
+    side = lambda s, only: rows.where(only).select("text", F.col("row_id").alias(f"k_{s}"), F.col("split").alias(f"split_{s}"))
+    both = same.join(side("t", "split = 'train'"), "text").join(side("o", "split <> 'train'"), "text")
+    return both.select("k_t", "k_o", "split_t", "split_o", F.lit("nebdft2k").alias("source_t"), F.lit("nebdft2k").alias("source_o"))
 
 
 def overlaps(frames: DataFrame, hops: DataFrame) -> DataFrame:

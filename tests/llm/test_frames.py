@@ -88,18 +88,23 @@ def test_empty(spark):
     assert nearcopies.near_pairs(none).count() == 0 and nearcopies.near_groups(none).count() == 0
 
 
-def test_block_recall_at_the_tolerance():
-    """All atoms moved by the whole tolerance, and cells changed: how often a code block still agrees."""
-    k, phase = overlap.waves()
+@pytest.mark.parametrize("level", range(len(overlap.LEVELS)))
+@pytest.mark.parametrize("n", [4, 14, 25, 60])
+def test_block_recall_at_the_tolerance(level, n):
+    """All atoms moved by the whole tolerance, and cells changed: how often a code block still agrees, by size and width."""
+    kind = overlap.LEVELS[level]
+    k, phase = overlap.waves(kind.block * kind.segments)
     r, hit = np.random.default_rng(2), {False: [], True: []}
-    for i in range(400):
-        z, x = np.array(Z), r.random((14, 3)) @ CELL
+    for i in range(200):
+        cell = np.diag(r.uniform(5.2, 11.5, 3)) + r.uniform(-0.5, 0.5, (3, 3)) * (1 - np.eye(3))
+        z, x = r.choice([3, 8, 17, 26], n), r.random((n, 3)) @ cell
         v = r.normal(size=x.shape)
         y = x + 0.02 * v / np.linalg.norm(v, axis=1)[:, None]
-        cell = CELL + (r.uniform(-0.05, 0.05, (3, 3)) if i % 2 else 0)
-        a, b = overlap.sums(z, x, CELL, k, phase), overlap.sums(z, y, cell, k, phase)
-        same = np.intersect1d(overlap.blocks(a, 1, True)[1], overlap.blocks(b, 1, False)[1])
-        hit[bool(i % 2)].append(len(same) > 0 and ((a > 0) != (b > 0)).sum() <= overlap.RADIUS)
+        changed = cell + (r.uniform(-0.05, 0.05, (3, 3)) if i % 2 else 0)
+        a, b = (overlap.sums(frames.Frames(z, p, c, np.array([n])), k, phase) for p, c in ((x, cell), (y, changed)))
+        same = np.intersect1d(overlap.blocks(a, np.array([1]), kind, True), overlap.blocks(b, np.array([1]), kind, False))
+        hit[bool(i % 2)].append(len(same) > 0 and ((a > 0) != (b > 0)).sum() <= overlap.RADIUS * a.shape[1])
+    print(level, n, np.mean(hit[False]), np.mean(hit[True]))
     assert np.mean(hit[False]) == 1.0 and np.mean(hit[True]) > 0.9
 
 
