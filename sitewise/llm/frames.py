@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewise.functions.ids import source_of_file, split_of_file
@@ -20,7 +20,7 @@ from sitewise.shared import ship, written
 
 CELL_TOLERANCE = 0.05
 SLACK = 1e-9
-SALTS = 16
+SALTS, FEW_BUCKETS = 16, 10_000
 CLASS_SCHEMA = "frame_key long, split string, source string, n int, comp long, cls binary, numbers array<int>, xyz array<double>, box array<double>"
 
 
@@ -107,24 +107,26 @@ def readable(frames: DataFrame) -> DataFrame:
     return written(whole.drop("ok").mapInArrow(_classify, CLASS_SCHEMA))
 
 
-def representatives(rows: DataFrame) -> DataFrame:
-    """One row for each class: the geometry of its frame with the smallest key, as `rep`."""
-    first = rows.groupBy("cls").agg(F.min("frame_key").alias("frame_key"))
-    return rows.join(first, ["cls", "frame_key"], "left_semi").select(F.col("frame_key").alias("rep"), "cls", "n", "comp", "numbers", "xyz", "box")
+def representatives(rows: DataFrame, **more: Column) -> DataFrame:
+    """One row for each class: the geometry of its frame with the smallest key, as `rep`, and aggregates over its members."""
+    first = rows.groupBy("cls").agg(F.min("frame_key").alias("frame_key"), *(c.alias(n) for n, c in more.items()))
+    return rows.select("frame_key", "cls", "n", "comp", "numbers", "xyz", "box").join(first, ["cls", "frame_key"]).withColumnRenamed("frame_key", "rep")
 
 
-def by_load(rows: DataFrame, limits: list[float]) -> DataFrame:
-    """(rep, levels) of rows(rep, bucket): a bit for each level that a frame's buckets have. A bucket's level is the
-    first whose limit its number of rows is within.
+def with_level(rows: DataFrame, limits: list[float]) -> DataFrame:
+    """rows(rep, bucket, ...) with `level`: the first of limits that the number of rows of its bucket is within.
 
-    Buckets above the first limit are few and their level is spread over SALTS rows, so a bucket that a third of all
-    frames share meets in no single task.
+    Only buckets above the first limit are joined: as a broadcast while there are at most FEW_BUCKETS of them, else by
+    their hash, each spread over SALTS rows, so a bucket that a third of all frames share meets in no single task.
     """
     level = F.coalesce(*(F.when(F.col("load") <= x, i) for i, x in enumerate(limits)))
-    heavy = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("load")).select("bucket", level.alias("level")).where("level > 0")
-    heavy = heavy.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    known = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(heavy, ["bucket", "salt"], "left")
-    return known.groupBy("rep").agg(F.bit_or(F.expr("shiftleft(1, coalesce(level, 0))")).alias("levels"))
+    heavy = written(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("load")).select("bucket", level.alias("level")).where("level > 0"))
+    if heavy.count() <= FEW_BUCKETS:
+        out = rows.join(F.broadcast(heavy), "bucket", "left")
+    else:
+        spread = heavy.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(spread, ["bucket", "salt"], "left").drop("salt")
+    return out.withColumn("level", F.coalesce("level", F.lit(0)))
 
 
 def near(za: np.ndarray, xa: np.ndarray, la: np.ndarray, zb: np.ndarray, xb: np.ndarray, tolerance: float) -> np.ndarray:

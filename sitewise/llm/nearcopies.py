@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitewise.llm.components import components
-from sitewise.llm.frames import CELL_TOLERANCE, Frames, _ragged, by_load, expand, hash_rows, mixed, readable, representatives, verified
+from sitewise.llm.frames import CELL_TOLERANCE, Frames, _ragged, expand, hash_rows, mixed, readable, representatives, verified, with_level
 from sitewise.shared import ship, written
 
 TOLERANCE, SHARE = 0.05, 0.78
@@ -140,7 +140,8 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def levels(reps: DataFrame) -> DataFrame:
     """(rep, levels): a bit for each level at which the frame makes keys, from how many frames have its cells."""
-    return by_load(written(reps.select("rep", "box").mapInArrow(_cells, "rep long, bucket long")), [x.load for x in LEVELS])
+    rows = with_level(written(reps.select("rep", "box").mapInArrow(_cells, "rep long, bucket long")), [x.load for x in LEVELS])
+    return rows.groupBy("rep").agg(F.bit_or(F.expr("shiftleft(1, level)")).alias("levels"))
 
 
 def bitmaps(z: np.ndarray, x: np.ndarray, box: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitewise.functions.ids import canonical_hop, edge_parts, plain_id, plain_split
-from sitewise.llm.frames import Frames, by_load, mixed, readable, representatives, verified
+from sitewise.llm.frames import Frames, mixed, readable, representatives, verified, with_level
 from sitewise.shared import ship, written
 
 TOLERANCE = 0.02
@@ -84,17 +84,17 @@ def blocks(s: np.ndarray, comp: np.ndarray, level: Level, probes: bool) -> np.nd
 
 
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each frame and level: its words, the keys of its blocks, and if it is in an evaluation split its probes."""
+    """One row for each frame: its level and words, the keys of its blocks, and if it is in an evaluation split its probes."""
     known = [waves(x.block * x.segments) for x in LEVELS]
     names = ["rep", "level", "words", "in_train", "keys", "probes"]
     for b in batches:
-        rep, comp, flags = (b.column(c).to_numpy() for c in ("rep", "comp", "levels"))
+        rep, comp, levels = (b.column(c).to_numpy() for c in ("rep", "comp", "level"))
         in_train, in_other = (b.column(c).to_numpy(zero_copy_only=False) for c in ("in_train", "in_other"))
         whole = Frames.of_batch(b)
         steps = np.minimum(np.searchsorted(whole.start, np.arange(0, whole.start[-1] + CHUNK, CHUNK)), b.num_rows)
         for lo, hi in zip(steps[:-1], steps[1:], strict=True):
             for no, level in enumerate(LEVELS):
-                pick = np.nonzero(flags[lo:hi] >> no & 1)[0] + lo
+                pick = np.nonzero(levels[lo:hi] == no)[0] + lo
                 if not len(pick):
                     continue
                 s = sums(whole.subset(pick), *known[no])
@@ -119,10 +119,9 @@ def block_pairs(train: DataFrame, other: DataFrame, words: DataFrame, radius: fl
 def frame_overlaps(frames: DataFrame) -> DataFrame:
     """Pairs of frames, one in train and one in val or test, that hold the same atoms: a, b (a < b), splits and sources."""
     rows = readable(frames).where("split is not null")
-    reps = written(representatives(rows))
-    sides = rows.groupBy("cls").agg(F.max(F.col("split") == "train").alias("in_train"), F.max(F.col("split") != "train").alias("in_other"))
-    loads = by_load(reps.select("rep", F.col("comp").alias("bucket")), [x.load for x in LEVELS])
-    prints = reps.join(sides, "cls").join(loads, "rep").select("rep", "comp", "levels", "in_train", "in_other", "numbers", "xyz", "box").mapInArrow(_fingerprint, "rep long, level int, words array<long>, in_train boolean, keys array<long>, probes array<long>")
+    reps = written(representatives(rows, in_train=F.max(F.col("split") == "train"), in_other=F.max(F.col("split") != "train")))
+    loads = with_level(reps.withColumn("bucket", F.col("comp")), [x.load for x in LEVELS])
+    prints = loads.select("rep", "comp", "level", "in_train", "in_other", "numbers", "xyz", "box").mapInArrow(_fingerprint, "rep long, level int, words array<long>, in_train boolean, keys array<long>, probes array<long>")
     prints = written(prints).withColumnRenamed("rep", "id")
     pairs = block_pairs(prints.where("in_train").select("id", F.explode("keys").alias("key")), prints.select("id", F.explode("probes").alias("key")), prints.select("id", "level", "words"), RADIUS)
     pairs = pairs.where("train_id <> other_id").select(F.least("train_id", "other_id").alias("a"), F.greatest("train_id", "other_id").alias("b")).distinct()

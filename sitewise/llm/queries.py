@@ -86,6 +86,12 @@ def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judged(table(spark, folder, "documents"), table(spark, folder, "doc_label"))
 
 
+def p10_held_out(spark: SparkSession, folder: str) -> DataFrame:
+    """Accuracy by kind on labelled documents that the rules were not fitted on."""
+    rows = quality.held_out(table(spark, folder, "documents"), table(spark, folder, "doc_label"))
+    return spark.createDataFrame([(k, int(n), int(r)) for k, n, r in rows.itertuples(index=False)], "text_kind string, n_documents long, n_right long")
+
+
 def p10_counts(spark: SparkSession, folder: str) -> DataFrame:
     """The plain counts of the statistics."""
     return quality.statistics(table(spark, folder, "documents")).select("doc_id", "n_characters", "n_words", "n_lines", F.round("mean_word_length", 8).alias("mean_word_length"), F.round("mean_line_words", 8).alias("mean_line_words"), F.round("distinct_share", 8).alias("distinct_share"))
@@ -99,7 +105,7 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_statistics": p10_statistics,
     "p10_counts": p10_counts,
-
+    "p10_held_out": p10_held_out,
     "p7_found": p7_found,
     "p7_frames_by_material": _frames_by_material,
     "p7_members_by_edge": _members_by_edge,

@@ -213,3 +213,34 @@ def test_rules_are_learned_and_exported(spark):
     assert (got == y[400:]).mean() > 0.95
     df = spark.createDataFrame([(i, 1, *map(float, v)) for i, v in enumerate(x[400:])], ", ".join(["i int", "n_words int", *(f"{f} double" for f in quality.FEATURES)]))
     assert [r.hit for r in df.orderBy("i").select((F.expr(quality.case_sql(rules)) > 0).alias("hit")).collect()] == got.tolist()
+
+
+def test_held_out_accuracy(spark):
+    """Documents of four kinds, a quarter of them mixed: judged by rules that were fitted without them."""
+    r = random.Random(8)
+    nouns = "lattice barrier frame cell force model anion split path image gap trend".split()
+
+    def sentence():
+        return f"The {r.choice(nouns)} of the {r.choice(nouns)} was not as large as we had thought, and it is still in the {r.choice(nouns)}."
+
+    make = {
+        "prose": lambda: " ".join(sentence() for _ in range(r.randint(2, 9))),
+        "list": lambda: "\n".join(f"- {r.choice(nouns)} {r.choice(nouns)}" for _ in range(r.randint(4, 20))),
+        "table": lambda: "\n".join(" ".join(f"{r.uniform(-9, 9):.3f}" for _ in range(5)) for _ in range(r.randint(3, 12))),
+        "junk": lambda: " ".join("".join(r.choice("qwzkjfgh") for _ in range(r.randint(3, 12))) for _ in range(r.randint(10, 60))),
+    }
+    rows = []
+    for i in range(400):
+        kind = r.choice(list(make))
+        text = make[kind]()
+        if i % 4 == 0:  # a smaller piece of another kind
+            other = make["prose" if kind != "prose" else "table"]()
+            text = text + "\n" + other[: len(text) // 3]
+        rows.append((i, text, kind))
+    df = spark.createDataFrame(rows, "doc_id long, text string, text_kind string")
+    got = quality.held_out(df.drop("text_kind"), df.drop("text")).set_index("text_kind")
+    assert got["n_documents"].sum() == 400 and (got["n_right"] / got["n_documents"]).min() > 0.93
+    model = quality.fit(df.drop("text_kind"), df.drop("text"))
+    assert len({c.feature for rule in model.sentences for c in rule}) > 1
+    judged = quality.judged(df.drop("text_kind"), df.drop("text")).select("doc_id", "natural_prose").toPandas().set_index("doc_id")["natural_prose"]
+    assert sum(judged[i] == (k == "prose") for i, _, k in rows) > 380
