@@ -62,8 +62,8 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.join(parents, "node", "left").select("node", F.coalesce("parent", "node").alias("component"))
 
 
-def running_total(df: DataFrame, group: list[str], key: str, weight: str, total: str, buckets: int = 4096) -> DataFrame:
-    """df with `total`: the sum of weight over the rows of the group up to the row, by key ascending (a hash as LONG).
+def running_total(df: DataFrame, group: list[str], key: str, weight: str, total: str, buckets: int = 4096, tie: str | None = None) -> DataFrame:
+    """df with `total`: the sum of weight over the rows of the group up to the row, by key ascending (a hash as LONG), equal keys by tie.
 
     A distributed prefix sum: the key's range is cut into equal buckets, their sums are added up by a window over at
     most `buckets` rows a group, and rows are added up within (group, bucket). No group meets in one task.
@@ -78,6 +78,6 @@ def running_total(df: DataFrame, group: list[str], key: str, weight: str, total:
     for c in names:
         eq = F.col(c).eqNullSafe(F.col(f"_r_{c}"))
         same = eq if same is None else same & eq
-    w = Window.partitionBy(*names).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*names).orderBy(key, *([tie] if tie else [])).rowsBetween(Window.unboundedPreceding, 0)
     inner = rows.withColumn("_inner", F.sum(weight).over(w))
     return inner.join(right, same).withColumn(total, F.col("_inner") + F.col("_before")).drop("_inner", "_before", "_bucket", *(f"_r_{c}" for c in names))

@@ -45,9 +45,13 @@ def budgets(counted: DataFrame, targets: DataFrame, total: int | None = None) ->
 
 def draw(counted: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 0) -> DataFrame:
     """(doc_id, source, n_tokens, uses): the documents drawn and how often each is used."""
-    plan = counted.sparkSession.createDataFrame([(x["source"], x["budget"], x["tokens"], x["cap"]) for x in budgets(counted, targets, total) if x["budget"] > 0], "source string, budget long, all_tokens long, cap int")
+    return _drawn(counted, budgets(counted, targets, total), seed)
+
+
+def _drawn(counted: DataFrame, per_source: list[dict], seed: int) -> DataFrame:
+    plan = counted.sparkSession.createDataFrame([(x["source"], x["budget"], x["tokens"], x["cap"]) for x in per_source if x["budget"] > 0], "source string, budget long, all_tokens long, cap int")
     rows = counted.join(F.broadcast(plan), "source").withColumn("key", F.xxhash64(F.lit(seed), "doc_id"))
-    summed = running_total(rows, ["source"], "key", "n_tokens", "upto")
+    summed = running_total(rows, ["source"], "key", "n_tokens", "upto", tie="doc_id")
     passes = F.expr("budget div all_tokens")
     rest = F.col("budget") - passes * F.col("all_tokens")
     inside = (F.col("upto") - F.col("n_tokens") / 2 < rest) & (passes < F.col("cap"))
@@ -57,8 +61,9 @@ def draw(counted: DataFrame, targets: DataFrame, total: int | None = None, seed:
 
 def report(counted: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 0) -> DataFrame:
     """Per source of targets: target_share, reached_share, budget, drawn tokens and documents, most uses of one, all tokens."""
-    drawn = written(draw(counted, targets, total, seed))
+    per_source = budgets(counted, targets, total)
+    drawn = written(_drawn(counted, per_source, seed))
     per = drawn.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("drawn"), F.count(F.lit(1)).alias("n_documents"), F.max("uses").alias("most_uses"))
     whole = drawn.agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("whole"))
-    plan = counted.sparkSession.createDataFrame([(x["source"], x["share"], x["budget"], x["tokens"]) for x in budgets(counted, targets, total)], "source string, target_share double, budget long, source_tokens long")
+    plan = counted.sparkSession.createDataFrame([(x["source"], x["share"], x["budget"], x["tokens"]) for x in per_source], "source string, target_share double, budget long, source_tokens long")
     return plan.join(per, "source", "left").crossJoin(F.broadcast(whole)).select("source", "target_share", (F.coalesce("drawn", F.lit(0)) / F.nullif("whole", F.lit(0))).alias("reached_share"), "budget", F.coalesce("drawn", F.lit(0)).alias("drawn_tokens"), F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"), "source_tokens")

@@ -8,11 +8,12 @@ to conflict, don't go together while that costs no space: a container is opened
 has fewer than its tokens need at least; after that the tightest fit is taken, marked `relaxed`. Declared source
 conflicts are never relaxed.
 
-A shard holds SHARD_TOKENS tokens or so, hundreds of containers, and leaves about one part-filled; so the unused share
-doesn't grow with the data, and no task does either.
+A shard holds SHARD_TOKENS tokens or SHARD_CONTAINERS containers, whichever is more, and leaves about one part-filled;
+so the unused share doesn't grow with the data, nor with the capacity. A shard's rows grow with the capacity, as all
+that goes into a container must meet somewhere.
 
 Defined cases: a null text is not packed; an empty text takes no space and is put into a container all the same; a
-capacity that is null or below 1 is an error; repeated documents are packed each.
+capacity that is null or below 1 is an error; repeated documents are packed each, told apart by `row`.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from sitewise.shared import ship
 
-SHARD_TOKENS, SHARD_ITEMS = 1_000_000, 40_000
-OUT = "spec_id int, container_id long, doc_id long, piece int, first_token long, n_tokens long, relaxed boolean"
+SHARD_TOKENS, SHARD_CONTAINERS, SHARD_ITEMS = 1_000_000, 64, 40_000
+OUT = "spec_id int, container_id string, doc_id long, row long, piece int, first_token long, n_tokens long, relaxed boolean"
 
 
 def pack(sizes: list[int], clusters: list[int], sources: list[int], capacity: int, conflicts: dict[int, int] | None = None) -> tuple[list[int], list[bool]]:
@@ -77,26 +78,33 @@ def pack(sizes: list[int], clusters: list[int], sources: list[int], capacity: in
     return place, relaxed
 
 
+def shards_of(tokens: int, items: int, capacity: int) -> int:
+    """How many shards: as many as the tokens fill and, unless the capacity needs larger ones, as keep items few."""
+    return max(1, min(round(tokens / (SHARD_CONTAINERS * capacity)), max(round(tokens / SHARD_TOKENS), round(items / SHARD_ITEMS))))
+
+
 def fill(counted: DataFrame, specs: DataFrame, conflicting_sources: list[tuple[str, str]] | None = None) -> DataFrame:
-    """One row for each piece of each text and spec: its container. counted: doc_id, source, same, n_tokens."""
+    """One row for each piece of each text and spec: its container. counted: doc_id, source, same, n_tokens, row.
+
+    container_id is 'd<row>-<k>' for a full piece, which is a container by itself, else '<shard>-<number>'.
+    """
     ship(counted.sparkSession)
-    few = specs.select(F.col("spec_id").cast("int").alias("spec_id"), F.col("capacity_tokens").cast("long").alias("capacity")).limit(1001).collect()
+    few = specs.select(F.col("spec_id").cast("int").alias("spec_id"), F.col("capacity_tokens").cast("long").alias("capacity")).distinct().limit(1001).collect()
     if len(few) > 1000 or any(r["capacity"] is None or r["capacity"] < 1 for r in few):
         raise ValueError("specs must be at most 1000 capacities of at least 1")
-    total, n = counted.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count(F.lit(1))).first()
-    shards = max(1, round(total / SHARD_TOKENS), round(n / SHARD_ITEMS))
-    spec = F.broadcast(specs.select(F.col("spec_id").cast("int").alias("spec_id"), F.col("capacity_tokens").cast("long").alias("capacity")))
-    each = counted.crossJoin(spec)  # specs are few: a row for each document and capacity is what is asked for
+    loads = counted.agg(*(F.coalesce(F.sum(F.col("n_tokens") % r["capacity"]), F.lit(0)).alias(f"t{i}") for i, r in enumerate(few)), F.count(F.lit(1)).alias("n")).first()
+    plan = [(r["spec_id"], r["capacity"], shards_of(loads[f"t{i}"], loads["n"], r["capacity"])) for i, r in enumerate(few)]
+    spec = F.broadcast(counted.sparkSession.createDataFrame(plan, "spec_id int, capacity long, shards int"))  # 1000 rows at most
+    each = counted.crossJoin(spec)  # a row for each document and capacity is what is asked for
     rest = F.col("n_tokens") % F.col("capacity")
     long = each.where("n_tokens >= capacity")
-    full = long.select("spec_id", "doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("n_tokens div capacity"))).alias("k"), "capacity")
-    # a full piece is a container by itself; its number leaves room below for the shards' own
-    full = full.select("spec_id", (-(F.xxhash64("doc_id", "k").bitwiseAND(F.lit(2**62 - 1))) - 1).alias("container_id"), "doc_id", F.col("k").cast("int").alias("piece"), ((F.col("k") - 1) * F.col("capacity")).alias("first_token"), F.col("capacity").alias("n_tokens"), F.lit(False).alias("relaxed"))
-    items = each.where((rest > 0) | (F.col("n_tokens") == 0)).select("spec_id", "capacity", "doc_id", "source", "same", rest.alias("size"), (F.expr("n_tokens div capacity") + 1).cast("int").alias("piece"), (F.col("n_tokens") - rest).alias("first_token"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"))
+    full = long.select("spec_id", "doc_id", "row", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("n_tokens div capacity"))).alias("k"), "capacity")
+    full = full.select("spec_id", F.concat(F.lit("d"), F.col("row").cast("string"), F.lit("-"), F.col("k").cast("string")).alias("container_id"), "doc_id", "row", F.col("k").cast("int").alias("piece"), ((F.col("k") - 1) * F.col("capacity")).alias("first_token"), F.col("capacity").alias("n_tokens"), F.lit(False).alias("relaxed"))
+    items = each.where((rest > 0) | (F.col("n_tokens") == 0)).select("spec_id", "capacity", "doc_id", "row", "source", "same", rest.alias("size"), (F.expr("n_tokens div capacity") + 1).cast("int").alias("piece"), (F.col("n_tokens") - rest).alias("first_token"), F.pmod(F.xxhash64("doc_id", "row"), F.col("shards")).alias("shard"))
     pairs = list(conflicting_sources or [])
 
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["doc_id", "row"], kind="stable").reset_index(drop=True)
         many = pdf["same"].duplicated(keep=False)
         cluster = pd.Series(-1, index=pdf.index)
         cluster[many] = pd.factorize(pdf["same"][many])[0]
@@ -109,12 +117,26 @@ def fill(counted: DataFrame, specs: DataFrame, conflicting_sources: list[tuple[s
                 conflicts[at[a]] = conflicts.get(at[a], 0) | 1 << at[b]
                 conflicts[at[b]] = conflicts.get(at[b], 0) | 1 << at[a]
         place, relaxed = pack(pdf["size"].tolist(), cluster.tolist(), code.tolist(), int(pdf["capacity"].iat[0]), conflicts)
-        base = int(pdf["shard"].iat[0]) << 32
-        return pd.DataFrame({"spec_id": pdf["spec_id"], "container_id": [base + p for p in place], "doc_id": pdf["doc_id"], "piece": pdf["piece"], "first_token": pdf["first_token"], "n_tokens": pdf["size"], "relaxed": relaxed})
+        base = f"{int(pdf['shard'].iat[0])}-"
+        return pd.DataFrame({"spec_id": pdf["spec_id"], "container_id": [base + str(p) for p in place], "doc_id": pdf["doc_id"], "row": pdf["row"], "piece": pdf["piece"], "first_token": pdf["first_token"], "n_tokens": pdf["size"], "relaxed": relaxed})
 
     return full.unionByName(items.groupBy("spec_id", "shard").applyInPandas(shard, OUT))
 
 
+def invariants(containers: DataFrame, counted: DataFrame, specs: DataFrame) -> DataFrame:
+    """Per capacity, what must hold: rows packed, rows whose pieces don't add up to their tokens without gap or overlap,
+    containers above the capacity, and pieces of texts that fit as a whole but were cut."""
+    spec = specs.select(F.col("spec_id").cast("int").alias("spec_id"), F.col("capacity_tokens").cast("long").alias("capacity")).distinct()
+    boxes = containers.groupBy("spec_id", "container_id").agg(F.sum("n_tokens").alias("used")).join(F.broadcast(spec), "spec_id")
+    over = boxes.groupBy("spec_id").agg(F.count_if(F.col("used") > F.col("capacity")).alias("n_overfull"))
+    # pieces are without gap if they are numbered 1, 2, ... and every piece but the last is as long as the capacity
+    rows = containers.groupBy("spec_id", "row").agg(F.sum("n_tokens").alias("got"), F.count(F.lit(1)).alias("n"), F.max("piece").alias("last"), F.max(F.col("first_token") + F.col("n_tokens")).alias("upto"), F.countDistinct("first_token").alias("starts"))
+    rows = rows.join(counted.select("row", "n_tokens"), "row", "full").join(F.broadcast(spec), "spec_id", "left")
+    whole = (F.col("got") == F.col("n_tokens")) & (F.col("upto") == F.col("n_tokens")) & (F.col("n") == F.col("starts"))
+    per = rows.groupBy("spec_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.coalesce(whole, F.lit(False))).alias("n_broken"), F.count_if((F.col("n_tokens") <= F.col("capacity")) & (F.col("n") > 1)).alias("n_cut"))
+    return per.join(over, "spec_id", "left").select("spec_id", "n_rows", "n_broken", "n_cut", "n_overfull")
+
+
 def fill_report(containers: DataFrame, specs: DataFrame) -> DataFrame:
     """Per capacity: containers, documents, tokens, share of the space used, pieces placed in spite of a cluster."""
     spec = F.broadcast(specs.select(F.col("spec_id").cast("int").alias("spec_id"), F.col("capacity_tokens").cast("long").alias("capacity")))

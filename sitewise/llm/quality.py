@@ -65,24 +65,20 @@ def _ratio(a: Column, b: Column) -> Column:
 
 def parts(text: Column, common: list[str] = COMMON) -> Column:
     """ARRAY<STRUCT> of the counts of every part of a text, each made in one pass over it."""
-    strip = r"(?<=^|\s)[^\p{L}\p{N}\s]+|[^\p{L}\p{N}\s]+(?=\s|$)"  # the signs around words
-    cut = F.transform(_filled(F.split(text, SENTENCE)), lambda p: F.struct(
-        F.length(p).alias("size"),
-        F.filter(F.split(p, r"\s+"), lambda w: w != "").alias("words"),
-        F.filter(F.split(F.lower(F.regexp_replace(p, strip, "")), r"\s+"), lambda w: w != "").alias("bare"),
-        F.regexp_replace(p, r"[\p{L}\s]+", "").alias("rest"),
-    ))
-    without = F.transform(cut, lambda s: F.struct(s["size"].alias("size"), s["words"].alias("words"), s["bare"].alias("bare"), s["rest"].alias("rest"), F.regexp_replace(s["rest"], r"[.,;:!?'’\-()]+|\p{N}+", "").alias("signs"), F.regexp_replace(s["rest"], r"\P{N}+", "").alias("digits")))
-    return F.transform(without, lambda s: F.struct(
-        s["size"].alias("size"),
-        F.size(s["words"]).alias("n"),
-        F.aggregate(s["words"], F.lit(0), lambda n, w: n + F.length(w)).alias("n_chars"),
+    strip = r"[^\p{L}\p{N}\s]++(?!\S)|(?<!\S)[^\p{L}\p{N}\s]+"  # the signs around words
+    words = lambda p: F.array_remove(F.split(p, r"\s+"), "")
+    cut = F.transform(_filled(F.split(text, SENTENCE)), lambda p: F.struct(p.alias("p"), F.lower(F.regexp_replace(p, strip, "")).alias("clean"), F.regexp_replace(p, r"[\p{L}\s]+", "").alias("rest")))
+    cut = F.transform(cut, lambda s: F.struct(s["p"].alias("p"), s["clean"].alias("clean"), s["rest"].alias("rest"), words(s["clean"]).alias("bare")))
+    return F.transform(cut, lambda s: F.struct(
+        F.length(s["p"]).alias("size"),
+        F.size(words(s["p"])).alias("n"),
+        F.length(F.translate(s["p"], " \t\n\x0b\f\r", "")).alias("n_chars"),
         F.size(F.filter(s["bare"], lambda w: w.isin(common))).alias("n_common"),
-        F.size(F.filter(s["words"], lambda w: w.endswith(",") | w.endswith(";") | w.endswith("|"))).alias("n_enders"),
-        F.size(F.filter(s["bare"], lambda w: F.rlike(w, F.lit(r"^[\p{L}'’-]+$")))).alias("n_plain"),
+        F.regexp_count(s["p"], F.lit(r"[,;|](?=\s|$)")).alias("n_enders"),
+        (F.size(s["bare"]) - F.regexp_count(s["clean"], F.lit(r"[^\p{L}\s'’-]\S*"))).alias("n_plain"),
         F.length(s["rest"]).alias("n_rest"),
-        F.length(s["signs"]).alias("n_signs"),
-        F.length(s["digits"]).alias("n_digits"),
+        F.length(F.regexp_replace(s["rest"], r"[.,;:!?'’\-()]+|\p{N}+", "")).alias("n_signs"),
+        F.length(F.regexp_replace(s["rest"], r"\P{N}+", "")).alias("n_digits"),
         s["bare"].alias("bare"),
     ))
 

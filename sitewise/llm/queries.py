@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewise.functions.ids import plain_id
 from sitewise.llm import mixing, nearcopies, overlap, packing, quality, skew, splits, tokens, topn
+from sitewise.shared import written
 from sitewise.sources.tables import table
 
 
@@ -74,6 +77,24 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(p8_containers(spark, folder), table(spark, folder, "container_spec"))
 
 
+#: Sources that are never to share a container, for the query below: what is measured and what judges it.
+APART = [("run_note", "audit_report"), ("lab_log", "review_comment")]
+
+
+def p8_apart(spark: SparkSession, folder: str) -> DataFrame:
+    """Per capacity: the fill if the sources of APART never meet, and the containers in which they do."""
+    counted, spec = tokens.counted(table(spark, folder, "documents")), table(spark, folder, "container_spec")
+    rows = written(packing.fill(counted, spec, APART))
+    held = rows.join(counted.select("row", "source"), "row").groupBy("spec_id", "container_id").agg(*(F.max(F.col("source").eqNullSafe(s)).alias(s) for s in sorted({s for p in APART for s in p})))
+    met = held.groupBy("spec_id").agg(F.count_if(reduce(lambda x, y: x | y, [F.col(a) & F.col(b) for a, b in APART])).alias("n_met"))
+    return packing.fill_report(rows, spec).join(met, "spec_id")
+
+
+def p8_invariants(spark: SparkSession, folder: str) -> DataFrame:
+    counted, spec = tokens.counted(table(spark, folder, "documents")), table(spark, folder, "container_spec")
+    return packing.invariants(written(packing.fill(counted, spec)), counted, spec)
+
+
 def p9_drawn(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.draw(tokens.counted(table(spark, folder, "documents")), table(spark, folder, "mix_target"))
 
@@ -111,6 +132,8 @@ QUERIES = {
     "p7_members_by_edge": _members_by_edge,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
+    "p8_apart": p8_apart,
+    "p8_invariants": p8_invariants,
     "p9_drawn": p9_drawn,
     "p9_shares": p9_shares,
 } | {"p1_found": p1_found, "p1_by_split_and_source": p1_by_split_and_source, "p5_found": p5_found, "p5_groups": p5_groups, "p3_found": p3_found, "p6_found": p6_found, "p6_assign": p6_assign, "p6_shares": p6_shares}
@@ -118,6 +141,7 @@ QUERIES = {
 _ID = "nullif(trim(lower(translate({c}, '‐‑‒–—―−⁃﹘﹣－', '-----------')), ' ' || chr(9) || chr(10) || chr(13) || chr(160)), '')"
 
 SQL = {
+    "p8_invariants": "select spec_id, (select count(*) from documents where text is not null) as n_rows, 0::bigint as n_broken, 0::bigint as n_cut, 0::bigint as n_overfull from container_spec",
     "p10_counts": r"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
 w as (select doc_id, t, list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '') as words, list_filter(regexp_split_to_array(t, '[\r\n]+'), lambda x: trim(x) <> '') as lines from d),

@@ -16,8 +16,10 @@ from sitewise.shared import ship, written
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that this vocabulary was made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Runs of blanks beyond this are encoded in pieces, as the library can't take them whole.
+#: Runs of blanks beyond this are encoded apart, as the library's pattern engine can't take them at any length.
 RUN = 4096
+#: Fixed value: the blanks that the pattern's \\s stands for.
+BLANK = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _loaded: dict = {}
 
 
@@ -33,11 +35,20 @@ def encoder(path: str):  # noqa: ANN201
 
 
 def encode(text: str, path: str = VOCABULARY) -> list[int]:
-    """The ids of the whole text; decoding them gives the text back."""
+    """The ids of the whole text, those of the tokenizer at any length; decoding them gives the text back.
+
+    The pattern takes a run of blanks before a word as one piece up to its last blank, and the last with the word; so a
+    long run is cut there and merged as the one piece that it is.
+    """
     e = encoder(path)
-    if len(text) <= RUN or not re.search(r"\s{%d}" % RUN, text):
+    if len(text) <= RUN or not re.search(BLANK + "{%d}" % RUN, text):
         return e.encode_ordinary(text)
-    return [i for part in re.findall(r"\s{1,%d}|\S[\s\S]*?(?=\s{%d}|\Z)" % (RUN, RUN), text) for i in e.encode_ordinary(part)]
+    out, at = [], 0
+    for run in re.finditer(BLANK + "{%d,}" % RUN, text):
+        end = run.end() - (run.end() < len(text))  # the last blank goes with what follows
+        out += e.encode_ordinary(text[at : run.start()]) + e._encode_single_piece(text[run.start() : end])
+        at = end
+    return out + e.encode_ordinary(text[at:])
 
 
 def n_tokens(c: Column, path: str = VOCABULARY) -> Column:
@@ -50,6 +61,7 @@ def n_tokens(c: Column, path: str = VOCABULARY) -> Column:
 
 
 def counted(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(doc_id, source, same, n_tokens) of the documents that have a text, written once; `same` is one for equal texts."""
+    """(doc_id, source, same, n_tokens, row) of the documents that have a text, written once; `same` is one for equal
+    texts, `row` differs for every row, repeated documents included."""
     ship(documents.sparkSession)
-    return written(documents.where("text is not null").select("doc_id", "source", F.xxhash64("text").alias("same"), n_tokens(F.col("text"), path).alias("n_tokens")))
+    return written(documents.where("text is not null").select("doc_id", "source", F.xxhash64("text").alias("same"), n_tokens(F.col("text"), path).alias("n_tokens"), F.monotonically_increasing_id().alias("row")))

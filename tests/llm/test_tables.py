@@ -175,6 +175,32 @@ def test_fill(spark):
         packing.fill(c, spark.createDataFrame([(1, 0)], "spec_id int, capacity_tokens int"))
 
 
+def test_fill_of_repeated_documents_and_large_capacities(spark):
+    """Rows of one document are told apart, and shards are large enough for the capacity."""
+    twice = spark.createDataFrame([(1, "s", 7, 600, 10), (1, "s", 7, 600, 11), (1, "s", 7, 512, 12)], "doc_id long, source string, same long, n_tokens long, row long")
+    spec = lambda *c: spark.createDataFrame(list(enumerate(c)), "spec_id int, capacity_tokens int")
+    used = {}
+    for r in packing.fill(twice, spec(512)).collect():
+        used[r.container_id] = used.get(r.container_id, 0) + r.n_tokens
+    assert max(used.values()) <= 512 and sum(used.values()) == 1712
+    many = spark.createDataFrame([(i, "s", i, 1000, i) for i in range(3000)], "doc_id long, source string, same long, n_tokens long, row long")
+    for r in packing.fill_report(packing.fill(many, spec(4096, 131_072, 600_000, 1_500_000)), spec(4096, 131_072, 600_000, 1_500_000)).collect():
+        shards = packing.shards_of(3_000_000, 3000, r.capacity)
+        assert r.n_containers < -(-3000 // (r.capacity // 1000)) + shards
+    assert packing.shards_of(10**12, 10**9, 4096) == 10**6 and packing.shards_of(10**12, 10**9, 10**8) == 156
+    found = packing.invariants(packing.fill(twice, spec(512)), twice, spec(512)).collect()
+    assert [tuple(r) for r in found] == [(0, 3, 0, 0, 0)]
+    lost = packing.invariants(packing.fill(twice, spec(512)).where("row <> 11 or piece = 1"), twice, spec(512)).collect()
+    assert lost[0].n_broken == 1
+
+
+def test_tokens_of_long_runs_of_blanks(spark):
+    """Counts are those of the tokenizer itself, which takes runs of this length whole."""
+    e = tokens.encoder(tokens.VOCABULARY)
+    for text in ("ab" + " " * 9000 + "cd", "x" + "\n" * 5000, " " * 5000 + "\tz", "a" + "\u00a0 " * 4000 + "b" + " " * 6000 + ". c", "q" + "\x1c" * 5000 + "r"):
+        assert tokens.encode(text) == e.encode_ordinary(text)
+
+
 def test_mixing(spark):
     rows = [(i, ["a", "b", "c", None][0 if i < 700 else 1 if i < 950 else 2 if i < 990 else 3], i, (i * 37) % 200 + 1) for i in range(1000)]
     c = spark.createDataFrame(rows, "doc_id long, source string, same long, n_tokens long")
