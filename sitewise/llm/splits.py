@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,33 +22,41 @@ from sitewise.llm.components import components, running_total
 from sitewise.shared import written
 
 MAX_BITS = 1 << 24
+MAX_SIDES, MAX_SPANS = 10_000, 100_000
 
 
 def closest_subset(sizes: dict[int, int], target: int, max_bits: int = MAX_BITS) -> dict[int, int]:
     """How many groups of each size to take so that their total is closest to target (a multiset of sizes).
 
-    Beyond max_bits, groups are first taken from the largest size down until the rest of the target fits the bitset.
+    reach is the bitset of totals; for every total only the step that first reached it is kept, which is enough to find
+    the way back. Beyond max_bits, groups are first taken from the largest size down until the rest of the target fits
+    the bitset; the rest is closest among what is left.
     """
-    left, taken = Counter({s: m for s, m in sizes.items() if s > 0 and m > 0}), Counter()
+    left, taken, rest = Counter({s: m for s, m in sizes.items() if s > 0 and m > 0}), Counter(), target
     for s in sorted(left, reverse=True):
-        if target - sum(k * v for k, v in taken.items()) <= max_bits:
+        if rest <= max_bits:
             break
-        rest = target - sum(k * v for k, v in taken.items())
         n = min(left[s], max(0, (rest - max_bits // 2) // s))
         taken[s] += n
         left[s] -= n
-    rest = target - sum(k * v for k, v in taken.items())
+        rest -= n * s
     if rest <= 0:
         return {s: n for s, n in taken.items() if n}
-    limit = rest + max((s for s, m in left.items() if m), default=0)
+    # totals beyond the target by a whole group, or by more than itself, are never the closest
+    limit = rest + min(rest, max((s for s, m in left.items() if m), default=0))
     full = (1 << (limit + 1)) - 1
-    reach, history = 1, []
+    reach, steps, first = 1, [], np.zeros(limit + 1, np.int32)
     for s in sorted(left, reverse=True):
         m, step = min(left[s], limit // s), 1
         while m > 0:  # multiplicities as powers of two and a rest
             n = min(step, m)
-            history.append((s, n, reach))
-            reach |= (reach << (s * n)) & full
+            steps.append((s, n))
+            new = (reach << (s * n)) & full & ~reach
+            if new:
+                bits = np.frombuffer(new.to_bytes(limit // 8 + 1, "little"), np.uint8)
+                at = np.nonzero(bits)[0]
+                first[(at[:, None] * 8 + np.arange(8))[np.unpackbits(bits[at][:, None], axis=1, bitorder="little").astype(bool)]] = len(steps)
+                reach |= new
             m, step = m - n, step * 2
     below = (reach & ((1 << (rest + 1)) - 1)).bit_length() - 1
     above = reach >> (rest + 1)
@@ -55,10 +64,10 @@ def closest_subset(sizes: dict[int, int], target: int, max_bits: int = MAX_BITS)
     if above:
         higher = rest + 1 + ((above & -above).bit_length() - 1)
         best = higher if higher - rest < rest - below else below
-    for s, n, before in reversed(history):
-        if not (before >> best) & 1:
-            taken[s] += n
-            best -= s * n
+    while best:
+        s, n = steps[first[best] - 1]
+        taken[s] += n
+        best -= s * n
     return {s: n for s, n in taken.items() if n}
 
 
@@ -86,7 +95,10 @@ def broken(df: DataFrame, **names: str) -> DataFrame:
 
 def assign(df: DataFrame, targets: DataFrame, seed: int = 0, **names: str) -> DataFrame:
     """(row_id, group_key, side): every row with a side, whole groups together, totals near the shares of targets."""
-    shares = {r["split_name"]: float(r["target_share"]) for r in targets.limit(100).collect() if r["split_name"] is not None and r["target_share"]}
+    few = targets.where("split_name is not null and target_share is not null and target_share <> 0").limit(MAX_SIDES + 1).collect()
+    if len(few) > MAX_SIDES:
+        raise ValueError(f"more than {MAX_SIDES} sides")
+    shares = {r["split_name"]: float(r["target_share"]) for r in few}
     if not shares or min(shares.values()) < 0:
         raise ValueError("targets need at least one positive share")
     g = written(groups(df, **names))
@@ -101,5 +113,7 @@ def assign(df: DataFrame, targets: DataFrame, seed: int = 0, **names: str) -> Da
             left[size] -= k
     ranked = running_total(sized.withColumn("_h", F.xxhash64(F.lit(seed), "group_id")).withColumn("_one", F.lit(1)), ["size"], "_h", "_one", "rank")
     spans = df.sparkSession.createDataFrame(rows, "s long, lo long, hi long, side string")
+    if len(rows) <= MAX_SPANS:  # else the spans are joined by size, and large sizes are split as skewed partitions
+        spans = F.broadcast(spans)
     sides = ranked.join(spans, (F.col("size") == F.col("s")) & F.col("rank").between(F.col("lo"), F.col("hi")), "left").select("group_id", F.coalesce("side", F.lit(main)).alias("side"))
     return g.join(sides, "group_id").select("row_id", "group_key", "side")

@@ -72,6 +72,34 @@ def test_closest_subset_beyond_the_bits():
     assert sum(s * n for s, n in got.items()) == 6001
 
 
+def test_closest_subset_keeps_one_step_for_each_total():
+    import tracemalloc
+
+    r = random.Random(5)
+    sizes = {s: r.randrange(1, 9) for s in r.sample(range(50, 9000), 399)}
+    tracemalloc.start()
+    got = splits.closest_subset(sizes, 1_000_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(s * n for s, n in got.items()) == 1_000_000 and all(n <= sizes[s] for s, n in got.items())
+    assert peak < 50_000_000
+
+
+def test_closest_subset_of_a_billion():
+    """Beyond the bitset the largest groups go first; small ones still settle the total exactly."""
+    sizes = {10_000_000: 40, 1_000_000: 300, 7919: 60_000, 613: 100_000, 5: 1_000_000}
+    got = splits.closest_subset(sizes, 512_345_678)
+    assert abs(sum(s * n for s, n in got.items()) - 512_345_678) <= 1 and all(n <= sizes[s] for s, n in got.items())
+
+
+def test_many_sides(spark):
+    """Every side of the targets counts, however many there are."""
+    rows = spark.range(3000).select(F.col("id").alias("row_id"), F.concat(F.lit("mp-"), F.col("id").cast("string")).alias("material_id"), F.lit(None).cast("string").alias("chemsys"), F.lit(None).cast("string").alias("_split"))
+    t = spark.createDataFrame([(f"side{i}", 1.0) for i in range(150)], "split_name string, target_share double")
+    n = {r.side: r["count"] for r in splits.assign(rows, t).groupBy("side").count().collect()}
+    assert len(n) == 150 and set(n.values()) == {20}
+
+
 SPLIT = "row_id long, material_id string, chemsys string, _split string, group_id string, component long"
 
 
