@@ -1,6 +1,8 @@
 import datetime as dt
 import random
 
+import pytest
+
 from sitewise.operators.orphans import Reference, by_period, direct_orphans, references
 
 DAY = lambda d, h=0: dt.datetime(2024, 1, 1) + dt.timedelta(days=d, hours=h)
@@ -33,9 +35,11 @@ def test_empty_tables(spark):
     assert [tuple(r) for r in direct_orphans({"c": none, "p": p, "g": empty}, GRAPH).collect()] == [("p", "material_id", 1)]
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("salt_rows", [1, 7, 1_000_000])
+def test_against_brute_force(spark, salt_rows):
+    """Days of an id dealt to many salts, to some, and to one give the same."""
     r = random.Random(5)
     parents = [(i, None, f"e{r.randrange(12)}", (s := DAY(r.randrange(6), r.randrange(24))), r.choice([None, None, s + dt.timedelta(hours=r.randrange(-5, 60))]), None, 0) for i in range(150)]
     children = [(i, None, f"e{r.randrange(14)}", DAY(r.randrange(7), r.randrange(24)), None, None) for i in range(200)]
-    got = {x.row_id for x in direct_orphans({"c": spark.createDataFrame(children, CHILD), "p": spark.createDataFrame(parents, PARENT)}, GRAPH[:1]).collect()}
+    got = {x.row_id for x in direct_orphans({"c": spark.createDataFrame(children, CHILD), "p": spark.createDataFrame(parents, PARENT)}, GRAPH[:1], salt_rows=salt_rows).collect()}
     assert got == {c[0] for c in children if not any(p[2] == c[2] and p[3] <= c[3] and (p[4] is None or p[4] > c[3]) for p in parents)}
