@@ -6,11 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NUL = "\u0000"
+#: Stands for null: a control sign that no name or number holds.
+NULL = "\u0001null"
 
 
 def _text(parts: tuple[Column | str, ...]) -> Column:
-    """The parts with NUL between them; a plain string is a literal."""
-    return F.concat_ws(NUL, *(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    """The parts with NUL between them; a plain string is a literal, and null is a part of its own that no text is."""
+    return F.concat_ws(NUL, *(F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit(NULL)) for p in parts))
 
 
 def rank_hex(*parts: Column | str) -> Column:
@@ -35,5 +37,7 @@ def ids_digest(ids: Column) -> Column:
 
 
 def row_digest(**fields: Column) -> Column:
-    """Digest of the row as compact JSON with sorted keys; nulls are left out."""
-    return F.sha2(F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields)))), 256)
+    """Digest of the row as compact JSON with sorted keys, null fields included; a number that isn't finite is an error."""
+    whole = F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"})
+    odd = F.exists(F.array(*(F.coalesce(c.cast("string"), F.lit("")) for c in fields.values())), lambda v: v.isin("NaN", "Infinity", "-Infinity"))
+    return F.sha2(F.when(odd, F.raise_error(F.lit("a number isn't finite")).cast("string")).otherwise(whole), 256)

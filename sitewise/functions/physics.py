@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sitewise.functions.elements import D_BLOCK, F_BLOCK
+
 #: Atomic numbers of the anion families, and of the elements that set a population apart.
 FAMILIES = {"oxide": (8,), "sulfide": (16,), "halide": (9, 17, 35, 53), "nitride": (7,)}
 HUBBARD_SYMBOLS = ("Co", "Cr", "Fe", "Mn", "Mo", "Ni", "V", "W")
-#: The symbols of the d block.
-D_BLOCK = "Sc Ti V Cr Mn Fe Co Ni Cu Zn Y Zr Nb Mo Tc Ru Rh Pd Ag Cd La Hf Ta W Re Os Ir Pt Au Hg".split()
-#: The symbols with atomic numbers 58 to 71.
-F_BLOCK = "Ce Pr Nd Pm Sm Eu Gd Tb Dy Ho Er Tm Yb Lu".split()
-
 
 def slope(sxy: Column, sxx: Column) -> Column:
     """sxy / sxx, null unless sxx is positive."""

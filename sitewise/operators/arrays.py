@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitewise.operators.prefix import following, quantiles
+
 INF = float("inf")
 
 
@@ -26,13 +28,13 @@ def rolled_up(rows: DataFrame, keys: list[str], status: str, precedence: list[st
 
 def median_of_defined(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Per key the median of the defined values, how many there are and how many are undefined."""
-    return rows.groupBy(*keys).agg(F.median(value).alias("median"), F.count(value).alias("n_defined"), F.count_if(F.col(value).isNull()).alias("n_undefined"))
+    n = rows.groupBy(*keys).agg(F.count(value).alias("n_defined"), F.count_if(F.col(value).isNull()).alias("n_undefined"))
+    return n.join(quantiles(rows, keys, value, [0.5]).drop("n"), keys, "left").select(*keys, F.col("q")[0].alias("median"), "n_defined", "n_undefined")
 
 
 def order_violations(rows: DataFrame, partition: str, order: str, step: str) -> DataFrame:
     """Per partition: rows with a step, and those whose step is smaller than that of the known row before."""
-    w = Window.partitionBy(partition).orderBy(order)
-    known = rows.where(F.col(step).isNotNull()).withColumn("_before", F.lag(step).over(w))
+    known = following(rows.where(F.col(step).isNotNull()), [partition], [order], step, "_before")
     return known.groupBy(partition).agg(F.count(F.lit(1)).alias("n_known"), F.count_if(F.col(step) < F.col("_before")).alias("n_violations"))
 
 

@@ -7,6 +7,8 @@ group, then rows within their partition. The result has one row for each group a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,40 @@ def prefix_by_value(df: DataFrame, group: list[str], value: str, sums: dict[str,
     return out.select(*group, value, *sums, *((F.col(f"_i_{n}") + F.col(f"_b_{n}")).alias(f"{n}_upto") for n in sums))
 
 
+def quantiles(df: DataFrame, group: list[str], value: str, probs: list[float], into: str = "q") -> DataFrame:
+    """group, `into` (ARRAY of the linear quantiles) and n (defined values); NaN and null values are left out, and a
+    group without any has no row. From prefix sums over distinct values: no group meets in one task.
+    """
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    p = prefix_by_value(rows, group, value, {"_n": F.lit(1)})
+    n = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    on = reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group], F.lit(True))
+    total = n.select(*(F.col(g).alias(f"_g_{g}") for g in group), "n")
+    both = p.join(total, on) if group else p.crossJoin(F.broadcast(total))
+    at = [(F.col("n") - 1) * F.lit(float(q)) for q in probs]  # places from 0
+    holds = lambda k: (F.col("_n_upto") - F.col("_n") <= k) & (k < F.col("_n_upto"))
+    pick = lambda k, i, s: F.max(F.when(holds(k), F.col(value).cast("double"))).alias(f"_{s}{i}")
+    found = both.groupBy(*group).agg(F.max("n").alias("n"), *(x for i, a in enumerate(at) for x in (pick(F.floor(a), i, "lo"), pick(F.ceil(a), i, "hi"))))
+    part = lambda i, q: (F.col("n") - 1) * F.lit(float(q)) - F.floor((F.col("n") - 1) * F.lit(float(q)))
+    return found.select(*group, F.array(*(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * part(i, q) for i, q in enumerate(probs))).alias(into), "n")
+
+
+def following(df: DataFrame, group: list[str], order: list[str], value: str, into: str) -> DataFrame:
+    """df with `into`, the value of the row before in the group's order, and `<into>_first`, whether there is none.
+
+    Rows are range-partitioned by (group, order); only the last row of each partition and group is carried over.
+    """
+    ranged = written(df.repartitionByRange(*(F.col(g) for g in group), *(F.col(o) for o in order)).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy(*group, "_part").orderBy(*order)
+    key = [*group, "_part"]
+    ends = ranged.groupBy(*key).agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_end"))
+    before = ends.select(*(F.col(k).alias(f"_k_{k}") for k in key), F.lag("_end").over(Window.partitionBy(*group).orderBy("_part")).alias("_carried"))
+    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in key])
+    rows = ranged.withColumn("_lag", F.lag(F.struct(F.col(value).alias("v"))).over(inside)).join(before, on)
+    last = F.coalesce("_lag", "_carried")
+    return rows.withColumn(into, last["v"]).withColumn(f"{into}_first", last.isNull()).drop("_part", "_lag", "_carried", *(f"_k_{k}" for k in key))
+
+
 def average_ranks(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """group, value, n (rows with it), rank (the mean of their ranks, from 1); null values have no rank and are left out."""
     p = prefix_by_value(df.where(F.col(value).isNotNull()), group, value, {"n": F.lit(1)})

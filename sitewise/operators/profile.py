@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitewise.operators.prefix import following
+
 
 def column_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, n_rows, n_null, n_numeric, n_distinct) of text columns; blank counts as null."""
@@ -50,9 +52,9 @@ def contiguity(df: DataFrame, group: list[str], step: str) -> DataFrame:
 
 def runs(df: DataFrame, partition: str, order: str, value: str) -> DataFrame:
     """Per partition: runs of equal values in order, distinct values, and whether each value stands in one run."""
-    w = Window.partitionBy(partition).orderBy(order)
-    starts = F.when(~F.col(value).eqNullSafe(F.lag(value).over(w)) | F.row_number().over(w).eqNullSafe(F.lit(1)), 1).otherwise(0)
-    r = df.withColumn("_start", starts).groupBy(partition).agg(F.sum("_start").alias("n_runs"), (F.countDistinct(value) + F.max(F.col(value).isNull().cast("int"))).alias("n_values"))
+    rows = following(df, [partition], [order], value, "_before")
+    starts = F.when(~F.col(value).eqNullSafe(F.col("_before")) | F.col("_before_first"), 1).otherwise(0)
+    r = rows.withColumn("_start", starts).groupBy(partition).agg(F.sum("_start").alias("n_runs"), (F.countDistinct(value) + F.max(F.col(value).isNull().cast("int"))).alias("n_values"))
     return r.withColumn("contiguous", F.col("n_runs") == F.col("n_values"))
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewise.functions.physics import component_sets, residual_fraction, slope
+from sitewise.operators.prefix import join_value, prefix_by_value, quantiles
+from sitewise.shared import written
 
 INFORMATIVE = 0.1
 
@@ -13,7 +15,8 @@ INFORMATIVE = 0.1
 def force_components(reference: DataFrame, predicted: DataFrame) -> DataFrame:
     """(model, frame_id, material_id, z, x, y): each component of each atom that both sides have.
 
-    reference: frame_id, material_id, numbers, forces; predicted: model, frame_id, forces, of the first atoms.
+    reference: frame_id, material_id, numbers, forces; predicted: model, frame_id, forces, of the first atoms. Atoms that
+    one side lacks are left out; alignment() counts them.
     """
     both = predicted.select("model", "frame_id", F.col("forces").alias("fy")).join(reference.select("frame_id", "material_id", "numbers", F.col("forces").alias("fx")), "frame_id")
     atoms = both.select("model", "frame_id", "material_id", F.explode(F.arrays_zip("numbers", "fx", "fy")).alias("a")).where("a.fx is not null and a.fy is not null and a.numbers is not null")
@@ -21,14 +24,28 @@ def force_components(reference: DataFrame, predicted: DataFrame) -> DataFrame:
     return parts.select("model", "frame_id", "material_id", "z", F.col("c.x").alias("x"), F.col("c.y").alias("y"))
 
 
+def alignment(reference: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Per model: predicted frames, those without a reference frame, atoms that both sides have, atoms that one lacks,
+    and atoms whose forces aren't three numbers."""
+    both = predicted.select("model", "frame_id", F.col("forces").alias("fy")).join(reference.select("frame_id", F.col("forces").alias("fx"), F.lit(True).alias("known")), "frame_id", "left")
+    nx, ny = F.coalesce(F.size("fx"), F.lit(0)), F.coalesce(F.size("fy"), F.lit(0))
+    ragged = F.size(F.filter("fy", lambda r: (F.size(r) != 3) | F.exists(r, lambda v: v.isNull())))
+    return both.groupBy("model").agg(F.count(F.lit(1)).alias("n_frames"), F.count_if(F.col("known").isNull()).alias("n_unknown"), F.sum(F.least(nx, ny)).alias("n_aligned"), F.sum(F.greatest(nx - ny, F.lit(0))).alias("n_not_predicted"), F.sum(F.greatest(ny - nx, F.lit(0))).alias("n_without_reference"), F.sum(ragged).alias("n_ragged"))
+
+
+def exact_sum(c: Column) -> Column:
+    """A sum of doubles to 14 decimal places that no order of rows or tasks can change."""
+    return F.sum(c.cast("decimal(28,14)")).cast("double")
+
+
 def element_statistics(components: DataFrame, informative: float = INFORMATIVE) -> DataFrame:
     """Per model, frame and element: atoms, informative components, and the sums of products."""
     return components.groupBy("model", "frame_id", "material_id", "z").agg(
         (F.count(F.lit(1)) / 3).cast("long").alias("n_atoms"),
         F.count_if(F.abs("x") >= informative).alias("n_informative"),
-        F.sum(F.col("x") * F.col("y")).alias("sxy"),
-        F.sum(F.col("x") * F.col("x")).alias("sxx"),
-        F.sum(F.col("y") * F.col("y")).alias("syy"),
+        exact_sum(F.col("x") * F.col("y")).alias("sxy"),
+        exact_sum(F.col("x") * F.col("x")).alias("sxx"),
+        exact_sum(F.col("y") * F.col("y")).alias("syy"),
     )
 
 
@@ -68,20 +85,22 @@ def energy_deciles(frames: DataFrame) -> DataFrame:
     """
     low = frames.groupBy("material_id", "n").agg(F.min("energy").alias("low"))
     above = frames.join(low, ["material_id", "n"]).select("frame_key", ((F.col("energy") - F.col("low")) / F.col("n")).alias("above"))
-    cuts = above.agg(F.percentile("above", F.array(*(F.lit(k / 10) for k in range(1, 10)))).alias("cuts"))
+    above = written(above)
+    cuts = quantiles(above, [], "above", [k / 10 for k in range(1, 10)], "cuts").select("cuts")
     return above.crossJoin(F.broadcast(cuts)).select("frame_key", (1 + F.size(F.filter("cuts", lambda c: c < F.col("above")))).alias("decile"))
 
 
 def error_metrics(pairs: DataFrame, group: list[str], predicted: str, reference: str, thresholds: list[float]) -> DataFrame:
     """Per group: n, mae, rmse, mean and median absolute error, and for each threshold precision, recall and f1 of `<`."""
     d = F.col(predicted) - F.col(reference)
-    out = [F.count(F.lit(1)).alias("n"), F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(d).alias("bias"), F.median(F.abs(d)).alias("median_abs")]
+    out = [F.count(F.lit(1)).alias("n"), F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(d).alias("bias")]
     for t in thresholds:
         p, r = F.col(predicted) < t, F.col(reference) < t
         tp, fp, fn = F.count_if(p & r), F.count_if(p & ~r), F.count_if(~p & r)
         name = str(t).replace(".", "_")
         out += [tp.alias(f"tp_{name}"), fp.alias(f"fp_{name}"), fn.alias(f"fn_{name}"), (tp / F.nullif(tp + fp, F.lit(0))).alias(f"precision_{name}"), (tp / F.nullif(tp + fn, F.lit(0))).alias(f"recall_{name}"), (2 * tp / F.nullif(2 * tp + fp + fn, F.lit(0))).alias(f"f1_{name}")]
-    return pairs.groupBy(*group).agg(*out)
+    middle = quantiles(pairs.select(*group, F.abs(d).alias("_abs")), group, "_abs", [0.5]).select(*group, F.col("q")[0].alias("median_abs"))
+    return pairs.groupBy(*group).agg(*out).join(middle, group, "left")
 
 
 def error_reduction(pairs: DataFrame, group: list[str], raw: str, corrected: str, reference: str) -> DataFrame:
@@ -111,7 +130,9 @@ def ratio_interval(draws: DataFrame, group: list[str], level: float = 0.95) -> D
 
 
 def median_split(frames: DataFrame, group: list[str], energy: str, order: str) -> DataFrame:
-    """frames with half: 'low' for the first ceil(n / 2) by energy and order, else 'high'."""
-    w = Window.partitionBy(*group)
-    rank, n = F.row_number().over(w.orderBy(energy, order)), F.count(F.lit(1)).over(w)
-    return frames.withColumn("half", F.when(rank <= F.floor((n + 1) / 2), "low").otherwise("high"))
+    """frames with half: 'low' for the first ceil(n / 2) by energy and order, else 'high'; ranks are prefix sums."""
+    keyed = frames.withColumn("_by", F.struct(F.col(energy).alias("e"), F.col(order).alias("o")))
+    per = prefix_by_value(keyed, group, "_by", {"_n": F.lit(1)})
+    n = frames.groupBy(*group).agg(F.count(F.lit(1)).alias("_all"))
+    rows = join_value(keyed, per, group, "_by", ["_n_upto"]).join(n, group)
+    return rows.withColumn("half", F.when(F.col("_n_upto") <= F.floor((F.col("_all") + 1) / 2), "low").otherwise("high")).drop("_by", "_n_upto", "_all")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitewise.operators.prefix import average_ranks, join_value
+from sitewise.operators.prefix import average_ranks, join_value, quantiles
 from sitewise.shared import ship
 
 #: Rows of a block, of the reference and of the rows compared with it; and numbers held at once while they are compared.
@@ -34,7 +34,8 @@ def support_threshold(distances: DataFrame, reference: DataFrame, level: float)
     """One row, tau_d: the linear quantile of the complete reference rows' own distances, which leave their group out."""
     own = distances.join(reference.where(COMPLETE).select("id"), "id", "left_semi")
     few = F.raise_error(F.lit("fewer than k reference rows outside some group")).cast("double")
-    return own.agg(F.when(F.count_if(F.col("distance").isNull()) > 0, few).otherwise(F.percentile("distance", F.lit(level))).alias("tau_d"))
+    checked = own.select(F.coalesce("distance", few).alias("distance"))
+    return quantiles(checked, [], "distance", [level]).select(F.col("q")[0].alias("tau_d"))
 
 
 def _nearest(k: int):  # noqa: ANN202
@@ -162,5 +163,6 @@ def auc(scored: DataFrame, score: str) -> DataFrame:
 def weight_diagnostics(weighted: DataFrame, weight: str) -> DataFrame:
     """One row: effective sample size, largest weight, quantiles."""
     w = F.col(weight)
-    q = F.percentile(w, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return weighted.agg((F.sum(w) * F.sum(w) / F.sum(w * w)).alias("effective_size"), F.max(w).alias("most"), q[0].alias("q05"), q[1].alias("q50"), q[2].alias("q95"))
+    q = quantiles(weighted.select(w.alias("w")), [], "w", [0.05, 0.5, 0.95])
+    one = weighted.agg((F.sum(w) * F.sum(w) / F.sum(w * w)).alias("effective_size"), F.max(w).alias("most"))
+    return one.crossJoin(F.broadcast(q.select(*(F.col("q")[i].alias(n) for i, n in enumerate(("q05", "q50", "q95"))))))

@@ -10,7 +10,7 @@ from sitewise.operators import matching as M
 from sitewise.operators import percolation as PC
 from sitewise.operators import profile as P
 from sitewise.operators import support as SU
-from sitewise.plans.common import FRAMES, HOPS, all_hops, frames, hops, sql_chemsys, sql_id, sql_split
+from sitewise.plans.common import ALL_HOPS, FRAMES, HOPS, all_hops, frames, hops, sql_chemsys, sql_id, sql_split
 from sitewise.shared import written
 from sitewise.sources.tables import table
 
@@ -231,7 +231,7 @@ _M = f"{sql_id('material_id')} as material"
 _STEPS = f"steps as (select {sql_id('edge_id')} as edge, count(distinct step) as n_steps, max(step) as last_step, min(step) = 0 and max(step) = count(distinct step) - 1 as contiguous from hop_member where kind = 'band_optim_step' and step is not null group by 1 having edge is not null)"
 _MEM = f"{_M} from"
 _VEC = """v as (select vec_id as id, label as g, list_transform(embedding, lambda x: x::double) as x from embeddings), u as (select id, g, unnest(x) as x, unnest(range(1, 65)) as k from v),
-st as (select k, avg(x) as m, stddev_pop(x) as s from u group by 1), z as (select u.id, u.g, u.k, (u.x - st.m) / case when st.s > 0 then st.s else 1 end as x from u join st using (k)),
+st as (select k, avg(x) as m, stddev_pop(x) as s from u where g < 5 group by 1), z as (select u.id, u.g, u.k, (u.x - st.m) / case when st.s > 0 then st.s else 1 end as x from u join st using (k)),
 d as (select a.id, b.id as r, sqrt(sum((a.x - b.x) * (a.x - b.x))) as d from z a join z b on a.k = b.k and a.g <> b.g and b.g < 5 group by 1, 2),
 dist as (select id, round(case when count(*) = 5 then avg(d) end, 6) as distance from (select * from d qualify row_number() over (partition by id order by d, r) <= 5) group by 1)"""
 _all_of = lambda c, fn: " union all ".join(f"select '{t}' as t, {sql_id('material_id')} as material from {t}" for t in c)
@@ -239,8 +239,8 @@ _all_of = lambda c, fn: " union all ".join(f"select '{t}' as t, {sql_id('materia
 SQL = {
     "src_column_summary": " union all ".join(f"select '{c}' as column_name, count(*) as n_rows, count(*) filter (where nullif(trim({c}::varchar), '') is null) as n_null, count(*) filter (where isfinite(try_cast(nullif(trim({c}::varchar), '') as double))) as n_numeric, count(distinct nullif(trim({c}::varchar), '')) as n_distinct from nebdft2k_index" for c in ("material_id", "edge_id", "chemsys", "em_dft", "_split")),
     "src_nested_profile": "select source_file as source, count(*) as n_frames, count(*) filter (where positions is null) as n_unreadable, count(*) filter (where n_atoms <> len(numbers)) as n_at_odds, min(len(numbers))::int as least_atoms, max(len(numbers))::int as most_atoms from frame_geometry group by 1",
-    "agg_split_summary": f"with {HOPS} select split, count(*) as n_rows, count(distinct system) as n_systems, count(distinct edge) as n_units from hops where split is not null group by 1",
-    "agg_spans": f"with {HOPS} select material, count(distinct split) as n_values from hops where material is not null and split is not null group by 1 having n_values > 1",
+    "agg_split_summary": f"with {ALL_HOPS} select split, count(*) as n_rows, count(distinct system) as n_systems, count(distinct edge) as n_units from hops where split is not null group by 1",
+    "agg_spans": f"with {ALL_HOPS} select material, count(distinct split) as n_values from hops where material is not null and split is not null group by 1 having n_values > 1",
     "agg_archive_steps": f"with {_STEPS} select * from steps",
     "agg_step_histogram": f"with {_STEPS} select n_steps, contiguous, count(*) as n_hops from steps group by 1, 2",
     "agg_kinds": f"select {sql_id('edge_id')} as edge, count(*) filter (where kind = 'source') as n_source, count(*) filter (where kind = 'target') as n_target, count(*) filter (where kind = 'traj_init') as n_traj_init from hop_member group by 1 having edge is not null",
@@ -250,26 +250,28 @@ SQL = {
     "agg_examples": f"with {FRAMES}, r as (select split, material, row_number() over (partition by split order by material is null, frame_key) as p from frames where split is not null) select split, count(material) as n_values, string_agg(material, ';' order by p) filter (where p <= 5 and material is not null) as examples from r group by 1",
     "win_runs": f"""with f as (select source_file, frame_index, {_M} from frame_geometry), s as (select *, material is distinct from lag(material) over w or row_number() over w = 1 as st from f window w as (partition by source_file order by frame_index))
 select source_file, count(*) filter (where st) as n_runs, count(distinct material) + max((material is null)::int) as n_values, count(*) filter (where st) = count(distinct material) + max((material is null)::int) as contiguous from s group by 1""",
-    "set_compare": f"""with {HOPS}, a as (select distinct material from hops where material is not null), b as (select distinct material from (select {_M} from bvel13k_index) where material is not null),
+    "set_compare": f"""with {ALL_HOPS}, a as (select distinct material from hops where material is not null), b as (select distinct material from (select {_M} from bvel13k_index) where material is not null),
 p as (select coalesce(a.material, b.material) as v, a.material is not null as ina, b.material is not null as inb from a full join b on a.material = b.material)
 select count(*) filter (where ina and inb) as n_both, count(*) filter (where ina and not inb) as n_only_a, count(*) filter (where inb and not ina) as n_only_b, min(v) filter (where ina and inb) as first_both, min(v) filter (where ina and not inb) as first_only_a, min(v) filter (where inb and not ina) as first_only_b from p""",
     "jon_overlaps": "with u as (select distinct * from (" + _all_of(("bvel13k_index", "nebbvse122k_index", "nebdft2k_index", "frame_geometry"), None) + ") where material is not null) select a.t as left_table, b.t as right_table, count(*) as n_common from u a join u b on a.material = b.material and a.t < b.t group by 1, 2",
-    "set_tagged_union": f"with {FRAMES}, {HOPS}, u as (select 'frame' as kind, material, split from frames union all select 'hop', material, split from hops) select material, count(*) filter (where kind = 'frame') as n_frames, count(*) filter (where kind = 'hop') as n_hops, count(distinct split) as n_splits from u where material is not null and split is not null group by 1",
-    "set_exclusions": f"with {FRAMES}, {HOPS} select {_M} from bvel13k_index where {sql_id('material_id')} is not null except (select material from hops union select material from frames)",
+    "set_tagged_union": f"with {FRAMES}, {ALL_HOPS}, u as (select 'frame' as kind, material, split from frames union all select 'hop', material, split from hops) select material, count(*) filter (where kind = 'frame') as n_frames, count(*) filter (where kind = 'hop') as n_hops, count(distinct split) as n_splits from u where material is not null and split is not null group by 1",
+    "set_exclusions": f"with {FRAMES}, {ALL_HOPS} select {_M} from bvel13k_index where {sql_id('material_id')} is not null except (select material from hops union select material from frames)",
     "jon_linkage": f"""with {HOPS}, pool as (select distinct m from (select {sql_id('material_id')} as m from bvel13k_index) where m is not null), e as (select {sql_id('material_id')} as m, {sql_id('edge_id')} as edge from nebbvse122k_index)
 select (select count(*) from pool) as n_pool, (select count(*) from pool where m in (select m from e)) as n_with_edges, (select count(*) from pool where m in (select m from e where edge in (select edge from hops where edge is not null))) as n_with_dft,
   (select count(*) from pool where not exists (select 1 from e where e.m = pool.m)) as n_without_edges""",
     "jon_enrichment": f"with {FRAMES}, b as (select {sql_id('material_id')} as m, min({sql_chemsys('chemsys')}) as system from bvel13k_index group by 1) select r.row_id, f.split, f.n, b.system from inference_record r join frames f on f.frame_id = r.frame_id left join b on b.m = {sql_id('r.material_id')}",
     "flt_consistency": f"""with d as (select row_id, {sql_id('material_id')} as m, {sql_id('edge_id')} as e, {sql_split('_split')} as s from nebdft2k_index),
 t as (select row_id, concat_ws(';', case when m is null then 'no_material' end, case when e is null then 'no_edge' end, case when not starts_with(e, m || '_') then 'edge_of_other_material' end, case when s is null or s not in ('train', 'val', 'test') then 'no_split' end) as broken from d) select * from t where broken <> ''""",
-    "flt_conflicting_materials": f"with {HOPS} select material, count(distinct system || '|' || split) as n_pairs from hops where material is not null group by 1 having n_pairs > 1",
+    "flt_conflicting_materials": f"with {ALL_HOPS} select material, count(distinct system || '|' || split) as n_pairs from hops where material is not null group by 1 having n_pairs > 1",
     "flt_unique_success": "select record_key, count(*) filter (where status = 'success') as n_success from inference_record group by 1 having n_success > 1",
     "flt_magnitudes": f"with {FRAMES} select f.source, bool_and(abs(g.energy / len(g.numbers)) < 20) as energy_ok, bool_and(list_max(list_transform(flatten(g.forces), lambda v: abs(v))) < 50) as force_ok, bool_and(list_max(list_transform(g.stress, lambda v: abs(v))) < 10) as stress_ok from frame_geometry g join frames f using (frame_key) group by 1",
     "flt_informative": f"with {FRAMES} select frame_key, len(list_filter(flatten(forces), lambda v: abs(v) >= 0.1))::int as n_informative from frames",
     "srt_largest_components": f"with {FRAMES}, c as (select frame_key, unnest(flatten(forces)) as v, unnest(range(0, len(flatten(forces)))) as i from frames where forces is not null) select frame_key, i::int as component, abs(v) as magnitude from c qualify row_number() over (partition by frame_key order by abs(v) desc, i) <= 3",
     "srt_model_selection": "with r as (select model_name, count(*) filter (where status = 'success') as n_success, count(*) filter (where status <> 'success') as n_failed from inference_record group by 1) select * from r where n_success >= (select max(n_success) * 0.5 from r) order by n_failed, model_name limit 1",
     "sta_support": f"with {_VEC} select v.id, distance from v left join dist using (id)",
-    "sta_gate": f"with {_VEC}, j as (select v.id, distance from v left join dist using (id)), g as (select *, case when distance is null then 'missing_feature' when distance > 10 then 'outside_support' end as reason from j) select id, distance, reason is null as supported, reason from g",
+    "sta_gate": f"""with {_VEC}, j as (select v.id, v.g, distance from v left join dist using (id)), t as (select quantile_cont(avg_d, 0.95) as tau from (select id, avg(d) as avg_d from (select * from d qualify row_number() over (partition by id order by d, r) <= 5) group by 1) x join v using (id) where v.g < 5),
+g as (select id, distance, exact, case when exact is null then 'missing_feature' when exact > (select tau from t) then 'outside_support' end as reason from (select j.*, e.avg_d as exact from j left join (select id, avg(d) as avg_d from (select * from d qualify row_number() over (partition by id order by d, r) <= 5) group by 1 having count(*) = 5) e using (id)))
+select id, distance, reason is null as supported, reason from g""",
     "agg_auc": """with v as (select round(embedding[1]::double, 2) as s, label >= 5 as q from embeddings), r as (select q, rank() over (order by s) + (count(*) over (partition by s) - 1) / 2 as r from v)
 select round((sum(r) filter (where q) - count(*) filter (where q) * (count(*) filter (where q) + 1) / 2) / (count(*) filter (where q) * count(*) filter (where not q)), 8) as auc from r""",
     "agg_weight_diagnostics": f"with {HOPS}, w as (select em_dft + 0.1::double as w from hops) select round(sum(w) * sum(w) / sum(w * w), 6) as effective_size, round(max(w), 6) as most, round(quantile_cont(w, 0.05), 6) as q05, round(quantile_cont(w, 0.5), 6) as q50, round(quantile_cont(w, 0.95), 6) as q95 from w",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitewise.functions.ids import plain_chemsys, plain_id, plain_split, source_of_file, split_of_file
 from sitewise.operators.units import normalise_records
+from sitewise.plans.unit_sql import record_unit
 from sitewise.sources.tables import table
 
 
@@ -39,8 +40,10 @@ def hops(spark: SparkSession, folder: str) -> DataFrame:
     return all_hops(spark, folder).where(fine("em_bvse") & fine("em_dft"))
 
 
-HOPS = f"""hops as (select row_id, {sql_id('material_id')} as material, {sql_id('edge_id')} as edge, {sql_chemsys('chemsys')} as system, {sql_split('_split')} as split,
-  coalesce(has_specific_tm, false) as tm, em_bvse, em_dft from nebdft2k_index where em_bvse is not null and not isnan(em_bvse) and em_dft is not null and not isnan(em_dft))"""
+_HOPS = f"""hops as (select row_id, {sql_id('material_id')} as material, {sql_id('edge_id')} as edge, {sql_chemsys('chemsys')} as system, {sql_split('_split')} as split,
+  coalesce(has_specific_tm, false) as tm, em_bvse, em_dft from nebdft2k_index"""
+#: all_hops() and hops() in SQL, both under the name hops.
+ALL_HOPS, HOPS = f"{_HOPS})", f"{_HOPS} where em_bvse is not null and not isnan(em_bvse) and em_dft is not null and not isnan(em_dft))"
 
 
 def frames(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,9 +69,10 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
     return last_forces(spark, folder).where("forces is not null")
 
 
-PREDICTIONS = """predictions as (select model_name as model, frame_id, forces from (select *, row_number() over (partition by model_name, frame_id order by attempt_number desc, row_id desc) as rn from inference_record)
-  where rn = 1 and forces is not null and force_unit = 'eV/angstrom')"""
+PREDICTIONS = f"""predictions as (select model, frame_id, list_transform(forces, lambda r: list_transform(r, lambda x: x * c.factor)) as forces
+  from (select model_name as model, frame_id, forces, {record_unit('force_unit', 'force')} as unit from inference_record qualify row_number() over (partition by model_name, frame_id order by attempt_number desc, row_id desc) = 1) r
+  join unit_conversion c on c.quantity = 'force' and c.source_unit = r.unit where forces is not null)"""
 COMPONENTS = f"""{FRAMES}, {PREDICTIONS},
 zipped as (select p.model, f.frame_id, f.material as material_id, f.numbers, f.forces as fx, p.forces as fy, unnest(range(1, least(len(f.numbers), len(f.forces), len(p.forces)) + 1)) as i from predictions p join frames f on f.frame_id = p.frame_id),
 components as (select model, frame_id, material_id, numbers[i] as z, fx[i][k] as x, fy[i][k] as y from (select *, unnest([1, 2, 3]) as k from zipped)),
-stats as (select model, frame_id, material_id, z, (count(*) / 3)::bigint as n_atoms, count(*) filter (where abs(x) >= 0.1) as n_informative, sum(x * y) as sxy, sum(x * x) as sxx, sum(y * y) as syy from components group by 1, 2, 3, 4)"""
+stats as (select model, frame_id, material_id, z, (count(*) / 3)::bigint as n_atoms, count(*) filter (where abs(x) >= 0.1) as n_informative, sum((x * y)::decimal(28,14))::double as sxy, sum((x * x)::decimal(28,14))::double as sxx, sum((y * y)::decimal(28,14))::double as syy from components group by 1, 2, 3, 4)"""

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from sitewise.operators import sampling as SA
 from sitewise.operators import statistics as S
-from sitewise.plans.common import COMPONENTS, FRAMES, HOPS, frames, hops, last_forces, predictions
+from sitewise.operators.prefix import quantiles
+from sitewise.plans.common import COMPONENTS, FRAMES, HOPS, PREDICTIONS, frames, hops, last_forces, predictions
+from sitewise.plans.unit_sql import record_unit
+from sitewise.shared import written
 from sitewise.sources.tables import table
 
 LEAST = (3, 30, 3)
@@ -18,7 +21,7 @@ def _stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def agg_element_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    return _stats(spark, folder).select("model", "frame_id", "z", "n_atoms", "n_informative", *(F.round(c, 9).alias(c) for c in ("sxy", "sxx", "syy")))
+    return _stats(spark, folder).select("model", "frame_id", "z", "n_atoms", "n_informative", *(F.round(c, 10).alias(c) for c in ("sxy", "sxx", "syy")))
 
 
 def agg_component_sets(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,21 +69,25 @@ def agg_common_population(spark: SparkSession, folder: str) -> DataFrame:
 
 def agg_quantiles(spark: SparkSession, folder: str) -> DataFrame:
     f = table(spark, folder, "frame_index").where("cell_volume is not null and not isnan(cell_volume)")
-    return f.groupBy("source_file").agg(F.round(F.median("cell_volume"), 6).alias("median"), F.round(F.percentile("cell_volume", F.lit(0.95)), 6).alias("p95"), F.max("cell_volume").alias("most"))
+    q = quantiles(f, ["source_file"], "cell_volume", [0.5, 0.95, 1.0])
+    return q.select("source_file", F.round(F.col("q")[0], 6).alias("median"), F.round(F.col("q")[1], 6).alias("p95"), F.col("q")[2].alias("most"))
 
 
 def agg_model_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Per model: estimates by status, and median and quartiles of the slopes of materials over all atoms."""
     e = S.estimates(_stats(spark, folder).where("material_id is not null"), ["material_id"], (1, 10, 1), pooled=False).where("component_set = 'all'")
-    q = F.percentile("slope", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return e.groupBy("model").agg(F.count_if(F.col("status") == "estimated").alias("n_estimated"), F.count_if(F.col("status") == "unsupported").alias("n_unsupported"), F.round(q[0], 6).alias("q25"), F.round(q[1], 6).alias("median"), F.round(q[2], 6).alias("q75"))
+    e = written(e.select("model", "status", "slope"))
+    n = e.groupBy("model").agg(F.count_if(F.col("status") == "estimated").alias("n_estimated"), F.count_if(F.col("status") == "unsupported").alias("n_unsupported"))
+    q = quantiles(e, ["model"], "slope", [0.25, 0.5, 0.75])
+    return n.join(q, "model", "left").select("model", "n_estimated", "n_unsupported", *(F.round(F.col("q")[i], 6).alias(c) for i, c in enumerate(("q25", "median", "q75"))))
 
 
 def agg_lithium_host_gap(spark: SparkSession, folder: str) -> DataFrame:
     """Per model the median over materials of the lithium slope minus the host slope, where both are estimated."""
     e = S.estimates(_stats(spark, folder).where("material_id is not null"), ["material_id"], (1, 1, 1), pooled=False)
     p = e.where("slope is not null").groupBy("model", "material_id").pivot("component_set", ["Li", "host"]).agg(F.first("slope"))
-    return p.where("Li is not null and host is not null").groupBy("model").agg(F.round(F.median(F.col("Li") - F.col("host")), 6).alias("gap"), F.count(F.lit(1)).alias("n_materials"))
+    gaps = written(p.select("model", (F.col("Li") - F.col("host")).alias("gap")).where("gap is not null"))
+    return quantiles(gaps, ["model"], "gap", [0.5]).select("model", F.round(F.col("q")[0], 6).alias("gap"), F.col("n").alias("n_materials"))
 
 
 def agg_accounting(spark: SparkSession, folder: str) -> DataFrame:
@@ -103,22 +110,41 @@ def agg_force_units(spark: SparkSession, folder: str) -> DataFrame:
     return last_forces(spark, folder).groupBy("model").agg(F.count(F.lit(1)).alias("n_forces"), F.count("forces").alias("n_used"), F.count_if(F.col("forces").isNull()).alias("n_unknown_unit"))
 
 
+def flt_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Per model how far the predicted forces stand against the frames' own."""
+    return S.alignment(frames(spark, folder), predictions(spark, folder))
+
+
+DRAWS = 10_000
+
+
+def _frame_sums(spark: SparkSession, folder: str) -> DataFrame:
+    return S.combined(_stats(spark, folder), ["model", "frame_id"]).where("component_set = 'all'").select("model", "frame_id", "sxy", "sxx")
+
+
 def sta_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
-    """Percentile intervals of each model's slope over all atoms, 40 draws of whole frames."""
-    s = S.combined(_stats(spark, folder), ["model", "frame_id"]).where("component_set = 'all'")
-    d = SA.bootstrap_slopes(s.select("model", "frame_id", "sxy", "sxx"), ["model"], "frame_id", 40, 5)
+    """Percentile intervals of each model's slope over all atoms, DRAWS draws of whole frames."""
+    d = SA.bootstrap_slopes(_frame_sums(spark, folder), ["model"], "frame_id", DRAWS, 5)
     return S.ratio_interval(d, ["model"]).select("model", "n_draws", F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"), "reason")
 
 
+def _label_units(spark: SparkSession, folder: str) -> DataFrame:
+    """Sums of frames by model; the frames of a source's split are a unit, those of a source a scope."""
+    f = frames(spark, folder).select("frame_id", F.concat_ws("/", "source", "split").alias("unit"), "source")
+    return _frame_sums(spark, folder).join(f, "frame_id").select("model", "unit", F.col("source").alias("scope"), F.col("frame_id").alias("item"), "sxy", "sxx")
+
+
 def srt_label_budget(spark: SparkSession, folder: str) -> DataFrame:
-    """Per model and budget K: spread over 20 draws of K frames of the slope."""
-    s = S.combined(_stats(spark, folder), ["model", "frame_id"]).where("component_set = 'all'").select("model", "frame_id", "sxy", "sxx")
-    out = None
-    for k in (3, 10):
-        d = SA.without_replacement(s, ["model"], "frame_id", k, 20, 3).join(s, ["model", "frame_id"])
-        one = d.groupBy("model", "draw").agg((F.sum("sxy") / F.nullif(F.sum("sxx"), F.lit(0.0))).alias("slope")).groupBy("model").agg(F.lit(k).alias("k"), F.round(F.stddev_samp("slope"), 6).alias("sd"), F.round(F.median("slope"), 6).alias("median"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Spread and bias of slopes from K of a unit's frames, K in (1, 3, 5, 10, 30), 1,000 draws, units of 60 frames or more."""
+    rows = _label_units(spark, folder).where("sxx > 0")  # a frame without reference forces settles no slope
+    out = SA.label_budget(written(rows), "unit", "scope")
+    return out.withColumn("median_sd", F.round("median_sd", 6)).withColumn("median_off", F.round("median_off", 6))
+
+
+def agg_label_units(spark: SparkSession, folder: str) -> DataFrame:
+    """Per model and unit: frames that have a slope of their own, and the slope of all of them."""
+    rows = _label_units(spark, folder).where("sxx > 0")
+    return rows.groupBy("model", "unit").agg(F.count(F.lit(1)).alias("n_frames"), F.round(F.sum("sxy") / F.sum("sxx"), 6).alias("s_all"))
 
 
 def srt_median_split(spark: SparkSession, folder: str) -> DataFrame:
@@ -126,7 +152,7 @@ def srt_median_split(spark: SparkSession, folder: str) -> DataFrame:
     return S.median_split(f.select("frame_key", "material", "energy"), ["material"], "energy", "frame_key").select("frame_key", "half")
 
 
-QUERIES = {f.__name__: f for f in (agg_element_statistics, agg_component_sets, agg_estimates_by_model, agg_estimates_by_material, agg_deciles, agg_metrics, agg_error_reduction, agg_barriers, agg_common_population, agg_quantiles, agg_model_summary, agg_lithium_host_gap, agg_accounting, agg_funnel, agg_force_units, sta_bootstrap, srt_label_budget, srt_median_split)}
+QUERIES = {f.__name__: f for f in (agg_element_statistics, agg_component_sets, agg_estimates_by_model, agg_estimates_by_material, agg_deciles, agg_metrics, agg_error_reduction, agg_barriers, agg_common_population, agg_quantiles, agg_model_summary, agg_lithium_host_gap, agg_accounting, agg_funnel, agg_force_units, flt_alignment, agg_label_units, sta_bootstrap, srt_label_budget, srt_median_split)}
 
 _SETS = "sets as (select model, frame_id, material_id, unnest(['all', case when z = 3 then 'Li' else 'host' end, 'Z' || z]) as component_set, n_atoms, n_informative, sxy, sxx, syy from stats)"
 
@@ -145,7 +171,7 @@ _metric = lambda t, n: f"count(*) filter (where em_bvse < {t} and em_dft < {t})
 _ALL = f"{COMPONENTS}, one as (select model, frame_id, sum(sxy) as sxy, sum(sxx) as sxx from stats group by 1, 2)"
 
 SQL = {
-    "agg_element_statistics": f"with {COMPONENTS} select model, frame_id, z, n_atoms, n_informative, round(sxy, 9) as sxy, round(sxx, 9) as sxx, round(syy, 9) as syy from stats",
+    "agg_element_statistics": f"with {COMPONENTS} select model, frame_id, z, n_atoms, n_informative, round(sxy, 10) as sxy, round(sxx, 10) as sxx, round(syy, 10) as syy from stats",
     "agg_component_sets": f"with {COMPONENTS}, {_SETS} select model, component_set, sum(n_atoms)::bigint as n_atoms, sum(n_informative)::bigint as n_informative, round(sum(sxy), 9) as sxy, round(sum(sxx), 9) as sxx, round(sum(syy), 9) as syy from sets group by 1, 2",
     "agg_estimates_by_model": f"with {_estimates('', LEAST, True)} select * replace (round(slope, 6) as slope, round(residual, 6) as residual) from estimates",
     "agg_estimates_by_material": f"with {_estimates(', material_id', LEAST, False)} select * replace (round(slope, 6) as slope, round(residual, 6) as residual) from estimates",
@@ -162,14 +188,10 @@ select frame_key, (1 + len(list_filter(cuts, lambda x: x < above)))::int as deci
     "agg_lithium_host_gap": f"with {_estimates(', material_id', (1, 1, 1), False)} select a.model, round(median(a.slope - b.slope), 6) as gap, count(*) as n_materials from estimates a join estimates b on a.model = b.model and a.material_id = b.material_id where a.component_set = 'Li' and b.component_set = 'host' and a.slope is not null and b.slope is not null group by 1",
     "agg_accounting": "select model_name, 'status' as category, status as value, count(*) as n from inference_record group by 1, 3 union all select model_name, 'published_split', published_split, count(*) from inference_record group by 1, 3",
     "agg_funnel": "select model_name, count(*) as n_attempted, count(*) filter (where status = 'success') as n_success, count(*) filter (where status = 'success' and energy is not null and forces is not null) as n_usable, round(n_success / count(*), 6) as success_rate, round(n_usable / nullif(n_success, 0), 6) as usable_rate from inference_record group by 1",
-    "sta_bootstrap": f"""with {_ALL}, num as (select *, row_number() over (partition by model order by frame_id) - 1 as pos, count(*) over (partition by model) as n from one),
-sizes as (select model, max(n) as n from num group by 1), d as (select model, n, unnest(range(1, 41)) as draw from sizes), p as (select *, unnest(range(1, n + 1)) as i from d),
-picks as (select model, draw, ('0x' || substr(sha256(concat_ws(chr(0), 'bootstrap', '5', model, draw, i)), 1, 15))::bigint % n as pos from p),
-s as (select p.model, p.draw, sum(sxy) / sum(sxx) as slope from picks p join num using (model, pos) group by 1, 2)
-select model, count(*) as n_draws, round(quantile_cont(slope, 0.025), 6) as lower, round(quantile_cont(slope, 0.975), 6) as upper, null::varchar as reason from s group by 1""",
-    "srt_label_budget": f"""with {_ALL}, d as (select *, unnest(range(1, 21)) as draw from one),
-r as (select *, row_number() over (partition by model, draw order by ('0x' || substr(sha256(concat_ws(chr(0), 'budget', '3', draw, model, frame_id)), 1, 16))::ubigint, frame_id) as rn from d),
-s as (select model, draw, k, sum(sxy) / nullif(sum(sxx), 0) as slope from r, (values (3), (10)) v(k) where rn <= k group by 1, 2, 3)
-select model, k, round(stddev_samp(slope), 6) as sd, round(median(slope), 6) as median from s group by 1, 2""",
+    "agg_force_units": f"""with r as (select model_name as model, forces, {record_unit('force_unit', 'force')} as unit from inference_record qualify row_number() over (partition by model_name, frame_id order by attempt_number desc, row_id desc) = 1)
+select model, count(*) as n_forces, count(c.factor) as n_used, count(*) - count(c.factor) as n_unknown_unit from r left join unit_conversion c on c.quantity = 'force' and c.source_unit = r.unit where forces is not null group by 1""",
+    "flt_alignment": f"""with {FRAMES}, {PREDICTIONS}, b as (select p.model, f.frame_id is not null as known, coalesce(len(f.forces), 0) as nx, len(p.forces) as ny, len(list_filter(p.forces, lambda r: len(r) <> 3 or len(list_filter(r, lambda v: v is null)) > 0)) as bad from predictions p left join frames f on f.frame_id = p.frame_id)
+select model, count(*) as n_frames, count(*) filter (where not known) as n_unknown, sum(least(nx, ny))::bigint as n_aligned, sum(greatest(nx - ny, 0))::bigint as n_not_predicted, sum(greatest(ny - nx, 0))::bigint as n_without_reference, sum(bad)::bigint as n_ragged from b group by 1""",
+    "agg_label_units": f"with {_ALL} select model, concat_ws('/', source, split) as unit, count(*) as n_frames, round(sum(sxy) / sum(sxx), 6) as s_all from one join frames using (frame_id) where sxx > 0 group by 1, 2",
     "srt_median_split": f"with {FRAMES} select frame_key, case when row_number() over (partition by material order by energy, frame_key) <= (count(*) over (partition by material) + 1) // 2 then 'low' else 'high' end as half from frames where material is not null and energy is not null",
 }

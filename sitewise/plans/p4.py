@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewise.operators.units import normalise, spellings
+from sitewise.operators.units import normalise
+from sitewise.plans.unit_sql import VALUES
 from sitewise.sources.tables import table
 
 
@@ -28,22 +29,19 @@ def p4_units(spark: SparkSession, folder: str) -> DataFrame:
     return _all(spark, folder).groupBy("record_table", "field_name", "source_unit", "common_unit").agg(F.count(F.lit(1)).alias("n_values"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_values": p4_values, "p4_units": p4_units}
-# The SQL reads remarks by the phrases that they are made of, where the operator runs an automaton with context.
-_FOLD = "trim(regexp_replace(regexp_replace(replace(replace(replace(replace(lower({c}), '⁻³', '^-3'), '⁻¹', '^-1'), '³', '^3'), '−', '-'), '\\s*·\\s*', ' ', 'g'), '\\s+', ' ', 'g'))"
-_KNOWN = "known(quantity, spelling, unit) as (values " + ", ".join(f"('{q}', '{s}', '{u}')" for q, known in spellings().items() for s, u in known.items()) + ")"
-_SAID = {
-    "energy": r"(?:total energy in|energy column holds|[Ee]nergies:|energy is|\bE \[)\s*(.+?)(?: values)?(?:[;,\]]|\. |$)",
-    "force": r"(?:forces written as|forces:|force components are|\bF \[)\s*(.+?)(?:[;,\]]|\. |$)",
-}
-_READ = r"(?:^|[^\w^.,])[-+]?\d+(?:[.,]\d+)?(?:[eE][-+]?\d+)?\s*(.*?)(?:\s*\(read from figure\))?$"
-_part = lambda q, name, value, unit: f"select 'inference_record' as record_table, row_id, '{name}' as field_name, '{q}' as quantity, null as common, {_FOLD.format(c=unit)} as said, {_FOLD.format(c=f"regexp_extract(remark, '{_SAID[q]}', 1)")} as stated from inference_record where {value} is not null"
-_FOUND = f"""{_KNOWN}, v as ({_part('energy', 'energy', 'energy', 'energy_unit')} union all {_part('force', 'forces', 'forces', 'force_unit')}
-  union all select 'descriptor_value', d.row_id, 'reading', m.quantity, m.unit, {_FOLD.format(c='d.unit')}, {_FOLD.format(c=f"regexp_extract(reading_text, '{_READ}', 1)")} from descriptor_value d join descriptor_fallback_manifest m using (feature_name) where reading is not null or regexp_matches(reading_text, '\\d')),
-u as (select v.*, coalesce(a.unit, b.unit) as source_unit from v left join known a on a.quantity = v.quantity and a.spelling = v.said left join known b on b.quantity = v.quantity and b.spelling = nullif(v.stated, '')),
-f as (select u.*, coalesce(u.common, c.canonical_unit) as common_unit from u left join unit_conversion c on c.quantity = u.quantity and c.source_unit = u.source_unit)"""
+def p4_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Per field: values, those converted, and the sums of what they came to."""
+    exact = lambda c: F.when(~F.isnan(c), c).cast("decimal(28,8)")
+    parts = F.aggregate(F.transform(F.flatten("values"), exact), F.lit(0).cast("decimal(38,8)"), lambda s, x: (s + F.coalesce(x, F.lit(0).cast("decimal(28,8)"))).cast("decimal(38,8)"))
+    v = _all(spark, folder).groupBy("record_table", "field_name")
+    return v.agg(F.count(F.lit(1)).alias("n_values"), F.count(F.coalesce("value", F.when(F.col("values").isNotNull(), 0.0))).alias("n_converted"), F.round(F.sum(exact(F.col("value"))).cast("double"), 3).alias("total"), F.round(F.sum(parts).cast("double"), 3).alias("total_components"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_values, p4_units, p4_totals)}
 
 SQL = {
-    "p4_found": f"with {_FOUND} select record_table, row_id, field_name, source_unit from f where source_unit <> common_unit",
-    "p4_units": f"with {_FOUND} select record_table, field_name, source_unit, common_unit, count(*) as n_values from f group by all",
+    "p4_found": f"with {VALUES} select record_table, row_id, field_name, source_unit from f where source_unit <> coalesce(common, common_unit)",
+    "p4_units": f"with {VALUES} select record_table, field_name, source_unit, coalesce(common, common_unit) as common_unit, count(*) as n_values from f group by all",
+    "p4_totals": f"""with {VALUES} select record_table, field_name, count(*) as n_values, count(factor) as n_converted, round(sum(case when not isnan(given) then (given * factor)::decimal(28,8) end)::double, 3) as total,
+  round(sum(list_sum(list_transform(list_filter(flatten(given_values), lambda x: not isnan(x)), lambda x: (x * factor)::decimal(28,8))))::double, 3) as total_components from f group by 1, 2""",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sitewise.functions import hashing as H
 from sitewise.functions import physics as P
 from sitewise.functions.ids import canonical_hop, edge_parts, plain_chemsys, plain_id
-from sitewise.plans.common import COMPONENTS, FRAMES, HOPS, frames, hops, predictions, sql_chemsys, sql_id
+from sitewise.plans.common import ALL_HOPS, COMPONENTS, FRAMES, HOPS, all_hops, frames, hops, predictions, sql_chemsys, sql_id
 from sitewise.operators.statistics import element_statistics, force_components
 from sitewise.sources.tables import table
 
@@ -62,12 +62,12 @@ def str_aliases(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def hsh_seed(spark: SparkSession, folder: str) -> DataFrame:
-    s = hops(spark, folder).where("system is not null").select("system").distinct()
+    s = all_hops(spark, folder).where("system is not null").select("system").distinct()
     return s.select("system", H.seed64("analysis", "cluster_bootstrap", F.col("system")).cast("string").alias("seed"))
 
 
 def hsh_rank(spark: SparkSession, folder: str) -> DataFrame:
-    return hops(spark, folder).where("edge is not null").select("row_id", H.rank_hex("rank", F.lit(17).cast("string"), F.col("edge")).alias("rank"))
+    return all_hops(spark, folder).where("edge is not null").select("row_id", H.rank_hex("rank", F.lit(17).cast("string"), F.col("edge")).alias("rank"))
 
 
 def hsh_bucket(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,12 +77,12 @@ def hsh_bucket(spark: SparkSession, folder: str) -> DataFrame:
 
 def hsh_ids_digest(spark: SparkSession, folder: str) -> DataFrame:
     """Per system the digest of its distinct hops; a system has few hops, its largest as many as one material."""
-    h = hops(spark, folder).where("system is not null and edge is not null")
+    h = all_hops(spark, folder).where("system is not null and edge is not null")
     return h.groupBy("system").agg(H.ids_digest(F.collect_set("edge")).alias("digest"), F.countDistinct("edge").alias("n_ids"))
 
 
 def hsh_tie_key(spark: SparkSession, folder: str) -> DataFrame:
-    return hops(spark, folder).select("row_id", H.seed64("tie", "protocol-1", "analysis-1", F.col("row_id")).cast("string").alias("tie_key"))
+    return all_hops(spark, folder).select("row_id", H.seed64("tie", "protocol-1", "analysis-1", F.col("row_id")).cast("string").alias("tie_key"))
 
 
 def hsh_row_digest(spark: SparkSession, folder: str) -> DataFrame:
@@ -105,7 +105,7 @@ def mth_family(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def mth_population(spark: SparkSession, folder: str) -> DataFrame:
-    h = hops(spark, folder).where("system is not null").select("system").distinct()
+    h = all_hops(spark, folder).where("system is not null").select("system").distinct()
     has = lambda xs: F.arrays_overlap(F.split("system", "-"), F.array(*(F.lit(x) for x in xs)))
     return h.select("system", F.when(has(sorted({*P.D_BLOCK, *P.HUBBARD_SYMBOLS})), "secondary").otherwise("primary").alias("population"), (~has(P.F_BLOCK)).alias("f_block_free"))
 
@@ -171,11 +171,11 @@ SQL = {
     "str_labels": f"select member_id, coalesce({sql_id('edge_id')}, '-') || ':' || kind || ':' || coalesce(step::varchar, '-') as label from hop_member",
     "str_aliases": f"""with {FRAMES} select r.row_id, coalesce({sql_id('r.material_id')}, f.material) as material, case when {sql_id('r.material_id')} is not null then 'material_id' when f.material is not null then 'frame' end as alias,
   coalesce({sql_id('r.material_id')} <> f.material, false) as conflict from inference_record r left join frames f on f.frame_id = r.frame_id""",
-    "hsh_seed": f"with {HOPS} select distinct system, ('0x' || substr(sha256(concat_ws(chr(0), 'analysis', 'cluster_bootstrap', system)), 1, 16))::ubigint::varchar as seed from hops where system is not null",
-    "hsh_rank": f"with {HOPS} select row_id, sha256(concat_ws(chr(0), 'rank', '17', edge)) as rank from hops where edge is not null",
+    "hsh_seed": f"with {ALL_HOPS} select distinct system, ('0x' || substr(sha256(concat_ws(chr(0), 'analysis', 'cluster_bootstrap', system)), 1, 16))::ubigint::varchar as seed from hops where system is not null",
+    "hsh_rank": f"with {ALL_HOPS} select row_id, sha256(concat_ws(chr(0), 'rank', '17', edge)) as rank from hops where edge is not null",
     "hsh_bucket": f"select substr(sha256(coalesce({sql_id('material_id')}, '__missing__')), 1, 2) as bucket, count(*) as n_rows from frame_index group by 1",
-    "hsh_ids_digest": f"""with {HOPS} select system, sha256('[' || array_to_string(list_transform(list_sort(list_distinct(list(edge))), lambda x: '"' || x || '"'), ',') || ']') as digest, count(distinct edge) as n_ids from hops where system is not null and edge is not null group by 1""",
-    "hsh_tie_key": f"with {HOPS} select row_id, ('0x' || substr(sha256(concat_ws(chr(0), 'tie', 'protocol-1', 'analysis-1', row_id::varchar)), 1, 16))::ubigint::varchar as tie_key from hops",
+    "hsh_ids_digest": f"""with {ALL_HOPS} select system, sha256('[' || array_to_string(list_transform(list_sort(list_distinct(list(edge))), lambda x: '"' || x || '"'), ',') || ']') as digest, count(distinct edge) as n_ids from hops where system is not null and edge is not null group by 1""",
+    "hsh_tie_key": f"with {ALL_HOPS} select row_id, ('0x' || substr(sha256(concat_ws(chr(0), 'tie', 'protocol-1', 'analysis-1', row_id::varchar)), 1, 16))::ubigint::varchar as tie_key from hops",
     "hsh_row_digest": """select n_nationkey, sha256('{"key":' || n_nationkey || ',"name":"' || n_name || '"}') as digest from nation""",
     "hsh_species": "select frame_key, sha256(array_to_string(numbers, ',')) as species from frame_geometry",
     "mth_cell": f"with {FRAMES} select frame_key, round({_VOL}, 6) as volume, round({_VOL} / n, 6) as volume_per_atom from frames",
@@ -184,8 +184,8 @@ g as (select *, greatest(oxide, sulfide, halide, nitride) as best from c)
 select frame_key, case when best <= 0 or (oxide = best)::int + (sulfide = best)::int + (halide = best)::int + (nitride = best)::int > 1 then 'other' when oxide = best then 'oxide' when sulfide = best then 'sulfide' when halide = best then 'halide' else 'nitride' end as family,
   array_to_string(list_filter([case when oxide > 0 then 'oxide' end, case when sulfide > 0 then 'sulfide' end, case when halide > 0 then 'halide' end, case when nitride > 0 then 'nitride' end], lambda x: x is not null), ';') as present,
   (oxide > 0)::int + (sulfide > 0)::int + (halide > 0)::int + (nitride > 0)::int >= 2 as mixed from g""",
-    "mth_population": f"""with {HOPS} select distinct system, case when list_has_any(string_split(system, '-'), {_in(sorted({*P.D_BLOCK, *P.HUBBARD_SYMBOLS}))}) then 'secondary' else 'primary' end as population,
-  not list_has_any(string_split(system, '-'), {_in(P.F_BLOCK)}) as f_block_free from hops where system is not null""",
+    "mth_population": f"""with {ALL_HOPS} select distinct system, case when list_has_any(string_split(system, '-'), {_in('Sc Ti V Cr Mn Fe Co Ni Cu Zn Y Zr Nb Mo Tc Ru Rh Pd Ag Cd La Hf Ta W Re Os Ir Pt Au Hg Ac Rf Db Sg Bh Hs Mt Ds Rg Cn'.split())}) then 'secondary' else 'primary' end as population,
+  not list_has_any(string_split(system, '-'), {_in('Ce Pr Nd Pm Sm Eu Gd Tb Dy Ho Er Tm Yb Lu'.split())}) as f_block_free from hops where system is not null""",
     "mth_descriptors": f"""with {FRAMES}, a as (select frame_key, {_VOL} as v, unnest(numbers) as z from frames)
 select frame_key, round(count(*) filter (where z = 3) / count(*), 6) as li_share, round(avg(z), 6) as mean_z, round(stddev_pop(z), 6) as sd_z, round(any_value(v) / count(*), 6) as volume_per_atom, round(count(*) filter (where z = 3) / any_value(v), 9) as li_density from a group by 1""",
     "mth_misfit": f"""with {COMPONENTS}, a as (select model, frame_id, sum(sxy) as sxy, sum(sxx) as sxx, sum(syy) as syy from stats group by 1, 2),

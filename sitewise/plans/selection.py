@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from sitewise.functions.hashing import seed64
 from sitewise.operators import sampling as SA
 from sitewise.operators import screening as C
-from sitewise.plans.common import HOPS, hops
+from sitewise.operators.prefix import quantiles
+from sitewise.plans.common import ALL_HOPS, HOPS, all_hops, hops
 
 CUT = 0.4
 
@@ -102,30 +103,31 @@ def win_spearman(spark: SparkSession, folder: str) -> DataFrame:
 
 def agg_gate_thresholds(spark: SparkSession, folder: str) -> DataFrame:
     s = _scored(spark, folder)
-    return s.groupBy("tm").agg(F.round(F.percentile("score", F.lit(0.8)), 8).alias("threshold"), F.count("score").alias("n_defined"), F.count_if(F.col("score").isNull()).alias("n_undefined"))
+    n = s.groupBy("tm").agg(F.count("score").alias("n_defined"), F.count_if(F.col("score").isNull()).alias("n_undefined"))
+    return n.join(quantiles(s, ["tm"], "score", [0.8]).select("tm", F.round(F.col("q")[0], 8).alias("threshold")), "tm", "left")
 
 
 def flt_gate(spark: SparkSession, folder: str) -> DataFrame:
     s, t = _scored(spark, folder), agg_gate_thresholds(spark, folder)
-    j = s.join(F.broadcast(t.select("tm", "threshold")), "tm")
+    j = s.join(t.select("tm", "threshold"), "tm")
     return j.select("row_id", (F.col("score").isNotNull() & (F.col("score") <= F.col("threshold"))).alias("pass"), F.when(F.col("score").isNull(), "undefined").when(F.col("score") > F.col("threshold"), "above_threshold").alias("reason"))
 
 
 def srt_partitions(spark: SparkSession, folder: str) -> DataFrame:
-    s = hops(spark, folder).where("system is not null").groupBy("system").agg(F.when(F.max("tm"), "with_tm").otherwise("without_tm").alias("stratum"))
+    s = all_hops(spark, folder).where("system is not null").groupBy("system").agg(F.when(F.max("tm"), "with_tm").otherwise("without_tm").alias("stratum"))
     return SA.grouped_partitions(s, 20240101)
 
 
 def srt_one_per_group(spark: SparkSession, folder: str) -> DataFrame:
-    return SA.one_per_group(hops(spark, folder).where("system is not null"), "system", "edge", 9)
+    return SA.one_per_group(all_hops(spark, folder).where("system is not null"), "system", "edge", 9)
 
 
 def srt_lowest_by_hash(spark: SparkSession, folder: str) -> DataFrame:
-    return SA.lowest_by_hash(hops(spark, folder).where("edge is not null"), "edge", 50)
+    return SA.lowest_by_hash(all_hops(spark, folder).where("edge is not null"), "edge", 50)
 
 
 def srt_without_replacement(spark: SparkSession, folder: str) -> DataFrame:
-    return SA.without_replacement(hops(spark, folder).where("system is not null and edge is not null"), ["system"], "edge", 3, 5, 2)
+    return SA.without_replacement(all_hops(spark, folder).where("system is not null and edge is not null"), ["system"], "edge", 3, 5, 2)
 
 
 def srt_representative(spark: SparkSession, folder: str) -> DataFrame:
@@ -133,7 +135,7 @@ def srt_representative(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def srt_first_of_each(spark: SparkSession, folder: str) -> DataFrame:
-    return SA.first_of_each(hops(spark, folder).where("system is not null"), ["system"], ["row_id"], 3).select("system", "row_id")
+    return SA.first_of_each(all_hops(spark, folder).where("system is not null"), ["system"], ["row_id"], 3).select("system", "row_id")
 
 
 QUERIES = {f.__name__: f for f in (win_pvalues, win_bh, win_by, agg_selection_outcome, agg_realized_fdr, win_tie_free, win_weighted_pvalues, win_weighted_selection, win_risk_coverage, win_risk_summary, win_correct_or_raw, win_percentile_ranks, win_combined_score, win_spearman, agg_gate_thresholds, flt_gate, srt_partitions, srt_one_per_group, srt_lowest_by_hash, srt_without_replacement, srt_representative, srt_first_of_each)}
@@ -189,18 +191,18 @@ select tm, k, round(k / na, 8) as coverage, round((ra - gain) / na, 7) as risk f
 select split, count(*) as n, case when count(*) >= 3 and stddev_pop(rx) > 0 and stddev_pop(ry) > 0 then round(corr(rx, ry), 7) end as rho from r group by 1""",
     "agg_gate_thresholds": f"with {_S} select tm, round(quantile_cont(score, 0.8), 8) as threshold, count(score) as n_defined, count(*) filter (where score is null) as n_undefined from sc group by 1",
     "flt_gate": f"with {_S}, t as (select tm, round(quantile_cont(score, 0.8), 8) as threshold from sc group by 1) select row_id, coalesce(score <= threshold, false) as pass, case when score is null then 'undefined' when score > threshold then 'above_threshold' end as reason from sc join t using (tm)",
-    "srt_partitions": f"""with {HOPS}, s as (select system, case when bool_or(tm) then 'with_tm' else 'without_tm' end as stratum from hops where system is not null group by 1),
+    "srt_partitions": f"""with {ALL_HOPS}, s as (select system, case when bool_or(tm) then 'with_tm' else 'without_tm' end as stratum from hops where system is not null group by 1),
 z as (select stratum, count(*) as n from s group by 1), w as (select sum(n) as nn, least(sum(n) // 2, greatest(1, floor(0.4 * sum(n) + 0.5)))::bigint as want from z),
 x as (select stratum, want * n / nn as exact, floor(want * n / nn) as base, want from z, w),
 t as (select stratum, base + case when row_number() over (order by base - exact, stratum) <= want - sum(base) over () then 1 else 0 end as take from x),
 r as (select *, unnest(range(0, 10)) as repeat from s join t using (stratum))
 select repeat::int as repeat, system, case when row_number() over (partition by repeat, stratum order by sha256(concat_ws(chr(0), 'partition', '20240101', repeat, system)), system) <= take then 'test' else 'train' end as side from r""",
-    "srt_one_per_group": f"with {HOPS} select system, edge from hops where system is not null and edge is not null qualify row_number() over (partition by system order by sha256(concat_ws(chr(0), 'draw', '9', edge)), edge) = 1",
-    "srt_lowest_by_hash": f"with {HOPS} select edge from (select distinct edge from hops where edge is not null) order by sha256(concat_ws(chr(0), 'pilot', edge)), edge limit 50",
-    "srt_without_replacement": f"""with {HOPS}, d as (select *, unnest(range(1, 6)) as draw from (select distinct system, edge from hops where system is not null and edge is not null))
+    "srt_one_per_group": f"with {ALL_HOPS} select system, edge from hops where system is not null and edge is not null qualify row_number() over (partition by system order by sha256(concat_ws(chr(0), 'draw', '9', edge)), edge) = 1",
+    "srt_lowest_by_hash": f"with {ALL_HOPS} select edge from (select distinct edge from hops where edge is not null) order by sha256(concat_ws(chr(0), 'pilot', edge)), edge limit 50",
+    "srt_without_replacement": f"""with {ALL_HOPS}, d as (select *, unnest(range(1, 6)) as draw from (select distinct system, edge from hops where system is not null and edge is not null))
 select system, edge, draw::int as draw from d qualify row_number() over (partition by system, draw order by ('0x' || substr(sha256(concat_ws(chr(0), 'budget', '2', draw, system, edge)), 1, 16))::ubigint, edge) <= 3""",
     "srt_representative": f"""with {HOPS}, r as (select tm, em_dft, row_number() over (partition by tm order by em_dft) - 1 as i, count(*) over (partition by tm) as n from hops),
 k as (select distinct tm, n, least(9, n) as k from r), j as (select tm, n, k, unnest(range(0, k)) as j from k), q as (select distinct tm, case when k > 1 then round_even(j * (n - 1) / (k - 1), 0) else 0 end::bigint as i from j)
 select r.tm, r.i as place, r.em_dft from r join q on q.tm = r.tm and q.i = r.i""",
-    "srt_first_of_each": f"with {HOPS} select system, row_id from hops where system is not null qualify row_number() over (partition by system order by row_id) <= 3",
+    "srt_first_of_each": f"with {ALL_HOPS} select system, row_id from hops where system is not null qualify row_number() over (partition by system order by row_id) <= 3",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -39,9 +40,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (local tests), an own one."""
+    """The folder in spark.checkpoint.dir; only where that is unset on a local master (tests), an own one."""
     named = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
-    app = spark.sparkContext.applicationId
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if not named and not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"{SETTING} must name a folder that all executors of {master} share")
     if not named and app not in _own:
         _own[app] = "file://" + _own_dir()
     return named or _own[app]
