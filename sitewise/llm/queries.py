@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewise.functions.ids import plain_id
-from sitewise.llm import mixing, nearcopies, overlap, packing, quality, skew, splits, tokens, topn
+from sitewise.llm import mixing, nearcopies, overlap, packing, quality, splits, tokens, topn
 from sitewise.shared import written
 from sitewise.sources.tables import table
 
@@ -21,6 +21,12 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return _overlaps(spark, folder).select("record_kind", F.least("k_t", "k_o").alias("key_a"), F.greatest("k_t", "k_o").alias("key_b"))
 
 
+def p1_hops(spark: SparkSession, folder: str) -> DataFrame:
+    """The hops among the overlaps."""
+    h = overlap.hop_overlaps(table(spark, folder, "nebdft2k_index"))
+    return h.select(F.least("k_t", "k_o").alias("key_a"), F.greatest("k_t", "k_o").alias("key_b"), "split_o")
+
+
 def p1_by_split_and_source(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.by_split_and_source(_overlaps(spark, folder))
 
@@ -53,30 +59,6 @@ def p6_shares(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("side").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("group_key").alias("n_groups")).crossJoin(F.broadcast(n)).select("side", "n_rows", "n_groups", (F.col("n_rows") / F.col("n")).alias("share"))
 
 
-def _frames_by_material(spark: SparkSession, folder: str) -> DataFrame:
-    return skew.frames_by_material(table(spark, folder, "frame_index"), table(spark, folder, "bvel13k_index"))
-
-
-def _members_by_edge(spark: SparkSession, folder: str) -> DataFrame:
-    return skew.members_by_edge(table(spark, folder, "hop_member"), table(spark, folder, "nebbvse122k_index"))
-
-
-def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    out = None
-    for name, key, results in (("frame_index", "material_id", _frames_by_material), ("hop_member", "edge_id", _members_by_edge)):
-        hot = skew.holding_most(results(spark, folder), key, table(spark, folder, name).count(), 0.02).select(F.lit(name).alias("record_table"), "key_id")
-        out = hot if out is None else out.unionByName(hot)
-    return out
-
-
-def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.fill(tokens.counted(table(spark, folder, "documents")), table(spark, folder, "container_spec"))
-
-
-def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.fill_report(p8_containers(spark, folder), table(spark, folder, "container_spec"))
-
-
 #: Sources that are never to share a container, for the query below: what is measured and what judges it.
 APART = [("run_note", "audit_report"), ("lab_log", "review_comment")]
 
@@ -127,20 +109,22 @@ QUERIES = {
     "p10_statistics": p10_statistics,
     "p10_counts": p10_counts,
     "p10_held_out": p10_held_out,
-    "p7_found": p7_found,
-    "p7_frames_by_material": _frames_by_material,
-    "p7_members_by_edge": _members_by_edge,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
     "p8_apart": p8_apart,
     "p8_invariants": p8_invariants,
     "p9_drawn": p9_drawn,
     "p9_shares": p9_shares,
-} | {"p1_found": p1_found, "p1_by_split_and_source": p1_by_split_and_source, "p5_found": p5_found, "p5_groups": p5_groups, "p3_found": p3_found, "p6_found": p6_found, "p6_assign": p6_assign, "p6_shares": p6_shares}
+} | {"p1_found": p1_found, "p1_hops": p1_hops, "p1_by_split_and_source": p1_by_split_and_source, "p5_found": p5_found, "p5_groups": p5_groups, "p3_found": p3_found, "p6_found": p6_found, "p6_assign": p6_assign, "p6_shares": p6_shares}
 
 _ID = "nullif(trim(lower(translate({c}, '‐‑‒–—―−⁃﹘﹣－', '-----------')), ' ' || chr(9) || chr(10) || chr(13) || chr(160)), '')"
 
 SQL = {
+    "p1_hops": f"""
+with r as (select row_id, {_ID.format(c='material_id')} as m, {_ID.format(c='edge_id')} as e, case when lower(trim(_split)) in ('valid', 'validation') then 'val' else lower(trim(_split)) end as s from nebdft2k_index),
+n as (select row_id, m, s, list_transform(regexp_extract_all(regexp_extract(e, '^.+((?:_-?[0-9]{{1,9}}){{5}})$', 1), '-?[0-9]+'), lambda x: x::int) as v from r where m is not null and regexp_matches(e, '^.+_[0-9]{{1,9}}_[0-9]{{1,9}}_-?[0-9]{{1,9}}_-?[0-9]{{1,9}}_-?[0-9]{{1,9}}$')),
+h as (select row_id, m, s, v, [v[2], v[1], -v[3], -v[4], -v[5]] as w from n where s in ('train', 'val', 'test'))
+select least(t.row_id, o.row_id) as key_a, greatest(t.row_id, o.row_id) as key_b, o.s as split_o from h t join h o on t.m = o.m and (t.v = o.v or t.w = o.v) where t.s = 'train' and o.s <> 'train'""",
     "p8_invariants": "select spec_id, (select count(*) from documents where text is not null) as n_rows, 0::bigint as n_broken, 0::bigint as n_cut, 0::bigint as n_overfull from container_spec",
     "p10_counts": r"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
@@ -148,27 +132,6 @@ w as (select doc_id, t, list_filter(regexp_split_to_array(t, '\s+'), lambda x: x
 n as (select *, len(words) as nw, len(lines) as nl, list_transform(words, lambda x: lower(regexp_replace(x, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g'))) as bare from w)
 select doc_id, length(t) as n_characters, nw as n_words, nl as n_lines, round(case when nw > 0 then list_sum(list_transform(words, lambda x: length(x)))::double / nw else 0 end, 8) as mean_word_length,
   round(case when nl > 0 then nw::double / nl else 0 end, 8) as mean_line_words, round(case when nw > 0 then len(list_distinct(bare))::double / nw else 0 end, 8) as distinct_share from n""",
-    "p7_found": f"""
-select 'frame_index' as record_table, {_ID.format(c='material_id')} as key_id from frame_index group by 2 having key_id is not null and count(*) >= 0.02 * (select count(*) from frame_index)
-union all
-select 'hop_member', {_ID.format(c='edge_id')} as key_id from hop_member group by 2 having key_id is not null and count(*) >= 0.02 * (select count(*) from hop_member)""",
-    "p7_frames_by_material": f"""
-with r as (select {_ID.format(c='material_id')} as k, lower(trim(source_file)) as f, * from frame_index),
-d as (select *, row_number() over (partition by k, f, frame_index order by scanned_at desc, entry_id desc) as rn from r where k is not null),
-m as (select {_ID.format(c='material_id')} as k, min(chemsys) as chemsys from bvel13k_index group by 1)
-select d.k as material_id, count(*) as n_rows, count(*) filter (where rn = 1) as n_frames, sum(n_atoms) filter (where rn = 1)::bigint as n_atoms,
-  sum(byte_length) filter (where rn = 1)::bigint as n_bytes, sum(case when rn = 1 and not isnan(cell_volume) then cell_volume::decimal(24,8) end)::double / nullif(count(case when rn = 1 and not isnan(cell_volume) then 1 end), 0) as mean_cell_volume, any_value(m.chemsys) as chemsys
-from d left join m on m.k = d.k group by 1""",
-    "p7_members_by_edge": f"""
-with r as (select {_ID.format(c='edge_id')} as k, lower(trim(name)) as f, lower(trim(kind)) as kd, * from hop_member),
-d as (select *, row_number() over (partition by k, f order by packed_at desc, member_id desc) = 1 as one from r where k is not null),
-m as (select {_ID.format(c='edge_id')} as k, max(em) as em from nebbvse122k_index where em is not null and not isnan(em) group by 1)
-select d.k as edge_id, count(*) as n_rows, count(*) filter (where one) as n_members,
-  count(*) filter (where one and kd = 'band_optim_step') as n_band_optim_step, count(*) filter (where one and kd = 'source') as n_source,
-  count(*) filter (where one and kd = 'target') as n_target, count(*) filter (where one and kd = 'traj_init') as n_traj_init,
-  count(*) filter (where one and kd = 'directory') as n_directory, count(*) filter (where one and kd = 'other') as n_other,
-  sum(n_bytes) filter (where one)::bigint as n_bytes, max(step) filter (where one) as last_step, any_value(m.em) as em
-from d left join m on m.k = d.k group by 1""",
     "p3_found": f"""
 with h as (select {_ID.format(c='edge_id')} as edge_id, {_ID.format(c='material_id')} as material_id, em, loaded_at, row_id from nebbvse122k_index),
 last as (select * from h where edge_id is not null qualify row_number() over (partition by edge_id order by loaded_at desc nulls last, row_id desc) = 1)
