@@ -267,3 +267,9 @@ def test_held_out_accuracy(spark):
     assert len({c.feature for rule in model.sentences for c in rule}) > 1
     judged = quality.judged(df.drop("text_kind"), df.drop("text")).select("doc_id", "natural_prose").toPandas().set_index("doc_id")["natural_prose"]
     assert sum(judged[i] == (k == "prose") for i, _, k in rows) > 380
+
+
+def test_every_query_has_a_name_of_a_problem():
+    from sitewise.llm import queries
+
+    assert set(queries.SQL) <= set(queries.QUERIES) and {n.split("_")[0] for n in queries.QUERIES} == {"p1", "p3", "p5", "p6", "p8", "p9", "p10"}
