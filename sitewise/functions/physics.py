@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sitewise.functions.elements import D_BLOCK, F_BLOCK
+
 
 #: Atomic numbers of the anion families, and of the elements that set a population apart.
 FAMILIES = {"oxide": (8,), "sulfide": (16,), "halide": (9, 17, 35, 53), "nitride": (7,)}

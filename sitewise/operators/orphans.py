@@ -42,11 +42,14 @@ class Reference:
     key_column: str
 
 
-def _salts(children: DataFrame, salt_rows: int) -> DataFrame:
-    """(ref, id, day, salts) of the days of an id with more children than salt_rows; a broadcast while they are few."""
+def _salts(children: DataFrame, salt_rows: int) -> DataFrame | None:
+    """(ref, id, day, salts) of the days of an id with more children than salt_rows, if there are any; a broadcast while they are few."""
+    if children.count() <= salt_rows:  # then no day can have more
+        return None
     crowded = children.groupBy("ref", "id", "day").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > salt_rows)
     crowded = written(crowded.select("ref", "id", "day", F.ceil(F.col("n") / salt_rows).cast("int").alias("salts")))
-    return F.broadcast(crowded) if crowded.count() <= FEW_DAYS else crowded
+    n = crowded.count()
+    return None if not n else F.broadcast(crowded) if n <= FEW_DAYS else crowded
 
 
 def alive(children: DataFrame, parents: DataFrame, salt_rows: int = SALT_ROWS) -> DataFrame:
@@ -54,16 +57,21 @@ def alive(children: DataFrame, parents: DataFrame, salt_rows: int = SALT_ROWS) -
     at = ["ref", "id", "day"]
     day = lambda c: F.datediff(F.col(c), F.lit("1970-01-01")).alias("day")
     c = children.select("ref", "id", day("t"), "t", F.lit(None).cast("timestamp").alias("until"), F.lit(1).alias("kind"), "child")
-    # per id one row for each loading
-    p = parents.where(F.col("id").isNotNull() & F.col("start").isNotNull() & (F.col("until") > F.col("start"))).groupBy("ref", "id", "start").agg(F.max("until").alias("until"))
+    p = parents.where(F.col("id").isNotNull() & F.col("start").isNotNull() & (F.col("until") > F.col("start")))
     p = p.select("ref", "id", day("start"), F.col("start").alias("t"), "until", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("child"))
-    salts = _salts(c, salt_rows)
-    dealt = c.join(salts, at, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("child"), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
-    copied = p.join(salts, at, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-    both = copied.unionByName(dealt)
-    days = p.unionByName(c).groupBy(*at).agg(F.max("until").alias("last"))
+    salts, key = _salts(c, salt_rows), at
+    if salts is None:
+        both = p.unionByName(c).repartition(*at)  # one exchange for the window and for the days
+        days = both
+    else:
+        key, days = [*at, "salt"], p.unionByName(c)
+        dealt = c.join(salts, at, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("child"), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
+        # of a crowded day each loading time of an id is copied once
+        lived = p.groupBy("ref", "id", "day", "t", "kind", "child").agg(F.max("until").alias("until"))
+        both = lived.join(salts, at, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts").unionByName(dealt)
+    days = days.groupBy(*at).agg(F.max("until").alias("last"))
     earlier = days.select(*at, F.max("last").over(Window.partitionBy("ref", "id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
-    w = Window.partitionBy(*at, "salt").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*key).orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
     seen = both.withColumn("today", F.max("until").over(w)).where("kind = 1")
     joined = seen.join(earlier.where("earlier is not null"), at, "left")
     return joined.select("ref", "child", F.coalesce(F.greatest("today", "earlier") > F.col("t"), F.lit(False)).alias("there"))

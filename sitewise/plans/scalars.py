@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewise.functions import hashing as H
+from sitewise.functions import elements as E
 from sitewise.functions import physics as P
 from sitewise.functions.ids import canonical_hop, edge_parts, plain_chemsys, plain_id
 from sitewise.plans.common import ALL_HOPS, COMPONENTS, FRAMES, HOPS, all_hops, frames, hops, predictions, sql_chemsys, sql_id
@@ -107,7 +108,7 @@ def mth_family(spark: SparkSession, folder: str) -> DataFrame:
 def mth_population(spark: SparkSession, folder: str) -> DataFrame:
     h = all_hops(spark, folder).where("system is not null").select("system").distinct()
     has = lambda xs: F.arrays_overlap(F.split("system", "-"), F.array(*(F.lit(x) for x in xs)))
-    return h.select("system", F.when(has(sorted({*P.D_BLOCK, *P.HUBBARD_SYMBOLS})), "secondary").otherwise("primary").alias("population"), (~has(P.F_BLOCK)).alias("f_block_free"))
+    return h.select("system", F.when(has(sorted({*E.D_BLOCK, *P.HUBBARD_SYMBOLS})), "secondary").otherwise("primary").alias("population"), (~has(E.F_BLOCK)).alias("f_block_free"))
 
 
 def mth_descriptors(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import zipfile
 
 import pytest
@@ -23,8 +24,45 @@ def test_malformed(spark, tmp_path):
     with pytest.raises(Exception, match="forces"):
         extxyz.read_extxyz(spark, str(tmp_path / "b.xyz")).count()
     assert extxyz.read_extxyz(spark, str(tmp_path / "b.xyz"), labels="false").where("forces is null and error is null").count() == 3
-    with pytest.raises(ValueError, match="duplicate"):
-        extxyz.header_fields("a=1 a=2")
+    with pytest.raises(ValueError, match="twice"):
+        extxyz.read_header("a=1 a=2")
+
+
+def test_header_and_layout():
+    got = extxyz.read_header('flag Lattice="4 0 0 0 4 0 0 0 4" energy=-1.5 other name="a = b" empty= last')
+    assert got == {"Lattice": "4 0 0 0 4 0 0 0 4", "energy": "-1.5", "name": "a = b", "empty": ""}
+    assert extxyz.layout("species:S:1:pos:R:3") == {"species": slice(0, 1), "pos": slice(1, 4)}
+    for bad in ('x="open', "=1", "a =1"):
+        with pytest.raises(ValueError):
+            extxyz.read_header(bad)
+    for bad in ("species:S", "a:S:1:a:S:1", "a:Q:1", "a:R:x"):
+        with pytest.raises(ValueError):
+            extxyz.layout(bad)
+
+
+def test_frames_by_offset(spark, tmp_path):
+    """Every frame is found again at its place in the index; a range that isn't one frame is an error."""
+    path = tmp_path / "a_val.xyz"
+    path.write_text("".join(FRAME.format(i=i) for i in range(9)))
+    index = extxyz.frame_index(spark, str(tmp_path)).withColumn("path", F.lit(str(path)))
+    rows = index.orderBy("frame_index").collect()
+    assert [r.frame_index for r in rows] == list(range(9)) and rows[0].sha256 == hashlib.sha256(path.read_bytes()).hexdigest()
+    assert rows[-1].byte_offset + rows[-1].byte_length == path.stat().st_size
+    got = extxyz.read_at(index.where("frame_index in (3, 7)")).orderBy("byte_offset").collect()
+    assert [r.positions[0][2] for r in got] == [3.0, 7.0] and got[0].energy == -1.5
+    with pytest.raises(Exception, match="exactly one frame"):
+        extxyz.read_at(index.withColumn("byte_length", F.col("byte_length") * 2).where("frame_index = 0")).collect()
+    with pytest.raises(Exception, match="past the end"):
+        extxyz.read_at(index.withColumn("byte_length", F.col("byte_length") * 20)).collect()
+
+
+@pytest.mark.parametrize("chunk", ["100", "1000000"])
+def test_blank_lines_between_frames_are_malformed(spark, tmp_path, chunk):
+    (tmp_path / "c.xyz").write_text(FRAME.format(i=0) + "\n" + FRAME.format(i=1) + FRAME.format(i=2))
+    rows = extxyz.read_extxyz(spark, str(tmp_path / "c.xyz"), mode="permissive", chunk=chunk).orderBy("byte_offset").collect()
+    assert [r.error is None for r in rows] == [True, False, True, True]
+    with pytest.raises(Exception, match="no frame at byte"):
+        extxyz.read_extxyz(spark, str(tmp_path / "c.xyz"), chunk=chunk).count()
 
 
 def test_archive(spark, tmp_path):
