@@ -110,6 +110,13 @@ def weighted_selection(units: DataFrame, group: list[str], q: float) -> DataFram
     return out.select(*group, "unit_id", "p", F.col("size").cast("long").alias("size"), (F.col("passes") & (F.col("size") <= F.coalesce("r", F.lit(0)))).alias("selected"))
 
 
+def weighted_selection_tie_free(units: DataFrame, group: list[str], q: float, tie: str) -> DataFrame:
+    """weighted_selection() with the places of tie_free_ranks() as scores: no two units of a group are equal, so strict
+    and weak comparisons agree."""
+    ranked = tie_free_ranks(units.withColumn("score", finite("score")), group, "score", tie)
+    return weighted_selection(ranked.drop("score").withColumn("score", F.col("rank").cast("double")), group, q)
+
+
 def risk_curve(units: DataFrame, group: list[str], score: str, error: str, order: str) -> DataFrame:
     """Risk at every coverage k of n, units taken by score ascending, nulls last; ties count their mean error each.
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitewise.plans import audit, estimation, further, p2, p4, p7, scalars, selection, storage
+from sitewise.plans import audit, estimation, further, p2, p4, p7, records, scalars, selection, storage
 
-QUERIES = {**p2.QUERIES, **p4.QUERIES, **p7.QUERIES, **scalars.QUERIES, **estimation.QUERIES, **selection.QUERIES, **audit.QUERIES, **storage.QUERIES, **further.QUERIES}
-SQL = {**p2.SQL, **p4.SQL, **p7.SQL, **scalars.SQL, **estimation.SQL, **selection.SQL, **audit.SQL, **storage.SQL, **further.SQL}
+QUERIES = {**p2.QUERIES, **p4.QUERIES, **p7.QUERIES, **scalars.QUERIES, **estimation.QUERIES, **selection.QUERIES, **audit.QUERIES, **storage.QUERIES, **further.QUERIES, **records.QUERIES}
+SQL = {**p2.SQL, **p4.SQL, **p7.SQL, **scalars.SQL, **estimation.SQL, **selection.SQL, **audit.SQL, **storage.SQL, **further.SQL, **records.SQL}
 
 
 def entry(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,11 +11,9 @@ from sitewise.functions import physics as P
 from sitewise.functions.ids import canonical_hop, edge_parts, plain_chemsys, plain_id
 from sitewise.plans.common import ALL_HOPS, COMPONENTS, FRAMES, HOPS, all_hops, frames, hops, predictions, sql_chemsys, sql_id
 from sitewise.operators.statistics import element_statistics, force_components
+from sitewise.sources.files import KEYWORDS, keywords
 from sitewise.sources.tables import table
 
-KEYWORDS = {"material": "material", "barrier": "barrier|saddle", "split": "split|partition", "force": "force", "energy": "energy|energ", "cell": "cell|lattice", "archive": "archive|archiv", "vacancy": "vacancy|vacante|lacune"}
-
-
 def str_edge_parts(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "nebdft2k_index").select("row_id", edge_parts(plain_id(F.col("edge_id"))).alias("e"))
     return d.select("row_id", "e.*")
@@ -39,9 +37,7 @@ def str_json_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def str_keywords(spark: SparkSession, folder: str) -> DataFrame:
-    t = F.lower("text")
-    found = F.array_join(F.array_compact(F.array(*(F.when(t.rlike(p), F.lit(k)) for k, p in KEYWORDS.items()))), ";")
-    return table(spark, folder, "documents").where("text is not null").select("doc_id", found.alias("keywords"))
+    return table(spark, folder, "documents").where("text is not null").select("doc_id", keywords(F.col("text")).alias("keywords"))
 
 
 def str_component_sets(spark: SparkSession, folder: str) -> DataFrame:

@@ -65,6 +65,12 @@ def win_weighted_selection(spark: SparkSession, folder: str) -> DataFrame:
     return C.weighted_selection(_weighted(spark, folder), ["system"], 0.5).select("unit_id", "size", "selected")
 
 
+def win_weighted_tie_free(spark: SparkSession, folder: str) -> DataFrame:
+    """Weighted selection by places, equal scores settled by a hash of the unit."""
+    u = _weighted(spark, folder).withColumn("tie", seed64("tie", F.col("unit_id")))
+    return C.weighted_selection_tie_free(u, ["system"], 0.5, "tie").select("unit_id", "size", "selected")
+
+
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
     """Error of the raw barrier, and a score that is undefined for some."""
     h = hops(spark, folder)
@@ -138,7 +144,7 @@ def srt_first_of_each(spark: SparkSession, folder: str) -> DataFrame:
     return SA.first_of_each(all_hops(spark, folder).where("system is not null"), ["system"], ["row_id"], 3).select("system", "row_id")
 
 
-QUERIES = {f.__name__: f for f in (win_pvalues, win_bh, win_by, agg_selection_outcome, agg_realized_fdr, win_tie_free, win_weighted_pvalues, win_weighted_selection, win_risk_coverage, win_risk_summary, win_correct_or_raw, win_percentile_ranks, win_combined_score, win_spearman, agg_gate_thresholds, flt_gate, srt_partitions, srt_one_per_group, srt_lowest_by_hash, srt_without_replacement, srt_representative, srt_first_of_each)}
+QUERIES = {f.__name__: f for f in (win_pvalues, win_bh, win_by, agg_selection_outcome, agg_realized_fdr, win_tie_free, win_weighted_pvalues, win_weighted_selection, win_weighted_tie_free, win_risk_coverage, win_risk_summary, win_correct_or_raw, win_percentile_ranks, win_combined_score, win_spearman, agg_gate_thresholds, flt_gate, srt_partitions, srt_one_per_group, srt_lowest_by_hash, srt_without_replacement, srt_representative, srt_first_of_each)}
 
 _U = f"{HOPS}, u as (select row_id as unit_id, tm, system, case when split = 'train' then 'calibration' else 'test' end as side, em_bvse as yhat, em_dft as y from hops where split is not null)"
 _P = f"""{_U}, c as (select *, sum(case when side = 'calibration' and y >= 0.4 then 1 else 0 end) over (partition by tm order by yhat range between unbounded preceding and current row) as k, count(*) filter (where side = 'calibration') over (partition by tm) as n from u),
@@ -206,3 +212,5 @@ k as (select distinct tm, n, least(9, n) as k from r), j as (select tm, n, k, un
 select r.tm, r.i as place, r.em_dft from r join q on q.tm = r.tm and q.i = r.i""",
     "srt_first_of_each": f"with {ALL_HOPS} select system, row_id from hops where system is not null qualify row_number() over (partition by system order by row_id) <= 3",
 }
+# the same with places in the system as scores
+SQL["win_weighted_tie_free"] = SQL["win_weighted_selection"].replace("yhat as score", "row_number() over (partition by system order by yhat, ('0x' || substr(sha256(concat_ws(chr(0), 'tie', unit_id)), 1, 16))::ubigint) - 1 as score")
