@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewise.functions.ids import plain_id
-from sitewise.llm import mixing, nearcopies, overlap, packing, quality, splits, tokens, topn
+from sitewise.llm import mixing, nearcopies, overlap, packing, quality, splits, textcopies, tokens, topn
 from sitewise.shared import written
 from sitewise.sources.tables import table
 
@@ -59,21 +59,35 @@ def p6_shares(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("side").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("group_key").alias("n_groups")).crossJoin(F.broadcast(n)).select("side", "n_rows", "n_groups", (F.col("n_rows") / F.col("n")).alias("share"))
 
 
+def _countable(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents in tokens, with the cluster of near copies that each is of."""
+    d = table(spark, folder, "documents")
+    return textcopies.clustered(tokens.counted(d), d)
+
+
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.fill(tokens.counted(table(spark, folder, "documents")), table(spark, folder, "container_spec"))
+    """Equal texts are a cluster here; p8_apart has clusters of near copies and sources that are kept apart too."""
+    return packing.fill(tokens.counted(table(spark, folder, "documents")), table(spark, folder, "container_spec")).drop("row")
 
 
 def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(p8_containers(spark, folder), table(spark, folder, "container_spec"))
 
 
+def p8_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document that has a text, with the smallest document of its cluster of equal and near-equal texts."""
+    rows = written(_countable(spark, folder))
+    first = rows.groupBy("same").agg(F.min("doc_id").alias("cluster_id"), F.count(F.lit(1)).alias("cluster_size"))
+    return rows.join(first, "same").select("doc_id", "cluster_id", "cluster_size")
+
+
 #: Sources that are never to share a container, for the query below: what is measured and what judges it.
 APART = [("run_note", "audit_report"), ("lab_log", "review_comment")]
 
 
 def p8_apart(spark: SparkSession, folder: str) -> DataFrame:
-    """Per capacity: the fill if the sources of APART never meet, and the containers in which they do."""
-    counted, spec = tokens.counted(table(spark, folder, "documents")), table(spark, folder, "container_spec")
+    """Per capacity: the fill if near copies are kept apart while that costs no space and the sources of APART never meet, and the containers in which they do."""
+    counted, spec = written(_countable(spark, folder)), table(spark, folder, "container_spec")
     rows = written(packing.fill(counted, spec, APART))
     held = rows.join(counted.select("row", "source"), "row").groupBy("spec_id", "container_id").agg(*(F.max(F.col("source").eqNullSafe(s)).alias(s) for s in sorted({s for p in APART for s in p})))
     met = held.groupBy("spec_id").agg(F.count_if(reduce(lambda x, y: x | y, [F.col(a) & F.col(b) for a, b in APART])).alias("n_met"))
@@ -120,6 +134,7 @@ QUERIES = {
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
     "p8_apart": p8_apart,
+    "p8_clusters": p8_clusters,
     "p8_invariants": p8_invariants,
     "p9_drawn": p9_drawn,
     "p9_shares": p9_shares,

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sitewise.llm import components, mixing, packing, quality, splits, tokens, topn
+from sitewise.llm import components, mixing, packing, quality, splits, textcopies, tokens, topn
 
 
 def test_top_n(spark):
@@ -238,6 +238,49 @@ def test_rules_are_learned_and_exported(spark):
     assert [r.hit for r in df.orderBy("i").select((F.expr(quality.case_sql(rules)) > 0).alias("hit")).collect()] == got.tolist()
 
 
+def jaccard(x, y):
+    def of(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    a, b = of(x), of(y)
+    return len(a & b) / len(a | b) if a | b else 0.0
+
+
+def test_near_texts_against_brute_force(spark):
+    """Texts of 1 to 300 words edited a little or more: every pair at 0.8 or above is found, and no other."""
+    r = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = ["", "one", "One", "one two three", "one two three"]
+    for n in [5, 6, 8, 12, 20, 45, 80, 150, 300] * 4:
+        base = [r.choice(vocabulary) for _ in range(n)]
+        texts.append(" ".join(base))
+        for edits in (1, 1, max(1, n // 60), max(1, n // 45), n // 20):
+            w = list(base)
+            for _ in range(edits):
+                i = r.randrange(len(w))
+                w[i : i + r.randrange(2)] = [r.choice(vocabulary)] * r.randrange(2)
+            texts.append(" ".join(w))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "doc_id long, text string")
+    name = {row.h: row.text for row in df.select(F.xxhash64("text").alias("h"), "text").collect()}
+    got = {frozenset((name[x.a], name[x.b])) for x in textcopies.near_texts(df).collect()}
+    distinct = sorted(set(texts))
+    want = {frozenset((x, y)) for x, y in itertools.combinations(distinct, 2) if jaccard(x, y) >= 0.8}
+    assert got == want and len(want) > 100
+    assert textcopies.near_texts(df.limit(0)).count() == 0
+
+
+def test_clusters_of_texts_are_kept_apart(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = [(1, text), (2, text + " more"), (3, text), (4, "something else here"), (5, None)]
+    df = spark.createDataFrame([(i, t, "s", 0) for i, t in docs], "doc_id long, text string, source string, same int")
+    c = {x.doc_id: x.same for x in textcopies.clustered(tokens.counted(df), df).collect()}
+    assert c[1] == c[2] == c[3] != c[4] and 5 not in c
+    spec = spark.createDataFrame([(1, 4096)], "spec_id int, capacity_tokens int")
+    few = packing.fill(textcopies.clustered(tokens.counted(df), df), spec).collect()
+    assert sum(x.relaxed for x in few) == 2  # all fit into one container, so no second one is opened for a conflict
+
+
 def test_held_out_accuracy(spark):
     """Documents of four kinds, a quarter of them mixed: judged by rules that were fitted without them."""
     r = random.Random(8)
