@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NUL = "\u0000"
@@ -36,6 +40,36 @@ def ids_digest(ids: Column) -> Column:
     return F.sha2(F.concat(F.lit("["), F.array_join(F.transform(sorted_ids, lambda x: F.concat(F.lit('"'), F.regexp_replace(x, r'(["\\])', r"\\$1"), F.lit('"'))), ","), F.lit("]")), 256)
 
 
+def digest_by_group(rows: DataFrame, group: str, item: str) -> DataFrame:
+    """(group, digest, n_ids): ids_digest() of each group's distinct items, streamed over sorted rows, so that a group of
+    any size is never held. Null groups and items are left out."""
+    kind = dict(rows.dtypes)[group]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, sha, n, out = None, None, 0, []
+
+        def closed() -> tuple:
+            sha.update(b"]")
+            return now, sha.hexdigest(), n
+
+        for pdf in batches:
+            for g, x in zip(pdf[group], pdf[item], strict=True):
+                if sha is None or g != now:
+                    if sha is not None:
+                        out.append(closed())
+                    now, sha, n = g, hashlib.sha256(b"["), 0
+                text = x.replace("\\", "\\\\").replace('"', '\\"')
+                sha.update(f'{"," if n else ""}"{text}"'.encode())
+                n += 1
+            yield pd.DataFrame(out, columns=[group, "digest", "n_ids"])
+            out = []
+        if sha is not None:
+            yield pd.DataFrame([closed()], columns=[group, "digest", "n_ids"])
+
+    once = rows.where(F.col(group).isNotNull() & F.col(item).isNotNull()).select(group, item).distinct()
+    return once.repartition(group).sortWithinPartitions(group, item).mapInPandas(run, f"{group} {kind}, digest string, n_ids long")
+
+
 def row_digest(**fields: Column) -> Column:
     """Digest of the row as compact JSON with sorted keys, null fields included; a number that isn't finite is an error."""
     whole = F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"})

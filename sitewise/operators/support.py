@@ -121,21 +121,22 @@ def fit_domain(rows: DataFrame, dims: int, ridge: float = 1.0, rounds: int = 100
     m = rows.agg(*(F.avg(F.col("x")[i]) for i in range(dims)), *(F.stddev_pop(F.col("x")[i]) for i in range(dims))).first()
     mean, sd = np.array(m[:dims], float), np.array([v if v else 1.0 for v in m[dims:]], float)
     data = rows.where("side in ('p', 'q')").select("x", (F.col("side") == "q").cast("double").alias("t"))
-    d = dims + 1
-    beta, penalty = np.zeros(d), np.diag([0.0, *([ridge] * dims)])
+    width = dims + 1
+    pairs = np.triu_indices(width)
+    ridges = np.concatenate([[0.0], np.full(dims, ridge)])
+    weights = np.zeros(width)
     for _ in range(rounds):
-        got = data.mapInArrow(_sums(beta, mean, sd), "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()  # d + d (d + 1) / 2 rows
-        flat = np.zeros(d + d * (d + 1) // 2)
-        for r in got:
-            flat[r["place"]] = r["value"]
-        hess = np.zeros((d, d))
-        hess[np.triu_indices(d)] = flat[d:]
-        hess = hess + hess.T - np.diag(np.diag(hess))
-        step = np.linalg.solve(hess + penalty, flat[:d] - penalty @ beta)
-        beta = beta + step
-        if np.abs(step).max() < tol:
-            return {"beta": beta.tolist(), "mean": mean.tolist(), "sd": sd.tolist(), "n_p": count["p"], "n_q": count["q"]}
-    raise RuntimeError("the domain classifier did not converge")
+        sums = dict(data.mapInArrow(_sums(weights, mean, sd), "place int, value double").groupBy("place").agg(F.sum("value")).collect())  # width + width (width + 1) / 2 rows
+        slope = np.array([sums[i] for i in range(width)]) - ridges * weights
+        curve = np.zeros((width, width))
+        curve[pairs] = curve.T[pairs] = [sums[width + i] for i in range(len(pairs[0]))]
+        change = np.linalg.solve(curve + np.diag(ridges), slope)
+        weights += change
+        if np.max(np.abs(change)) < tol:
+            break
+    else:
+        raise RuntimeError(f"the weights still move after {rounds} rounds")
+    return {"beta": weights.tolist(), "mean": mean.tolist(), "sd": sd.tolist(), "n_p": count["p"], "n_q": count["q"]}
 
 
 def q_probability(x: Column, model: dict) -> Column:

@@ -6,8 +6,8 @@ before it in the same clause and the quantity the spelling belongs to. A number
 elsewhere, makes it a setting (a cutoff, a tolerance) and no statement on the field. Conversion factors come from the
 conversion table by a broadcast join; that table is a fixed list of units, and its size is checked.
 
-Unit columns are resolved by the same spellings, on their distinct values only. The automaton sees only rows whose
-unit column says nothing; all other work stays in Catalyst expressions.
+Unit columns are resolved by the same spellings, as a broadcast table. The automaton reads the texts of rows whose unit
+column says nothing (for all others it gets null); all other work stays in Catalyst expressions.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator  # noqa: TC003 (read by pandas_udf)
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -170,12 +171,12 @@ def resolve_column(df: DataFrame, quantity: Column, said: Column, into: str) ->
     return df.join(known, (quantity == F.col(q)) & (folded == F.col(s)), "left").withColumn(into, F.col(u)).drop(q, s, u)
 
 
-def _from_text(field: str):  # noqa: ANN202
-    @F.pandas_udf(StringType())
-    def unit(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: stated_unit(t, field), na_action="ignore").astype(object)
-
-    return unit
+@F.pandas_udf(StringType())
+def _from_text(texts: pd.Series, fields: pd.Series) -> pd.Series:
+    out = pd.Series([None] * len(texts), dtype=object)
+    for i in np.nonzero(texts.notna().to_numpy())[0]:
+        out.iat[i] = stated_unit(texts.iat[i], fields.iat[i])
+    return out
 
 
 @F.pandas_udf(StructType([StructField("value", DoubleType()), StructField("unit", StringType())]))
@@ -184,6 +185,13 @@ def _reading(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFr
         yield pd.DataFrame([number_and_unit(t if isinstance(t, str) else None, q if isinstance(q, str) else None) for t, q in zip(texts, quantities, strict=True)], columns=["value", "unit"])
 
 
+def short(table: DataFrame) -> DataFrame:
+    """A table to broadcast; refused beyond MAX_UNITS rows."""
+    if table.limit(MAX_UNITS + 1).count() > MAX_UNITS:
+        raise ValueError("the table is no short list")
+    return F.broadcast(table)
+
+
 def conversions(table: DataFrame) -> DataFrame:
     """The conversion table ready to broadcast; refused beyond MAX_UNITS rows."""
     if table.limit(MAX_UNITS + 1).count() > MAX_UNITS:
@@ -205,7 +213,7 @@ def normalise_records(records: DataFrame, conversion: DataFrame, keep: tuple[str
     f = base.where("forces is not null").select("row_id", F.lit("forces"), F.lit("force"), "force_unit", "remark", F.lit(None).cast("double"), "forces", *keep)
     rows = resolve_column(e.union(f), F.col("quantity"), F.col("said"), "named")
     needs = F.col("named").isNull() & F.col("remark").isNotNull()
-    text = F.when(F.col("quantity") == "energy", _from_text("energy")(F.when(needs & (F.col("quantity") == "energy"), F.col("remark")))).otherwise(_from_text("force")(F.when(needs & (F.col("quantity") == "force"), F.col("remark"))))
+    text = _from_text(F.when(needs, F.col("remark")), F.col("quantity"))
     rows = rows.withColumn("stated", text).withColumn("source_unit", F.coalesce("named", "stated"))
     rows = rows.join(conversions(conversion), (F.col("quantity") == F.col("c_quantity")) & (F.col("source_unit") == F.col("c_unit")), "left")
     factor = F.col("c_factor")

@@ -29,6 +29,12 @@ def flt_record_rules(spark: SparkSession, folder: str) -> DataFrame:
     return R.broken_rules(rows, R.record_problems(F.col("known")), "row_id")
 
 
+def agg_successes(spark: SparkSession, folder: str) -> DataFrame:
+    """How many record keys have how many successes; a sound run has no more than one each."""
+    per = table(spark, folder, "inference_record").groupBy("record_key").agg(F.count_if(F.col("status") == "success").alias("n_success"), F.count(F.lit(1)).alias("n_attempts"))
+    return per.groupBy("n_success", "n_attempts").agg(F.count(F.lit(1)).alias("n_keys"))
+
+
 def flt_coverage(spark: SparkSession, folder: str) -> DataFrame:
     """Frames of the snapshots against the entries of the trajectory scan, both ways."""
     key = lambda n: table(spark, folder, n).select(F.lower(F.btrim("source_file")).alias("file"), "frame_index")
@@ -80,7 +86,7 @@ def udf_invariance(spark: SparkSession, folder: str) -> DataFrame:
     return r.select("frame_id", "finite", "deterministic", (F.col("rotation") < 1e-9).alias("rotation_ok"), (F.col("translation") < 1e-9).alias("translation_ok"), (F.col("permutation") < 1e-9).alias("permutation_ok"))
 
 
-QUERIES = {f.__name__: f for f in (str_system_problem, flt_record_rules, flt_coverage, str_json_paths, mth_descriptor_vector, udf_invariance)}
+QUERIES = {f.__name__: f for f in (str_system_problem, flt_record_rules, agg_successes, flt_coverage, str_json_paths, mth_descriptor_vector, udf_invariance)}
 
 _SYMBOLS = "H He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn Ga Ge As Se Br Kr Rb Sr Y Zr Nb Mo Tc Ru Rh Pd Ag Cd In Sn Sb Te I Xe Cs Ba La Ce Pr Nd Pm Sm Eu Gd Tb Dy Ho Er Tm Yb Lu Hf Ta W Re Os Ir Pt Au Hg Tl Pb Bi Po At Rn Fr Ra Ac Th Pa U Np Pu Am Cm Bk Cf Es Fm Md No Lr Rf Db Sg Bh Hs Mt Ds Rg Cn Nh Fl Mc Lv Ts Og"
 _VOL = "abs(cell[1][1] * (cell[2][2] * cell[3][3] - cell[2][3] * cell[3][2]) - cell[1][2] * (cell[2][1] * cell[3][3] - cell[2][3] * cell[3][1]) + cell[1][3] * (cell[2][1] * cell[3][2] - cell[2][2] * cell[3][1]))"
@@ -97,6 +103,7 @@ b as (select row_id, concat_ws(';', case when coalesce(trim(record_key), '') = '
   case when status = 'success' and not coalesce(isfinite(energy), false) then 'no_energy' end, case when status = 'success' and forces is null then 'no_forces' end,
   case when forces is not null and len(list_filter(forces, lambda f: len(f) <> 3 or len(list_filter(f, lambda v: not coalesce(isfinite(v), false))) > 0)) > 0 then 'bad_forces' end, case when forces is not null and len(forces) > n_atoms then 'more_forces_than_atoms' end,
   case when status = 'failed' and (energy is not null or forces is not null) then 'values_of_a_failure' end) as broken from r) select row_id, broken from b where broken <> ''""",
+    "agg_successes": "with p as (select record_key, count(*) filter (where status = 'success') as n_success, count(*) as n_attempts from inference_record group by 1) select n_success, n_attempts, count(*) as n_keys from p group by 1, 2",
     "flt_coverage": "with a as (select distinct lower(trim(source_file)) as f, frame_index as i from frame_index where source_file is not null and frame_index is not null), b as (select distinct lower(trim(source_file)) as f, frame_index as i from frame_geometry where source_file is not null and frame_index is not null) select count(*) filter (where a.f is not null and b.f is not null) as n_both, count(*) filter (where a.f is null) as n_missing, count(*) filter (where b.f is null) as n_unexpected from a full join b on a.f = b.f and a.i = b.i",
     "str_json_paths": "with k as (select props, unnest(json_keys(props)) as path from events) select path, count(*) as n, count(distinct json_extract(props, '$.' || path)::varchar) as n_values from k group by 1",
     "mth_descriptor_vector": f"""with {FRAMES}, {ALL_HOPS}, big as (select material, frame_key from frames where material is not null qualify row_number() over (partition by material order by n desc, frame_key) = 1),

@@ -11,6 +11,7 @@ from sitewise.functions import physics as P
 from sitewise.functions.ids import canonical_hop, edge_parts, plain_chemsys, plain_id
 from sitewise.plans.common import ALL_HOPS, COMPONENTS, FRAMES, HOPS, all_hops, frames, hops, predictions, sql_chemsys, sql_id
 from sitewise.operators.statistics import element_statistics, force_components
+from sitewise.operators.units import short
 from sitewise.sources.files import KEYWORDS, keywords
 from sitewise.sources.tables import table
 
@@ -73,9 +74,8 @@ def hsh_bucket(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def hsh_ids_digest(spark: SparkSession, folder: str) -> DataFrame:
-    """Per system the digest of its distinct hops; a system has few hops, its largest as many as one material."""
-    h = all_hops(spark, folder).where("system is not null and edge is not null")
-    return h.groupBy("system").agg(H.ids_digest(F.collect_set("edge")).alias("digest"), F.countDistinct("edge").alias("n_ids"))
+    """Per system the digest of its distinct hops."""
+    return H.digest_by_group(all_hops(spark, folder), "system", "edge")
 
 
 def hsh_tie_key(spark: SparkSession, folder: str) -> DataFrame:
@@ -143,9 +143,9 @@ def mth_finite_text(spark: SparkSession, folder: str) -> DataFrame:
 def mth_unit_factor(spark: SparkSession, folder: str) -> DataFrame:
     """Readings whose unit column names a registered unit to the letter, converted."""
     r = table(spark, folder, "descriptor_value").where("reading is not null").select("row_id", "feature_name", "reading", "unit")
-    m = table(spark, folder, "descriptor_fallback_manifest").select("feature_name", "quantity")
-    c = table(spark, folder, "unit_conversion").select("quantity", F.col("source_unit").alias("unit"), "factor", "canonical_unit")
-    return r.join(F.broadcast(m), "feature_name").join(F.broadcast(c), ["quantity", "unit"]).select("row_id", F.round(F.col("reading") * F.col("factor"), 8).alias("value"), "canonical_unit")
+    m = short(table(spark, folder, "descriptor_fallback_manifest").select("feature_name", "quantity"))
+    c = short(table(spark, folder, "unit_conversion").select("quantity", F.col("source_unit").alias("unit"), "factor", "canonical_unit"))
+    return r.join(m, "feature_name").join(c, ["quantity", "unit"]).select("row_id", F.round(F.col("reading") * F.col("factor"), 8).alias("value"), "canonical_unit")
 
 
 QUERIES = {f.__name__: f for f in (str_edge_parts, str_canonical_hop, str_split_and_source, str_chemsys, str_json_keys, str_keywords, str_component_sets, str_labels, str_aliases, hsh_seed, hsh_rank, hsh_bucket, hsh_ids_digest, hsh_tie_key, hsh_row_digest, hsh_species, mth_cell, mth_family, mth_population, mth_descriptors, mth_misfit, mth_barrier_ratios, mth_low_barrier_score, mth_finite_text, mth_unit_factor)}

@@ -132,3 +132,19 @@ def test_alignment(spark):
     ref = spark.createDataFrame([("f", [[1.0, 0.0, 0.0]] * 3), ("g", [[1.0, 0.0, 0.0]])], "frame_id string, forces array<array<double>>")
     pred = spark.createDataFrame([("m", "f", [[1.0, 0.0, 0.0]] * 2), ("m", "g", [[1.0, 0.0]] * 4), ("m", "h", [[0.0, 0.0, 0.0]])], "model string, frame_id string, forces array<array<double>>")
     assert tuple(statistics.alignment(ref, pred).first()) == ("m", 3, 1, 3, 1, 4, 4)
+
+
+def test_digest_by_group(spark):
+    import hashlib
+    import json
+
+    rows = [("a", f"e{i}") for i in range(300)] * 2 + [("b", 'q"uo\\te'), ("b", None), (None, "x"), ("c", "only")]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = {r.g: (r.digest, r.n_ids) for r in hashing.digest_by_group(spark.createDataFrame(rows, "g string, i string"), "g", "i").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for g in "abc":
+        ids = sorted({i for h, i in rows if h == g and i})
+        assert got[g] == (hashlib.sha256(json.dumps(ids, separators=(",", ":")).encode()).hexdigest(), len(ids))
+    assert set(got) == set("abc")
