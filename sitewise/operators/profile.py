@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewise.operators.prefix import following
+from sitewise.operators.sampling import smallest
 
 
 def column_summary(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -66,6 +67,7 @@ def repeated(df: DataFrame, key: list[Column], names: list[str], order: str) ->
 def bounded_examples(df: DataFrame, group: str, value: str, order: str, n: int) -> DataFrame:
     """Per group the exact count and the first n values in order; at most n rows a group are collected."""
     counts = df.groupBy(group).agg(F.count(value).alias("n_values"))
-    first = df.where(F.col(value).isNotNull()).withColumn("_p", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("_p") <= n)
+    few = smallest(df.where(F.col(value).isNotNull()).select(group, value, order), [group], [F.col(order)], n)
+    first = few.withColumn("_p", F.row_number().over(Window.partitionBy(group).orderBy(order)))
     shown = first.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", F.col(value).cast("string").alias("v")))), lambda s: s["v"]), ";").alias("examples"))
     return counts.join(shown, group, "left")

@@ -178,6 +178,12 @@ def jon_classified(spark: SparkSession, folder: str) -> DataFrame:
     return M.classified(f.where("split <> 'train'").select(F.col("frame_key").alias("id")), found)
 
 
+def agg_mapping(spark: SparkSession, folder: str) -> DataFrame:
+    """Tallies of the mapping: frames by split and status, their candidates, and the most that one has."""
+    split = frames(spark, folder).select(F.col("frame_key").alias("id"), "split")
+    return jon_classified(spark, folder).join(split, "id").groupBy("split", "status").agg(F.count(F.lit(1)).alias("n_frames"), F.sum("candidate_count").alias("n_candidates"), F.max("candidate_count").alias("most"))
+
+
 #: Of the embeddings; the rows labelled below 5 are the development side.
 DIMS = 64
 
@@ -225,7 +231,7 @@ def agg_weight_diagnostics(spark: SparkSession, folder: str) -> DataFrame:
     return d.select(*(F.round(c, 6).alias(c) for c in d.columns))
 
 
-QUERIES = {f.__name__: f for f in (src_column_summary, src_nested_profile, agg_split_summary, agg_spans, agg_archive_steps, agg_step_histogram, agg_kinds, agg_status_counts, agg_largest_frame, agg_repeated, agg_examples, win_runs, set_compare, jon_overlaps, set_tagged_union, set_exclusions, jon_linkage, jon_enrichment, flt_consistency, flt_conflicting_materials, flt_unique_success, flt_magnitudes, flt_informative, srt_largest_components, srt_model_selection, sta_percolation, sta_physical_hops, jon_tolerance, jon_classified, sta_support, sta_gate, sta_shift_weights, agg_auc, agg_weight_diagnostics)}
+QUERIES = {f.__name__: f for f in (src_column_summary, src_nested_profile, agg_split_summary, agg_spans, agg_archive_steps, agg_step_histogram, agg_kinds, agg_status_counts, agg_largest_frame, agg_repeated, agg_examples, win_runs, set_compare, jon_overlaps, set_tagged_union, set_exclusions, jon_linkage, jon_enrichment, flt_consistency, flt_conflicting_materials, flt_unique_success, flt_magnitudes, flt_informative, srt_largest_components, srt_model_selection, sta_percolation, sta_physical_hops, jon_tolerance, jon_classified, agg_mapping, sta_support, sta_gate, sta_shift_weights, agg_auc, agg_weight_diagnostics)}
 
 _M = f"{sql_id('material_id')} as material"
 _STEPS = f"steps as (select {sql_id('edge_id')} as edge, count(distinct step) as n_steps, max(step) as last_step, min(step) = 0 and max(step) = count(distinct step) - 1 as contiguous from hop_member where kind = 'band_optim_step' and step is not null group by 1 having edge is not null)"
@@ -234,6 +240,14 @@ _VEC = """v as (select vec_id as id, label as g, list_transform(embedding, lambd
 st as (select k, avg(x) as m, stddev_pop(x) as s from u where g < 5 group by 1), z as (select u.id, u.g, u.k, (u.x - st.m) / case when st.s > 0 then st.s else 1 end as x from u join st using (k)),
 d as (select a.id, b.id as r, sqrt(sum((a.x - b.x) * (a.x - b.x))) as d from z a join z b on a.k = b.k and a.g <> b.g and b.g < 5 group by 1, 2),
 dist as (select id, round(case when count(*) = 5 then avg(d) end, 6) as distance from (select * from d qualify row_number() over (partition by id order by d, r) <= 5) group by 1)"""
+_inverse = {(i, j): f"(la[{(j + 1) % 3 + 1}][{(i + 1) % 3 + 1}] * la[{(j + 2) % 3 + 1}][{(i + 2) % 3 + 1}] - la[{(j + 1) % 3 + 1}][{(i + 2) % 3 + 1}] * la[{(j + 2) % 3 + 1}][{(i + 1) % 3 + 1}])" for i in range(3) for j in range(3)}  # times the determinant
+_fraction = lambda j: "round((" + " + ".join(f"d{k + 1} * {_inverse[k, j]}" for k in range(3)) + ") / det)"
+_MET = f"""{FRAMES}, fr as (select f.frame_key, f.material, f.split, f.source, g.numbers, g.positions, g.cell from frames f join frame_geometry g using (frame_key) where g.positions is not null and g.cell is not null and len(g.numbers) > 0 and len(g.positions) = len(g.numbers)),
+pr as (select a.frame_key as l, b.frame_key as r, b.source as hop, a.positions as xa, b.positions as xb, a.cell as la from fr a join fr b on a.material = b.material and a.numbers = b.numbers where a.split <> 'train' and b.split = 'train' and list_max(list_transform(list_zip(flatten(a.cell), flatten(b.cell)), lambda c: abs(c[1] - c[2]))) <= 0.01),
+dv as (select *, la[1][1] * {_inverse[0, 0]} + la[1][2] * {_inverse[1, 0]} + la[1][3] * {_inverse[2, 0]} as det from pr), atoms as (select l, r, hop, la, det, unnest(list_zip(xa, xb)) as q from dv),
+dd as (select l, r, hop, la, det, {', '.join(f'q[2][{k}] - q[1][{k}] as d{k}' for k in (1, 2, 3))} from atoms),
+ww as (select l, r, hop, {', '.join(f"d{k} - ({' + '.join(f'{_fraction(j)} * la[{j + 1}][{k}]' for j in range(3))}) as w{k}" for k in (1, 2, 3))} from dd),
+met as (select l as left_id, r as right_id, any_value(hop) as hop from ww group by 1, 2 having max(w1 * w1 + w2 * w2 + w3 * w3) <= 1e-4)"""
 _all_of = lambda c, fn: " union all ".join(f"select '{t}' as t, {sql_id('material_id')} as material from {t}" for t in c)
 
 SQL = {
@@ -268,6 +282,15 @@ t as (select row_id, concat_ws(';', case when m is null then 'no_material' end,
     "flt_informative": f"with {FRAMES} select frame_key, len(list_filter(flatten(forces), lambda v: abs(v) >= 0.1))::int as n_informative from frames",
     "srt_largest_components": f"with {FRAMES}, c as (select frame_key, unnest(flatten(forces)) as v, unnest(range(0, len(flatten(forces)))) as i from frames where forces is not null) select frame_key, i::int as component, abs(v) as magnitude from c qualify row_number() over (partition by frame_key order by abs(v) desc, i) <= 3",
     "srt_model_selection": "with r as (select model_name, count(*) filter (where status = 'success') as n_success, count(*) filter (where status <> 'success') as n_failed from inference_record group by 1) select * from r where n_success >= (select max(n_success) * 0.5 from r) order by n_failed, model_name limit 1",
+    "sta_physical_hops": f"""with e as (select {sql_id('edge_id')} as e, em from nebbvse122k_index), m as (select regexp_extract(e, '^(.+)((?:_-?[0-9]{{1,9}}){{5}})$', 1) as material_id, list_transform(regexp_extract_all(regexp_extract(e, '^(.+)((?:_-?[0-9]{{1,9}}){{5}})$', 2), '-?[0-9]+'), lambda x: x::int) as q, em from e where regexp_matches(e, '^.+_[0-9]{{1,9}}_[0-9]{{1,9}}_-?[0-9]{{1,9}}_-?[0-9]{{1,9}}_-?[0-9]{{1,9}}$')),
+h as (select material_id, case when q[1] > q[2] or (q[1] = q[2] and [-q[3], -q[4], -q[5]] > [q[3], q[4], q[5]]) then [q[2], q[1], -q[3], -q[4], -q[5]] else q end as q, case when isfinite(em) then em end as em from m)
+select material_id, q[1] as s, q[2] as t, q[3] as ox, q[4] as oy, q[5] as oz, min(em) as lo, max(em) as hi, count(*) as n_rows, count(*) - count(em) as n_bad from h group by 1, 2, 3, 4, 5, 6""",
+    "jon_tolerance": f"with {_MET} select left_id, right_id from met",
+    "jon_classified": f"""with {_MET}, c as (select left_id, count(distinct right_id) as nc, count(distinct hop) as nh, min(hop) as hop from met group by 1)
+select f.frame_key as id, case when nc is null then 'unmapped' when nh > 1 then 'ambiguous' when nc = 1 then 'mapped_unique' else 'mapped_hop_unique' end as status, coalesce(nc, 0) as candidate_count, case when nh = 1 then hop end as hop from frames f left join c on c.left_id = f.frame_key where f.split <> 'train'""",
+    "agg_mapping": f"""with {_MET}, c as (select left_id, count(distinct right_id) as nc, count(distinct hop) as nh from met group by 1),
+s as (select f.split, case when nc is null then 'unmapped' when nh > 1 then 'ambiguous' when nc = 1 then 'mapped_unique' else 'mapped_hop_unique' end as status, coalesce(nc, 0) as n from frames f left join c on c.left_id = f.frame_key where f.split <> 'train')
+select split, status, count(*) as n_frames, sum(n)::bigint as n_candidates, max(n) as most from s group by 1, 2""",
     "sta_support": f"with {_VEC} select v.id, distance from v left join dist using (id)",
     "sta_gate": f"""with {_VEC}, j as (select v.id, v.g, distance from v left join dist using (id)), t as (select quantile_cont(avg_d, 0.95) as tau from (select id, avg(d) as avg_d from (select * from d qualify row_number() over (partition by id order by d, r) <= 5) group by 1) x join v using (id) where v.g < 5),
 g as (select id, distance, exact, case when exact is null then 'missing_feature' when exact > (select tau from t) then 'outside_support' end as reason from (select j.*, e.avg_d as exact from j left join (select id, avg(d) as avg_d from (select * from d qualify row_number() over (partition by id order by d, r) <= 5) group by 1 having count(*) = 5) e using (id)))
