@@ -150,6 +150,32 @@ def test_recall_of_changed_and_wrapped_cells(spark, changed, wrapped):
     assert len(got & want) >= (465 if changed and wrapped else 498)
 
 
+@pytest.mark.parametrize("level", range(len(nearcopies.LEVELS)))
+@pytest.mark.parametrize(("changed", "least"), [(False, 0.98), (True, 0.95)])
+def test_recall_of_every_level(level, changed, least):
+    """The same pairs by the segments that each level of load compares."""
+    rows = edge_pairs(80, changed, False, seed=30 + level)
+    f = frames.Frames(np.concatenate([r[4] for r in rows]), np.concatenate([np.array(r[5]) for r in rows]), np.array([r[6] for r in rows]), np.array([len(r[4]) for r in rows]))
+    of, key = nearcopies.segment_keys(f, level)
+    sets = [set() for _ in rows]
+    for i, k in zip(of.tolist(), key.tolist(), strict=True):
+        sets[i].add(k)
+    assert np.mean([bool(sets[2 * i] & sets[2 * i + 1]) for i in range(80)]) >= least
+
+
+def test_frames_of_a_crowded_cell_change_level(spark, monkeypatch):
+    """A crowd in one cell makes longer segments; pairs across the border of two levels are found too."""
+    monkeypatch.setattr(nearcopies, "LEVELS", (nearcopies.LEVELS[0]._replace(load=20), *nearcopies.LEVELS[1:]))
+    r = np.random.default_rng(12)
+    rows = [row(i, "train", BASE + r.uniform(-0.3, 0.3, BASE.shape)) for i in range(40)]
+    rows += [row(100 + i, "test", np.array(rows[i][5]) + r.uniform(-0.02, 0.02, BASE.shape), cell=CELL + r.uniform(-0.04, 0.04, (3, 3))) for i in range(0, 40, 2)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    reps = frames.representatives(frames.readable(df))
+    assert {x.levels for x in nearcopies.levels(reps).collect()} >= {2}
+    found = {tuple(x) for x in nearcopies.candidates(reps).collect()}
+    assert {(a, b) for a, b, _, _ in truth(rows, 0.05, 0.78)} <= found
+
+
 def test_bound_keeps_every_pair_that_holds():
     """Own bins against reachable bins, in one cell: no atom within the tolerance counts as lone."""
     for a, b in zip(*(iter(edge_pairs(200, False, True)),) * 2, strict=True):
