@@ -18,30 +18,30 @@ from sitewise.shared import ship
 BINS = 24
 
 
-def matches(xa: np.ndarray, la: np.ndarray, xb: np.ndarray, lb: np.ndarray, atol: float) -> bool:
-    """Same cell within atol by component, and every atom within atol up to lattice vectors, in the given order."""
-    if (np.abs(la - lb) > atol).any():
-        return False
-    d = xb - xa
-    if abs(np.linalg.det(la)) > 1e-8:
-        d = d - np.round(d @ np.linalg.inv(la)) @ la
-    return bool(((d**2).sum(1) <= atol * atol).all())
+def _ragged(c: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Flat values and offsets of a list column."""
+    return c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy()
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        x, xo = b.column("xyz").values.to_numpy(zero_copy_only=False), b.column("xyz").offsets.to_numpy()
-        c, co = b.column("box").values.to_numpy(zero_copy_only=False), b.column("box").offsets.to_numpy()
-        atol, wide = b.column("atol").to_numpy(), b.column("wide").to_pylist()
-        keys = []
-        for i in range(b.num_rows):
-            first, box = x[xo[i] : xo[i] + 3], c[co[i] : co[i + 1]].reshape(3, 3)
-            ok = len(first) == 3 and box.shape == (3, 3) and abs(np.linalg.det(box)) > 1e-8
-            f = (first @ np.linalg.inv(box)) % 1.0 if ok else np.zeros(3)
-            # how far, in bins, the first atom may lie apart in a match: its own shift and that of up to three cell vectors
-            reach = BINS * 4 * atol[i] * np.sqrt((np.linalg.inv(box) ** 2).sum(0)).max() + 1e-9 if ok and wide[i] else 0.0
-            cells = [sorted({c % BINS for c in range(int(np.floor(f[k] * BINS - reach)), int(np.floor(f[k] * BINS + reach)) + 1)}) for k in range(3)]
-            keys.append([(a * BINS + p) * BINS + q for a in cells[0] for p in cells[1] for q in cells[2]])
+        (x, xo), (c, co) = _ragged(b.column("xyz")), _ragged(b.column("box"))
+        atol, wide = b.column("atol").to_numpy(), b.column("wide").to_numpy(zero_copy_only=False)
+        box, first = np.tile(np.eye(3), (b.num_rows, 1, 1)), np.zeros((b.num_rows, 3))
+        ok = (np.diff(co) == 9) & (np.diff(xo) >= 3)
+        at = np.nonzero(ok)[0]
+        if len(at):
+            box[at] = c[co[:-1][at][:, None] + np.arange(9)].reshape(-1, 3, 3)
+            first[at] = x[xo[:-1][at][:, None] + np.arange(3)]
+        thin = ~(np.abs(np.linalg.det(box)) > 1e-8)
+        box[thin], first[thin], ok = np.eye(3), 0.0, ok & ~thin
+        inverse = np.linalg.inv(box)
+        f = np.einsum("ri,rij->rj", first, inverse) % 1.0
+        # how far, in bins, the first atom may lie apart in a match: its own shift and that of up to three cell vectors
+        reach = np.where(ok & wide, BINS * 4 * atol * np.sqrt((inverse**2).sum(1)).max(1) + 1e-9, 0.0)
+        lo, hi = np.floor(f * BINS - reach[:, None]).astype(int), np.floor(f * BINS + reach[:, None]).astype(int)
+        hi = np.minimum(hi, lo + BINS - 1)
+        keys = [[((i % BINS) * BINS + j % BINS) * BINS + k % BINS for i in range(u[0], v[0] + 1) for j in range(u[1], v[1] + 1) for k in range(u[2], v[2] + 1)] for u, v in zip(lo.tolist(), hi.tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(keys, pa.list_(pa.int32()))], names=["id", "keys"])
 
 
@@ -64,9 +64,19 @@ def tolerance_join(left: DataFrame, right: DataFrame, atol: float = 1e-4) -> Dat
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            cols = [t.column(c).to_pylist() for c in ("left_x", "left_c", "right_x", "right_c")]
-            keep = [matches(np.reshape(p, (-1, 3)), np.reshape(q, (3, 3)), np.reshape(r, (-1, 3)), np.reshape(s, (3, 3)), atol) for p, q, r, s in zip(*cols, strict=True)]
-            yield pa.RecordBatch.from_arrays([t.column("left_id"), t.column("right_id")], names=["left_id", "right_id"]).filter(pa.array(keep, pa.bool_()))
+            (xa, oa), (la, pa_), (xb, ob), (lb, pb) = (_ragged(t.column(c)) for c in ("left_x", "left_c", "right_x", "right_c"))
+            size, keep = np.diff(oa), np.zeros(t.num_rows, bool)
+            fit = (size == np.diff(ob)) & (np.diff(pa_) == 9) & (np.diff(pb) == 9)
+            for n in np.unique(size[fit]):  # pairs of equal sizes are tested together
+                rows = np.nonzero(fit & (size == n))[0]
+                of = lambda v, o, m: v[o[:-1][rows][:, None] + np.arange(m)].reshape(len(rows), -1, 3)  # noqa: E731, B023
+                a, b, cell, other = of(xa, oa, n), of(xb, ob, n), of(la, pa_, 9), of(lb, pb, 9)
+                solid = np.abs(np.linalg.det(cell)) > 1e-8
+                turned = np.where(solid[:, None, None], cell, np.eye(3))
+                d = b - a
+                d = d - np.where(solid[:, None, None], np.round(d @ np.linalg.inv(turned)) @ turned, 0.0)
+                keep[rows] = (np.abs(cell - other) <= atol).all((1, 2)) & ((d**2).sum(2) <= atol * atol).all(1)
+            yield pa.RecordBatch.from_arrays([t.column("left_id"), t.column("right_id")], names=["left_id", "right_id"]).filter(pa.array(keep))
 
     return both.select("left_id", "right_id", "left_x", "left_c", "right_x", "right_c").mapInArrow(test, "left_id long, right_id long")
 
