@@ -48,7 +48,7 @@ class Level(NamedTuple):
 LEVELS = (Level(50_000, 16, 20, 3), Level(5_000_000, 24, 32, 4), Level(float("inf"), 32, 48, 5))
 #: Of all bits, how many may differ.
 RADIUS = 0.3
-WAVE = 10
+WAVE, AT_ONCE = 10, 320
 CHUNK = 8_000
 
 
@@ -60,8 +60,11 @@ def waves(bits: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
 
 def sums(f: Frames, k: np.ndarray, phase: np.ndarray) -> np.ndarray:
     """The sum of every wave over the atoms of every frame; its sign is the fingerprint's bit, its size how certain that is."""
-    wave = (f.fraction - np.floor(f.fraction)) @ k
-    return np.add.reduceat(np.cos(2 * np.pi * wave + phase[f.z & 255]), f.start[:-1], axis=0) if len(f.n) else np.zeros((0, k.shape[1]))
+    if not len(f.n):
+        return np.zeros((0, k.shape[1]))
+    inside, kind = f.fraction - np.floor(f.fraction), f.z & 255
+    some = lambda c: np.add.reduceat(np.cos(2 * np.pi * (inside @ k[:, c]) + phase[:, c][kind]), f.start[:-1], axis=0)
+    return np.concatenate([some(slice(i, i + AT_ONCE)) for i in range(0, k.shape[1], AT_ONCE)], axis=1)  # few waves at a time, to hold little
 
 
 def words_of(s: np.ndarray) -> np.ndarray:
