@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from sitewise.shared import forget, written
 
 MAX_LABELS, MAX_PARTS = 50_000, 400_000
-MAX_CUTS = 64
+MAX_CUTS = 32
 
 #: Common function words of English, German, French and Spanish.
 COMMON = (
@@ -67,15 +67,15 @@ def parts(text: Column, common: list[str] = COMMON) -> Column:
     """ARRAY<STRUCT> of the counts of every part of a text, each made in one pass over it."""
     strip = r"[^\p{L}\p{N}\s]++(?!\S)|(?<!\S)[^\p{L}\p{N}\s]+"  # the signs around words
     words = lambda p: F.array_remove(F.split(p, r"\s+"), "")
-    cut = F.transform(_filled(F.split(text, SENTENCE)), lambda p: F.struct(p.alias("p"), F.lower(F.regexp_replace(p, strip, "")).alias("clean"), F.regexp_replace(p, r"[\p{L}\s]+", "").alias("rest")))
+    cut = F.transform(_filled(F.split(text, SENTENCE)), lambda p: F.struct(p.alias("p"), F.lower(F.regexp_replace(p, strip, "")).alias("clean"), F.regexp_replace(p, r"[\p{L}\s]++", "").alias("rest")))
     cut = F.transform(cut, lambda s: F.struct(s["p"].alias("p"), s["clean"].alias("clean"), s["rest"].alias("rest"), words(s["clean"]).alias("bare")))
     return F.transform(cut, lambda s: F.struct(
         F.length(s["p"]).alias("size"),
-        F.size(words(s["p"])).alias("n"),
+        F.regexp_count(s["p"], F.lit(r"\S++")).alias("n"),
         F.length(F.translate(s["p"], " \t\n\x0b\f\r", "")).alias("n_chars"),
         F.size(F.filter(s["bare"], lambda w: w.isin(common))).alias("n_common"),
-        F.regexp_count(s["p"], F.lit(r"[,;|](?=\s|$)")).alias("n_enders"),
-        (F.size(s["bare"]) - F.regexp_count(s["clean"], F.lit(r"[^\p{L}\s'’-]\S*"))).alias("n_plain"),
+        F.regexp_count(s["p"], F.lit(r"[,;|](?!\S)")).alias("n_enders"),
+        (F.size(s["bare"]) - F.regexp_count(s["clean"], F.lit(r"[^\p{L}\s'’-]\S*+"))).alias("n_plain"),
         F.length(s["rest"]).alias("n_rest"),
         F.length(F.regexp_replace(s["rest"], r"[.,;:!?'’\-()]+|\p{N}+", "")).alias("n_signs"),
         F.length(F.regexp_replace(s["rest"], r"\P{N}+", "")).alias("n_digits"),
